@@ -45,6 +45,9 @@ HOT_KEY_EVENTS = 20_000_000
 # Target events per stripe; one stripe is held in memory as two long columns.
 STRIPE_EVENTS = 2_000_000
 
+# Stripes (or groups of stripes) folded into one group per level.
+FAN_OUT = 64
+
 # Fixed value: key used for a missing or blank key.
 UNKNOWN_KEY = "[unknown]"
 
@@ -62,6 +65,7 @@ def cap_per_window(
     last_admitted: Column | None = None,
     hot_key_events: int = HOT_KEY_EVENTS,
     stripe_events: int = STRIPE_EVENTS,
+    fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """``events`` plus a boolean ``flag``: admitted by the cap of its key.
 
@@ -97,7 +101,7 @@ def cap_per_window(
     hot_keys = F.broadcast(hot.select(key, "__origin").transform(cut))
     stripes = max(2, math.ceil(largest["events"] / stripe_events))
     cold = _sequential(staged.join(hot_keys, key, "left_anti"), key, event_id, flag)
-    busy = _striped(staged.join(hot_keys, key), key, event_id, limit, stripes, flag)
+    busy = _striped(staged.join(hot_keys, key), key, event_id, limit, stripes, fan_out, flag)
     return cold.unionByName(busy.select(*cold.columns)).drop(*helper)
 
 
@@ -177,7 +181,7 @@ def _walk(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatc
 
 
 def _striped(
-    hot_events: DataFrame, key: str, event_id: str, limit: int, stripes: int, flag: str
+    hot_events: DataFrame, key: str, event_id: str, limit: int, stripes: int, fan_out: int, flag: str
 ) -> DataFrame:
     """Flag the events of hot keys; ``hot_events`` carries each key's ``__origin``.
 
@@ -197,17 +201,13 @@ def _striped(
     striped = cut(
         first_ids.repartitionByRange(stripes, "k", "pos").withColumn("stripe", F.spark_partition_id())
     )
-    key_type = striped.schema["k"].dataType
-    long_field = lambda name: T.StructField(name, T.LongType())
-    hop_layout = T.StructType(
-        [T.StructField("k", key_type), long_field("stripe"), long_field("cell"), long_field("leaves")]
-    )
     grid = striped.select("k", F.col("stripe").cast("long").alias("stripe"), "cell", "pos")
-    hops = grid.groupBy("k", "stripe").applyInPandas(_hops, hop_layout)
-    visit_layout = T.StructType([T.StructField("k", key_type), long_field("stripe"), long_field("cell")])
-    # One row per stripe and non-empty cell: the events themselves are already folded away.
-    visited = hops.groupBy("k").applyInPandas(_chain, visit_layout)
-    opening_layout = T.StructType([T.StructField("k", key_type), long_field("cell"), long_field("pos")])
+    layout = lambda *names: T.StructType(
+        [striped.schema["k"]] + [T.StructField(name, T.LongType()) for name in names]
+    )
+    hops = cut(grid.groupBy("k", "stripe").applyInPandas(_hops, layout("stripe", "cell", "leaves")))
+    visited = _visited(hops, stripes, fan_out, layout)
+    opening_layout = layout("cell", "pos")
     openings = cut(
         grid.groupBy("k", "stripe")
         .cogroup(visited.groupBy("k", "stripe"))
@@ -226,6 +226,29 @@ def _striped(
     )
 
 
+def _visited(hops: DataFrame, stripes: int, fan_out: int, layout) -> DataFrame:
+    """(key, stripe, cell) entries of the true chain of every hot key."""
+    levels, members = [hops], stripes
+    while members > fan_out:
+        grouped = levels[-1].withColumn("group", F.floor(F.col("stripe") / fan_out).cast("long"))
+        levels[-1] = grouped
+        levels.append(
+            grouped.groupBy("k", "group").applyInPandas(
+                lambda rows: _fold(rows, fan_out), layout("stripe", "cell", "leaves")
+            )
+        )
+        members = math.ceil(members / fan_out)
+    visited = levels[-1].groupBy("k").applyInPandas(_chain, layout("stripe", "cell"))
+    for lower in reversed(levels[:-1]):
+        entered = visited.withColumnRenamed("stripe", "group")
+        visited = (
+            lower.groupBy("k", "group")
+            .cogroup(entered.groupBy("k", "group"))
+            .applyInPandas(lambda rows, at: _expand(rows, at, fan_out), layout("stripe", "cell"))
+        )
+    return visited
+
+
 def _first_of_windows(
     placed: DataFrame, openings: DataFrame, key: str, event_id: str, limit: int
 ) -> DataFrame:
@@ -254,6 +277,13 @@ def _first_of_windows(
     )
 
 
+def _of_key(rows: pd.DataFrame, **columns) -> pd.DataFrame:
+    """Result rows of the one key in ``rows``."""
+    size = len(next(iter(columns.values())))
+    key = rows["k"].iloc[0] if len(rows) else None
+    return pd.DataFrame({"k": pd.Series([key] * size, dtype=object), **columns})
+
+
 def _cells(stripe: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
     """(cell, ascending positions) of one stripe, cells ascending."""
     cell, pos = stripe["cell"].to_numpy(), stripe["pos"].to_numpy()
@@ -279,9 +309,7 @@ def _hops(stripe: pd.DataFrame) -> pd.DataFrame:
         rows.append((cell, leaves[0]))
         after_cell, after_pos, after_leaves = cell, pos, leaves
     cells, exits = zip(*rows)
-    return pd.DataFrame(
-        {"k": stripe["k"].iloc[0], "stripe": stripe["stripe"].iloc[0], "cell": cells, "leaves": exits}
-    )
+    return _of_key(stripe, stripe=[stripe["stripe"].iloc[0]] * len(cells), cell=cells, leaves=exits)
 
 
 def _chain(hops: pd.DataFrame) -> pd.DataFrame:
@@ -301,7 +329,49 @@ def _chain(hops: pd.DataFrame) -> pd.DataFrame:
         visited.append(at)
         at = successor[at]
     kept = hops.iloc[order[visited]]
-    return kept[["k", "stripe", "cell"]]
+    return _of_key(hops, stripe=kept["stripe"].to_numpy(), cell=kept["cell"].to_numpy())
+
+
+def _links(hops: pd.DataFrame, fan_out: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Hops of one group in (cell, member) order, their codes, and the hop that follows each.
+
+    A hop is followed inside the group only in the very cell it leaves in; -1 means that the chain
+    leaves the group there.
+    """
+    member = hops["stripe"].to_numpy() % fan_out
+    code = hops["cell"].to_numpy() * fan_out + member
+    order = np.argsort(code)
+    hops, code = hops.iloc[order], code[order]
+    leaves = hops["leaves"].to_numpy()
+    follow = np.searchsorted(code, leaves * fan_out + member[order] + 1, side="left")
+    inside = follow < len(code)
+    inside[inside] = code[follow[inside]] < (leaves[inside] + 1) * fan_out
+    return hops, code, np.where(inside, follow, -1)
+
+
+def _fold(hops: pd.DataFrame, fan_out: int) -> pd.DataFrame:
+    """Hops of a group of stripes from the hops of its members."""
+    hops, code, follow = _links(hops, fan_out)
+    leaves = hops["leaves"].to_numpy().copy()
+    for index in range(len(leaves) - 1, -1, -1):
+        if follow[index] >= 0:
+            leaves[index] = leaves[follow[index]]
+    cell, first = np.unique(code // fan_out, return_index=True)
+    return _of_key(hops, stripe=[hops["group"].iloc[0]] * len(cell), cell=cell, leaves=leaves[first])
+
+
+def _expand(hops: pd.DataFrame, entered: pd.DataFrame, fan_out: int) -> pd.DataFrame:
+    """Member entries of a group, given the cells in which the chain enters the group."""
+    if hops.empty or entered.empty:
+        return _of_key(hops, stripe=[], cell=[])
+    hops, code, follow = _links(hops, fan_out)
+    visited = []
+    for index in np.searchsorted(code, entered["cell"].to_numpy() * fan_out, side="left").tolist():
+        while index >= 0:
+            visited.append(index)
+            index = int(follow[index])
+    kept = hops.iloc[visited]
+    return _of_key(hops, stripe=kept["stripe"].to_numpy(), cell=kept["cell"].to_numpy())
 
 
 def _openings(stripe: pd.DataFrame, visited: pd.DataFrame) -> pd.DataFrame:
@@ -321,5 +391,4 @@ def _openings(stripe: pd.DataFrame, visited: pd.DataFrame) -> pd.DataFrame:
             found_pos.append(at_pos)
         else:
             at_cell = None
-    name = stripe["k"].iloc[0] if len(stripe) else None
-    return pd.DataFrame({"k": [name] * len(found_cell), "cell": found_cell, "pos": found_pos})
+    return _of_key(stripe, cell=found_cell, pos=found_pos)

@@ -438,13 +438,20 @@ def after_sensor_delete(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def metric_labels(spark: SparkSession, sf: str) -> DataFrame:
     sensors = tables.sensors(spark, sf)
-    daily = stats.daily_statistics(tables.readings(spark, sf), sensors, AS_OF)
+    daily = _rounded(stats.daily_statistics(tables.readings(spark, sf), sensors, AS_OF), "value")
     return labels.daily_labels(daily, sensors, tables.users(spark, sf))
 
 
+_BUCKETS = {"weekly": "date", "hourly": "hour"}
+
+
 @query
 def statistics_table(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.statistics_table(_nested(spark, sf))
+    settled = lambda key: F.transform(
+        key, lambda p: F.struct(p[_BUCKETS[key]].alias(_BUCKETS[key]), F.round(p["value"], 6).alias("value"))
+    )
+    nested = _nested(spark, sf).withColumns({key: settled(key) for key in _BUCKETS})
+    return labels.statistics_table(nested)
 
 
 @query
@@ -483,7 +490,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     run = jobs.stream_ingest(requests, lambda: tables.sensors(spark, sf), out, checkpoint, available_now=True)
     run.awaitTermination()
     layout = "id bigint, sensor_id bigint, numeric_value double, boolean_value boolean, unit string, recorded_at timestamp"
-    return spark.read.schema(layout).parquet(f"{out}/readings")
+    return spark.read.schema(layout).parquet(f"{out}/readings").drop("epoch")
 
 
 @query

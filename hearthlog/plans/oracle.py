@@ -431,7 +431,7 @@ LEFT JOIN texts c ON c.lang = a.lang AND c.key = 'comparisonOperator.' || a.op""
 
 _NESTED_POINTS = f"""
 SELECT d.sensor_id, d.sensor_type, 'weekly' AS series, CAST(d.local_date AS VARCHAR) AS bucket,
-       d.local_date AS day, NULL AS hour, {_shown('d.sensor_type', 'd.value', 'u.tunit')} AS value, u.tunit
+       d.local_date AS day, CAST(NULL AS SMALLINT) AS hour, {_shown('d.sensor_type', 'd.value', 'u.tunit')} AS value, u.tunit
 FROM daily d LEFT JOIN users u ON u.id = d.owner_id
 UNION ALL
 SELECT h.sensor_id, h.sensor_type, 'hourly', CAST(h.hour AS VARCHAR), h.local_date, h.hour,
@@ -463,7 +463,7 @@ SELECT sensor_id, unit, time_bucket(INTERVAL 15 MINUTE, recorded_at) AS slot_sta
 FROM readings WHERE numeric_value IS NOT NULL OR boolean_value GROUP BY ALL""",
     )
     kept_sensors = "SELECT id FROM sensors WHERE active"
-    labels_value = _shown("d.sensor_type", "d.value", "u.tunit")
+    labels_value = _shown("d.sensor_type", "round(d.value, 6)", "u.tunit")
     return {
         "daily_stats_7d": _with(
             "daily", "SELECT sensor_id, sensor_type, local_date, round(value, 6) AS value FROM daily"
@@ -735,7 +735,11 @@ SELECT p.sensor_id, p.series,
        {_tooltip('p.sensor_type', 'p.value', _symbol('p.sensor_type', 'p.tunit'), "'ENGLISH'")} AS tooltip
 FROM points p JOIN shown h USING (sensor_id)
 WHERE CASE WHEN p.series = 'weekly' THEN h.weekly_has_data ELSE h.hourly_has_data END""",
-            {"points": _NESTED_POINTS, "shown": _HAS_DATA},
+            {
+                "exact": _NESTED_POINTS,
+                "points": "SELECT * REPLACE (round(value, 6) AS value) FROM exact",
+                "shown": _HAS_DATA,
+            },
         ),
         "zone_labels": _with(
             "users",
