@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthlog.functions.numbers import is_finite
 
 # Spark's trim strips the space only; the feed's own trim strips every character up to U+0020.
-_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_CONTROLS = "".join(chr(code) for code in range(0x21))
 
 # Spellings accepted in a text feed of motion states.
 _MOTION_TRUE = ("true", "t", "yes", "y", "1", "detected")
@@ -21,7 +21,7 @@ _FORM_FALSE = ("false", "off", "no", "0")
 
 def trim_controls(text: Column) -> Column:
     """Strip blanks and control characters (up to U+0020) from both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_CONTROLS))
 
 
 def required_text(text: Column) -> Column:
@@ -34,20 +34,30 @@ def normalized_email(text: Column) -> Column:
     return F.lower(required_text(text))
 
 
-def form_field(body: Column, name: str) -> Column:
+def form_field(body: Column, name: Column) -> Column:
     """First occurrence of one field of a form-encoded body, decoded.
 
-    A missing field gives an empty string, a malformed escape gives NULL. ``str_to_map`` is not
-    used because one repeated field would fail the whole job.
+    A missing field gives an empty string, a malformed escape gives NULL. Plain substring functions
+    do it: ``str_to_map`` fails the whole job on one repeated field, and a pattern per field is
+    several times slower.
     """
-    raw = F.regexp_extract(F.concat(F.lit("&"), body), f"&{name}=([^&]*)", 1)
+    fields = F.concat(F.lit("&"), body)
+    marker = F.concat(F.lit("&"), name, F.lit("="))
+    found = F.call_function("locate", marker, fields)
+    rest = F.substr(fields, found + F.length(marker))
+    raw = F.when(found > 0, F.substring_index(rest, "&", 1)).when(found == 0, F.lit(""))
     return F.try_url_decode(raw)
 
 
+def _word(text: Column, true_words: tuple[str, ...], false_words: tuple[str, ...]) -> Column:
+    meanings = {**{word: True for word in true_words}, **{word: False for word in false_words}}
+    table = F.create_map(*[F.lit(item) for pair in meanings.items() for item in pair])
+    return F.try_element_at(table, F.lower(trim_controls(text)))
+
+
 def form_boolean(text: Column) -> Column:
     """Boolean of a form field; any other spelling is NULL."""
-    word = F.lower(trim_controls(text))
-    return F.when(word.isin(*_FORM_TRUE), F.lit(True)).when(word.isin(*_FORM_FALSE), F.lit(False))
+    return _word(text, _FORM_TRUE, _FORM_FALSE)
 
 
 def form_double(text: Column) -> Column:
@@ -57,8 +67,7 @@ def form_double(text: Column) -> Column:
 
 def lenient_boolean(text: Column) -> Column:
     """Motion state written by hand (true/yes/1/detected ...), else NULL."""
-    word = F.lower(trim_controls(text))
-    return F.when(word.isin(*_MOTION_TRUE), F.lit(True)).when(word.isin(*_MOTION_FALSE), F.lit(False))
+    return _word(text, _MOTION_TRUE, _MOTION_FALSE)
 
 
 def lenient_double(text: Column) -> Column:
@@ -72,19 +81,37 @@ def token_hash(token: Column) -> Column:
     return F.sha2(trim_controls(token), 256)
 
 
-def fill_template(template: Column, *arguments: Column) -> Column:
-    """Replace ``{0}``, ``{1}`` ... in one pass.
+def template_pieces(template: Column) -> Column:
+    """A template cut into literal runs and placeholders ``{0}``, ``{1}`` ...
 
-    The template is cut into literal runs and placeholders first, so braces inside an argument
-    (a sensor named ``{1}``) are left alone.
+    Each piece is (text, slot); ``slot`` is NULL for a literal run.
     """
-    values = F.array(*arguments)
     pieces = F.regexp_extract_all(template, F.lit(r"(\{[0-9]+\}|[^{]+|\{)"), F.lit(1))
+    return F.transform(
+        pieces,
+        lambda piece: F.struct(
+            piece.alias("text"),
+            F.regexp_extract(piece, r"^\{([0-9]+)\}$", 1).try_cast("int").alias("slot"),
+        ),
+    )
+
+
+def fill_pieces(pieces: Column, *arguments: Column) -> Column:
+    """Put the arguments into a cut template.
+
+    Every placeholder is replaced once, so braces inside an argument (a sensor named ``{1}``) are
+    left alone.
+    """
+    values = F.array(*arguments)
     filled = F.transform(
         pieces,
-        lambda piece: F.when(
-            piece.rlike(r"^\{[0-9]+\}$"),
-            F.try_element_at(values, F.regexp_extract(piece, "([0-9]+)", 1).try_cast("int") + 1),
-        ).otherwise(piece),
+        lambda piece: F.when(piece["slot"].isNull(), piece["text"]).otherwise(
+            F.try_element_at(values, piece["slot"] + 1)
+        ),
     )
     return F.array_join(filled, "")
+
+
+def fill_template(template: Column, *arguments: Column) -> Column:
+    """Replace the placeholders of a template in one pass."""
+    return fill_pieces(template_pieces(template), *arguments)

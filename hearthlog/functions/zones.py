@@ -47,7 +47,7 @@ def _region_list() -> str:
 def valid_zone(column: str) -> Column:
     """TRUE where the named column holds a usable zone id; FALSE for NULL and unknown ids."""
     region = F.expr(f"`{column}` IN ({_region_list()})")
-    return F.coalesce(F.col(column).rlike(_OFFSET_ID) | region, F.lit(False))
+    return F.coalesce(region | F.col(column).rlike(_OFFSET_ID), F.lit(False))
 
 
 def safe_zone(column: str) -> Column:
@@ -59,7 +59,7 @@ def safe_zone(column: str) -> Column:
 
 
 def on_quarter_hour(column: str) -> Column:
-    """TRUE when all present-day offsets of the zone are multiples of 15 minutes.
+    """TRUE when all present-day offsets of the zone in the named column are multiples of 15 minutes.
 
     That holds for every region of the time-zone database since 1973; only an offset-style id can
     break it.

@@ -166,7 +166,8 @@ def alert_messages(events: DataFrame, templates: DataFrame) -> DataFrame:
     """Subject and body of each alert in the recipient's language, unit, zone and number format."""
     language, kind = F.col("recipient.language"), F.col("sensor.type")
     segment = F.concat(F.lit("email.alert."), F.lower(kind))
-    text_of = lambda key: F.try_element_at(F.col("bundle"), key)
+    pieces_of = lambda key: F.try_element_at(F.col("bundle"), key)
+    text_of = lambda key: text.fill_pieces(pieces_of(key), F.lit(""))
     when = display.alert_time_text(F.col("recorded_at"), F.col("recipient.timezone"))
     minutes = display.locale_integer(F.col("cooldown_minutes"), language)
     in_celsius = F.col("trigger.unit") == "C"
@@ -178,8 +179,8 @@ def alert_messages(events: DataFrame, templates: DataFrame) -> DataFrame:
         text_of(F.lit("measurement.relativeHumidity.symbol"))
     )
     place = [F.col(f"sensor.{name}") for name in ("name", "home_location", "city", "district")]
-    numeric_body = text.fill_template(
-        text_of(F.concat(segment, F.lit(".body"))),
+    numeric_body = text.fill_pieces(
+        pieces_of(F.concat(segment, F.lit(".body"))),
         *place,
         text_of(F.concat(F.lit("comparisonOperator."), F.col("trigger.comparison_operator"))),
         shown(F.col("trigger.reading_value")),
@@ -188,8 +189,8 @@ def alert_messages(events: DataFrame, templates: DataFrame) -> DataFrame:
         when,
         minutes,
     )
-    motion_body = text.fill_template(
-        text_of(F.lit("email.alert.motion.body")),
+    motion_body = text.fill_pieces(
+        pieces_of(F.lit("email.alert.motion.body")),
         *place,
         text_of(F.lit("alertEventType.MOTION_DETECTED")),
         when,
@@ -201,6 +202,6 @@ def alert_messages(events: DataFrame, templates: DataFrame) -> DataFrame:
         "rule_id",
         "reading_id",
         F.col("recipient.email").alias("email"),
-        text.fill_template(text_of(F.concat(segment, F.lit(".subject"))), F.col("sensor.name")).alias("subject"),
+        text.fill_pieces(pieces_of(F.concat(segment, F.lit(".subject"))), F.col("sensor.name")).alias("subject"),
         F.when(F.col("trigger").isNotNull(), numeric_body).otherwise(motion_body).alias("body"),
     )

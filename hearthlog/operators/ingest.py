@@ -21,33 +21,45 @@ PATHS = {
 }
 
 
-def _reported_type(path: Column) -> Column:
-    known = [F.when(path == name, F.lit(sensor_type)) for name, sensor_type in PATHS.items()]
-    return F.coalesce(*known)
+# Form field that carries the value of each sensor type.
+VALUE_FIELDS = {
+    "TEMPERATURE": "celsiusValue",
+    "HUMIDITY": "humidityPercentage",
+    "MOTION": "motionDetected",
+}
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    entries = F.create_map(*[F.lit(item) for pair in table.items() for item in pair])
+    return F.try_element_at(entries, key)
 
 
 def decode(requests: DataFrame) -> DataFrame:
-    """Token and typed value of each request; NULL where a field is absent or unreadable."""
-    body = F.col("body")
-    numeric = F.when(
-        F.col("reported_type") == "TEMPERATURE", text.form_double(text.form_field(body, "celsiusValue"))
-    ).when(F.col("reported_type") == "HUMIDITY", text.form_double(text.form_field(body, "humidityPercentage")))
-    flag = F.when(
-        F.col("reported_type") == "MOTION", text.form_boolean(text.form_field(body, "motionDetected"))
+    """Token and typed value of each request; NULL where a field is absent or unreadable.
+
+    The steps are separate projections, so that each text is cut out and decoded once.
+    """
+    body, kind = F.col("body"), F.col("reported_type")
+    texts = requests.withColumn("reported_type", _lookup(PATHS, F.col("path"))).select(
+        "request_id",
+        "received_at",
+        "reported_type",
+        text.form_field(body, F.lit("sensorToken")).alias("token"),
+        text.form_field(body, _lookup(VALUE_FIELDS, kind)).alias("value_text"),
     )
-    return requests.withColumn("reported_type", _reported_type(F.col("path"))).select(
+    return texts.select(
         "request_id",
         "received_at",
         "reported_type",
-        text.form_field(body, "sensorToken").alias("token"),
-        numeric.alias("numeric_value"),
-        flag.alias("boolean_value"),
+        "token",
+        F.when(kind != "MOTION", text.form_double(F.col("value_text"))).alias("numeric_value"),
+        F.when(kind == "MOTION", text.form_boolean(F.col("value_text"))).alias("boolean_value"),
     )
 
 
 def well_formed() -> Column:
     """Structure check over decoded columns: usable token and a value of the reported type."""
-    token_ok = text.required_text(F.col("token")).isNotNull() & (
+    token_ok = (F.length(text.trim_controls(F.col("token"))) > 0) & (
         F.length("token") <= schema.TOKEN_MAX_CHARS
     )
     value_ok = F.when(F.col("reported_type") == "MOTION", F.col("boolean_value").isNotNull()).otherwise(

@@ -5,6 +5,9 @@ A check that evaluates to NULL counts as kept, as an SQL CHECK constraint does.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +56,12 @@ def reading_checks() -> dict[str, Column]:
 
 
 def rule_checks() -> dict[str, Column]:
-    operator, value, unit, event = (
+    compared, value, unit, event = (
         F.col(name).isNotNull()
         for name in ("comparison_operator", "threshold_value", "threshold_unit", "event_type")
     )
-    numeric = (F.col("rule_type") == "NUMERIC_THRESHOLD") & operator & value & unit & _not_blank("threshold_unit") & ~event
-    detected = (F.col("rule_type") == "EVENT_DETECTED") & event & ~operator & ~value & ~unit
+    numeric = (F.col("rule_type") == "NUMERIC_THRESHOLD") & compared & value & unit & _not_blank("threshold_unit") & ~event
+    detected = (F.col("rule_type") == "EVENT_DETECTED") & event & ~compared & ~value & ~unit
     return {
         "rule_type_known": F.col("rule_type").isin(*schema.RULE_TYPES),
         "operator_known": _null_or("comparison_operator", schema.COMPARISON_OPERATORS),
@@ -123,11 +126,13 @@ def challenge_checks() -> dict[str, Column]:
 
 
 def violations(df: DataFrame, table: str, checks: dict[str, Column], key: str = "id") -> DataFrame:
-    """One row ``(table_name, rule, row_id)`` per broken check; one scan, no exchange."""
-    broken = [
-        F.when(~F.coalesce(kept, F.lit(True)), F.lit(rule)) for rule, kept in checks.items()
-    ]
-    return df.select(
+    """One row ``(table_name, rule, row_id)`` per broken check; one scan, no exchange.
+
+    Sound rows are filtered out by a plain predicate first; only broken ones reach the arrays.
+    """
+    fails = {rule: ~F.coalesce(kept, F.lit(True)) for rule, kept in checks.items()}
+    broken = [F.when(failed, F.lit(rule)) for rule, failed in fails.items()]
+    return df.where(functools.reduce(operator.or_, fails.values())).select(
         F.lit(table).alias("table_name"),
         F.explode(F.array_compact(F.array(*broken))).alias("rule"),
         F.col(key).alias("row_id"),
@@ -170,12 +175,8 @@ def duplicate_keys(df: DataFrame, table: str, rule: str, *key: Column) -> DataFr
     Counting combines on the map side, so a very frequent key costs one partial row per task.
     """
     parts = [part.cast("string") for part in key]
-    present = [part.isNotNull() for part in parts]
-    kept = present[0]
-    for more in present[1:]:
-        kept = kept & more
     return (
-        df.where(kept)
+        df.where(functools.reduce(operator.and_, [part.isNotNull() for part in parts]))
         .groupBy(F.concat_ws("|", *parts).alias("key_value") if len(parts) > 1 else parts[0].alias("key_value"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .where(F.col("n_rows") > 1)
@@ -198,21 +199,24 @@ def table_duplicates(users: DataFrame, sensors: DataFrame, challenges: DataFrame
 def name_taken(candidates: DataFrame, sensors: DataFrame) -> DataFrame:
     """Candidate names their owner already uses for another sensor, case ignored.
 
-    ``candidates`` holds (id, owner_id, name); ``id`` is NULL for a sensor yet to be created.
+    ``candidates`` holds (id, owner_id, name); ``id`` is NULL for a sensor yet to be created. The
+    table is reduced to one row per owner and name first, so a name used very often is one row.
     """
-    wanted = candidates.withColumn("folded", F.lower(text.trim_controls(F.col("name"))))
-    held = sensors.select(
-        F.col("id").alias("held_id"),
-        F.col("owner_id").alias("held_owner"),
-        F.lower(text.trim_controls(F.col("name"))).alias("held_name"),
+    folded = F.lower(text.trim_controls(F.col("name")))
+    held = (
+        sensors.groupBy(F.col("owner_id").alias("held_owner"), folded.alias("held_name"))
+        .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    )
+    same = F.col("first_id").eqNullSafe(F.col("id")) & F.col("last_id").eqNullSafe(F.col("id"))
+    return (
+        candidates.withColumn("folded", folded)
+        .join(
+            held,
+            (F.col("owner_id") == F.col("held_owner")) & (F.col("folded") == F.col("held_name")) & ~same,
+            "left_semi",
+        )
+        .drop("folded")
     )
-    return wanted.join(
-        held,
-        (F.col("owner_id") == F.col("held_owner"))
-        & (F.col("folded") == F.col("held_name"))
-        & ~F.col("id").eqNullSafe(F.col("held_id")),
-        "left_semi",
-    ).drop("folded")
 
 
 def orphans(child: DataFrame, parent: DataFrame, reference: str, table: str) -> DataFrame:

@@ -24,7 +24,7 @@ from hearthlog.operators import (
 from hearthlog.session import configure, scratch_dir
 from hearthlog.sources import driver_tables as tables
 from hearthlog.sources import sinks
-from hearthlog.sources.tables import in_range
+from hearthlog.sources.tables import in_range, read_readings
 from hearthlog.sources.templates import default_templates
 from hearthlog.streaming import jobs
 
@@ -161,15 +161,32 @@ def sensor_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_list(spark: SparkSession, sf: str) -> DataFrame:
+    ids = tables.sensor_ids(spark, sf)
     return _rounded(
-        recent.rule_list(tables.rules(spark, sf), tables.sensors(spark, sf), tables.users(spark, sf)),
+        recent.rule_list(tables.rules(spark, sf, ids), tables.sensors(spark, sf, ids), tables.users(spark, sf)),
         "threshold_value",
     )
 
 
 @query
 def owner_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return recent.owner_counts(tables.sensors(spark, sf), tables.readings(spark, sf), tables.rules(spark, sf))
+    ids = tables.sensor_ids(spark, sf)
+    return recent.owner_counts(
+        tables.sensors(spark, sf, ids), tables.readings(spark, sf), tables.rules(spark, sf, ids)
+    )
+
+
+@query
+def stored_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the fact table by day and read one week back; the scan prunes to the days of the week."""
+    path = f"{scratch_dir(spark)}/readings-{uuid.uuid4().hex}"
+    sinks.write_readings(tables.readings(spark, sf), path)
+    return in_range(read_readings(spark, path), AS_OF.replace(day=22, hour=0), AS_OF.replace(day=29, hour=0))
+
+
+@query
+def unusable_zones(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.unusable_zones(tables.raw_sensors(spark, sf))
 
 
 @query
@@ -231,7 +248,9 @@ def rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def last_seen(spark: SparkSession, sf: str) -> DataFrame:
-    seen = ingest.last_seen(tables.sensors(spark, sf), ingest.accepted_readings(_classified(spark, sf)))
+    sensors = tables.sensors(spark, sf)
+    classified = ingest.classify(tables.requests(spark, sf), sensors)
+    seen = ingest.last_seen(sensors, ingest.accepted_readings(classified))
     return seen.select(F.col("id").alias("sensor_id"), "last_seen_at")
 
 
@@ -284,12 +303,10 @@ def alerts_suppressed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _alert_events(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.alert_events(
-        alerts.fired(_evaluated(spark, sf)),
-        tables.rules(spark, sf),
-        tables.sensors(spark, sf),
-        tables.users(spark, sf),
-    )
+    ids, users = tables.sensor_ids(spark, sf), tables.users(spark, sf)
+    rules, sensors = tables.rules(spark, sf, ids), tables.sensors(spark, sf, ids)
+    fires = alerts.fired(alerts.evaluate_alerts(tables.readings(spark, sf), rules, users))
+    return alerts.alert_events(fires, rules, sensors, users)
 
 
 @query
@@ -317,6 +334,21 @@ def alert_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def rule_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
+    """Each rule's last firing and whether it is still cooling down at the reference instant."""
+    ids = tables.sensor_ids(spark, sf)
+    rules = tables.rules(spark, sf, ids)
+    fires = alerts.fired(alerts.evaluate_alerts(tables.readings(spark, sf), rules, tables.users(spark, sf)))
+    last = fires.groupBy(F.col("rule_id").alias("id")).agg(F.max("recorded_at").alias("last_fired_at"))
+    now = F.lit(AS_OF).cast("timestamp")
+    return rules.join(last, "id", "left").select(
+        F.col("id").alias("rule_id"),
+        "last_fired_at",
+        alerts.cooldown_active(F.col("last_fired_at"), F.col("cooldown_minutes"), now).alias("cooling_down"),
+    )
+
+
 @query
 def alert_messages(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.alert_messages(_alert_events(spark, sf), default_templates(spark))
@@ -353,10 +385,11 @@ def cap_two_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def quality_violations(spark: SparkSession, sf: str) -> DataFrame:
+    sensors, rules = tables.sensors(spark, sf), tables.raw_rules(spark, sf)
     checked = [
         quality.violations(tables.raw_readings(spark, sf), "sensor_readings", quality.reading_checks()),
-        quality.violations(tables.raw_rules(spark, sf), "alert_rules", quality.rule_checks()),
-        quality.rule_sensor_violations(tables.raw_rules(spark, sf), tables.sensors(spark, sf)),
+        quality.violations(rules, "alert_rules", quality.rule_checks()),
+        quality.rule_sensor_violations(rules, sensors),
         quality.violations(tables.raw_sensors(spark, sf), "sensors", quality.sensor_checks()),
         quality.violations(tables.raw_users(spark, sf), "app_users", quality.user_checks()),
         quality.violations(tables.challenges(spark, sf), "challenges", quality.challenge_checks()),
@@ -421,7 +454,8 @@ def retained_challenges(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def after_sensor_delete(spark: SparkSession, sf: str) -> DataFrame:
     """What is left once all inactive sensors are deleted, with their readings and rules."""
-    sensors, checked_rules = tables.sensors(spark, sf), tables.rules(spark, sf)
+    ids = tables.sensor_ids(spark, sf)
+    sensors, checked_rules = tables.sensors(spark, sf, ids), tables.rules(spark, sf, ids)
     left = retention.delete_sensors(
         sensors, tables.raw_readings(spark, sf), checked_rules, sensors.where(~F.col("active"))
     )

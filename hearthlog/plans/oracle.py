@@ -546,6 +546,15 @@ GROUP BY s.owner_id""",
             "SELECT * FROM readings WHERE recorded_at >= TIMESTAMP '2024-01-22' "
             "AND recorded_at < TIMESTAMP '2024-01-29' AND (unit IN ('C', 'PERCENT') OR boolean_value)",
         ),
+        "stored_readings": _with(
+            "readings",
+            "SELECT *, CAST(recorded_at AS DATE) AS recorded_date FROM readings "
+            "WHERE recorded_at >= TIMESTAMP '2024-01-22' AND recorded_at < TIMESTAMP '2024-01-29'",
+        ),
+        "unusable_zones": _with(
+            "raw_sensors",
+            f"SELECT id AS sensor_id, tz AS time_zone_id FROM raw_sensors WHERE NOT list_contains({_ZONES}, tz)",
+        ),
         "rule_form_sensors": _with(
             "sensors",
             "SELECT id AS sensor_id, type <> 'MOTION' AS numeric_rules, type = 'MOTION' AS motion_rules, "
@@ -611,6 +620,15 @@ SELECT rule_id, reading_id, email AS recipient_email, lang AS recipient_language
        cooldown AS cooldown_minutes, op AS comparison_operator, numeric_value AS reading_value,
        threshold AS threshold_value, unit
 FROM alerts""",
+        ),
+        "rule_cooldowns": _with(
+            "walk rules",
+            f"""
+SELECT r.id AS rule_id, f.last_fired_at,
+       coalesce(f.last_fired_at + to_minutes(r.cooldown) > {_NOW}, false) AS cooling_down
+FROM rules r
+LEFT JOIN (SELECT rule_id, max(recorded_at) AS last_fired_at FROM walk WHERE fired GROUP BY rule_id) f
+  ON f.rule_id = r.id""",
         ),
         "alert_messages": _messages(),
         "cap_per_window": _with(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,12 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Settings a session can only be started with.
+_AT_START = {
+    # Recording the Python call site of every column costs more than building the plans here.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
@@ -30,7 +37,7 @@ def build_session(app_name: str = "hearthlog", master: str | None = None, **conf
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for name, value in _RUNTIME.items():
+    for name, value in {**_RUNTIME, **_AT_START}.items():
         builder = builder.config(name, value)
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
@@ -58,13 +65,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there.
+    """Write ``df`` once to the shared folder and go on from the written table.
 
     Used where several passes need the same rows: the source is scanned once, every pass sees
-    identical rows, and a lost executor costs a re-read rather than a re-computation.
+    identical rows and reads only the columns it needs, and a lost executor costs a re-read rather
+    than a re-computation. Spark also knows the true size of the table from then on, which is what
+    it bases its choice of joins on.
     """
     spark = df.sparkSession
-    folder = scratch_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from hearthlog.session import cut
 
 AS_OF = dt.datetime(2024, 1, 30, 12, 0, 0, tzinfo=dt.timezone.utc)
 
@@ -63,15 +64,21 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sensor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).selectExpr("user_id AS u").distinct()
+def sensor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct sensors of the feed, written down as the small table they are.
+
+    A stored sensor table has a known size and is read as often as a query likes; a DISTINCT over
+    the whole feed would be repeated for every use.
+    """
+    return cut(events(spark, sf_dir).selectExpr("user_id AS u").distinct())
 
 
 _SENSOR_TYPE = "CASE u % 3 WHEN 0 THEN 'TEMPERATURE' WHEN 1 THEN 'HUMIDITY' ELSE 'MOTION' END"
 
 
-def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sensor_ids(spark, sf_dir).selectExpr(
+def sensors(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """The sensor table; pass ``ids`` to derive several tables from one list of sensors."""
+    return (ids or sensor_ids(spark, sf_dir)).selectExpr(
         "u AS id",
         "u % 10 AS owner_id",
         f"{_SENSOR_TYPE} AS type",
@@ -88,8 +95,9 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sensor_ids(spark, sf_dir).selectExpr(
+def rules(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """One alert rule per sensor."""
+    return (ids or sensor_ids(spark, sf_dir)).selectExpr(
         "2 * u AS id",
         "u % 10 AS owner_id",
         "u AS sensor_id",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog import schema
+from hearthlog.functions import text
 
 # Alert texts per language.
 MESSAGES = {
@@ -64,7 +65,7 @@ MESSAGES = {
 
 def default_templates(spark: SparkSession) -> DataFrame:
     """The built-in bundles as a ``(lang, key, template)`` table."""
-    rows = [(lang, key, text) for lang, bundle in MESSAGES.items() for key, text in bundle.items()]
+    rows = [(lang, key, template) for lang, bundle in MESSAGES.items() for key, template in bundle.items()]
     return spark.createDataFrame(rows, schema.TEMPLATES)
 
 
@@ -81,7 +82,8 @@ def read_bundle(spark: SparkSession, path: str, lang: str) -> DataFrame:
 
 
 def bundles(templates: DataFrame) -> DataFrame:
-    """One row per language with all its templates as a map."""
-    return templates.groupBy("lang").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "template"))).alias("bundle")
+    """One row per language with all its templates as a map, each already cut into pieces."""
+    cut = templates.select("lang", "key", text.template_pieces(F.col("template")).alias("pieces"))
+    return cut.groupBy("lang").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "pieces"))).alias("bundle")
     )

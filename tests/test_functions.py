@@ -73,7 +73,7 @@ def test_form_fields(spark):
         ("sensorToken=%zz", None),
         ("", ""),
     ]
-    got = evaluate(spark, rows, "b string, want string", text.form_field(F.col("b"), "sensorToken"), F.col("want"))
+    got = evaluate(spark, rows, "b string, want string", text.form_field(F.col("b"), F.lit("sensorToken")), F.col("want"))
     assert all(have == want for have, want in got), got
 
 

@@ -47,6 +47,25 @@ def test_query(spark, duck, name):
     assert got == want and got
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["daily_stats_7d", "sensor_statistics_nested", "recent_readings", "accepted_readings", "alerts_fired", "orphans",
+     "name_taken", "canonical_rules"],
+)
+def test_query_without_broadcasts(spark, duck, name):
+    """The same results when every table is too large to broadcast."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for setting in names:
+        spark.conf.set(setting, "-1")
+    try:
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        test_query(spark, duck, name)
+    finally:
+        for setting in names:
+            spark.conf.unset(setting)
+
+
 def test_known_counts(spark):
     count = lambda name: QUERIES[name](spark, SMALL).count()
     outcomes = {r.outcome: r.requests for r in QUERIES["ingest_outcomes"](spark, SMALL).collect()}
