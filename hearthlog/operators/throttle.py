@@ -45,8 +45,10 @@ HOT_KEY_EVENTS = 20_000_000
 # Target events per stripe; one stripe is held in memory as two long columns.
 STRIPE_EVENTS = 2_000_000
 
-# Stripes (or groups of stripes) folded into one group per level.
+# Stripes (or groups of stripes) folded into one group per level, and the most hops (members times
+# cells) a task holds for it; long histories of short windows get smaller groups.
 FAN_OUT = 64
+GROUP_HOPS = 4_000_000
 
 # Fixed value: key used for a missing or blank key.
 UNKNOWN_KEY = "[unknown]"
@@ -71,7 +73,7 @@ def cap_per_window(
 
     ``last_admitted`` names, per row of a key, the instant at which the key's latest window opened
     before these events; that window counts as used up. ``width_minutes`` and ``last_admitted`` are
-    constant within a key; key, time and id are never NULL.
+    constant within a key; key, time and id are never NULL, and an id occurs once per key.
 
     The events are written once to the shared folder: they are counted per key first, and the
     source is not scanned again for the walk.
@@ -90,16 +92,21 @@ def cap_per_window(
             F.count(F.lit(1)).alias("__events"),
             F.max(_W).alias(_W),
             F.coalesce(F.max(_SEED), F.min(_T)).alias("__origin"),
+            F.max(_T).alias("__newest"),
         )
         .where(F.col("__events") > hot_key_events)
+        .withColumn("__cells", (F.col("__newest") - F.col("__origin")) / F.col(_W))
     )
-    largest = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("__events").alias("events")).first()
+    found = hot.agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("__events").alias("events"), F.max("__cells").alias("cells")
+    ).first()
     helper = (_T, _W, _N, _SEED)
-    if largest["keys"] == 0:
+    if found["keys"] == 0:
         return _sequential(staged, key, event_id, flag).drop(*helper)
     # At most events / hot_key_events keys can be hot, so this table is small by construction.
     hot_keys = F.broadcast(hot.select(key, "__origin").transform(cut))
-    stripes = max(2, math.ceil(largest["events"] / stripe_events))
+    stripes = max(2, math.ceil(found["events"] / stripe_events))
+    fan_out = max(2, min(fan_out, int(GROUP_HOPS / max(1, found["cells"]))))
     cold = _sequential(staged.join(hot_keys, key, "left_anti"), key, event_id, flag)
     busy = _striped(staged.join(hot_keys, key), key, event_id, limit, stripes, fan_out, flag)
     return cold.unionByName(busy.select(*cold.columns)).drop(*helper)
