@@ -184,16 +184,18 @@ def duplicate_keys(df: DataFrame, table: str, rule: str, *key: Column) -> DataFr
     )
 
 
-def table_duplicates(users: DataFrame, sensors: DataFrame, challenges: DataFrame) -> DataFrame:
+def table_duplicates(
+    users: DataFrame, sensors: DataFrame, verifications: DataFrame, resets: DataFrame
+) -> DataFrame:
     """All unique keys of the data model."""
-    return (
-        duplicate_keys(users, "app_users", "email", F.lower("email"))
-        .unionByName(
-            duplicate_keys(sensors, "sensors", "owner_name", F.col("owner_id"), F.lower("name"))
-        )
-        .unionByName(duplicate_keys(sensors, "sensors", "token_hash", F.col("ingestion_token_hash")))
-        .unionByName(duplicate_keys(challenges, "challenges", "user_id", F.col("user_id")))
-    )
+    found = [
+        duplicate_keys(users, "app_users", "email", F.lower("email")),
+        duplicate_keys(sensors, "sensors", "owner_name", F.col("owner_id"), F.lower("name")),
+        duplicate_keys(sensors, "sensors", "token_hash", F.col("ingestion_token_hash")),
+        duplicate_keys(verifications, "email_verification_challenges", "user_id", F.col("user_id")),
+        duplicate_keys(resets, "password_reset_challenges", "user_id", F.col("user_id")),
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def name_taken(candidates: DataFrame, sensors: DataFrame) -> DataFrame:

@@ -44,16 +44,42 @@ def purge_readings(spark: SparkSession, table: str, as_of: dt.datetime, days: in
     # Partition names only: one entry per day of history.
     dates = [row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
     expired = sorted(day for day in dates if day < boundary.isoformat())
-    if expired:
-        specs = ", ".join(f"PARTITION (recorded_date = DATE'{day}')" for day in expired)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    _drop_days(spark, table, expired)
     if boundary.isoformat() not in dates:
         return
     day = spark.table(table).where(F.col("recorded_date") == F.lit(boundary))
-    keep = cut(retained(day, "recorded_at", cutoff))
-    _overwrite_partitions(spark, keep, table)
-    if keep.isEmpty():
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (recorded_date = DATE'{boundary}')")
+    _replace_days(spark, table, [boundary.isoformat()], retained(day, "recorded_at", cutoff))
+
+
+def purge_sensor_readings(spark: SparkSession, table: str, deleted: DataFrame) -> None:
+    """Delete the readings of the sensors listed in ``deleted`` from a partitioned catalogue table.
+
+    Only the days on which those sensors have readings are rewritten.
+    """
+    gone = deleted.select(F.col("id").alias("sensor_id"))
+    touched = spark.table(table).join(gone, "sensor_id", "left_semi").select("recorded_date").distinct()
+    # One row per day of history.
+    days = sorted(row[0].isoformat() for row in touched.collect())
+    if days:
+        rows = spark.table(table).where(F.col("recorded_date").isin([dt.date.fromisoformat(day) for day in days]))
+        _replace_days(spark, table, days, without_sensors(rows, deleted))
+
+
+def _drop_days(spark: SparkSession, table: str, days: list[str]) -> None:
+    if days:
+        specs = ", ".join(f"PARTITION (recorded_date = DATE'{day}')" for day in days)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+
+
+def _replace_days(spark: SparkSession, table: str, days: list[str], rows: DataFrame) -> None:
+    """Make ``rows`` the whole content of the given days.
+
+    The rows come from the table itself, so they are staged before their partitions are replaced.
+    """
+    staged = cut(rows)
+    _overwrite_partitions(spark, staged, table)
+    left = {row[0].isoformat() for row in staged.select("recorded_date").distinct().collect()}
+    _drop_days(spark, table, [day for day in days if day not in left])
 
 
 def _overwrite_partitions(spark: SparkSession, df: DataFrame, table: str) -> None:

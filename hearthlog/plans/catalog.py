@@ -392,7 +392,12 @@ def quality_violations(spark: SparkSession, sf: str) -> DataFrame:
         quality.rule_sensor_violations(rules, sensors),
         quality.violations(tables.raw_sensors(spark, sf), "sensors", quality.sensor_checks()),
         quality.violations(tables.raw_users(spark, sf), "app_users", quality.user_checks()),
-        quality.violations(tables.challenges(spark, sf), "challenges", quality.challenge_checks()),
+        quality.violations(
+            tables.challenges(spark, sf), "email_verification_challenges", quality.challenge_checks()
+        ),
+        quality.violations(
+            tables.reset_challenges(spark, sf), "password_reset_challenges", quality.challenge_checks()
+        ),
     ]
     found = checked[0]
     for more in checked[1:]:
@@ -403,7 +408,10 @@ def quality_violations(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     return quality.table_duplicates(
-        tables.raw_users(spark, sf), tables.raw_sensors(spark, sf), tables.challenges(spark, sf)
+        tables.raw_users(spark, sf),
+        tables.raw_sensors(spark, sf),
+        tables.challenges(spark, sf),
+        tables.reset_challenges(spark, sf),
     )
 
 
@@ -423,6 +431,7 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
         quality.orphans(checked_rules, users, "owner_id", "alert_rules"),
         quality.orphans(tables.raw_sensors(spark, sf), users, "owner_id", "sensors"),
         quality.orphans(tables.readings(spark, sf), tables.raw_sensors(spark, sf), "sensor_id", "sensor_readings"),
+        quality.orphans(tables.reset_challenges(spark, sf), users, "user_id", "password_reset_challenges"),
     ):
         found = found.unionByName(more)
     return found
@@ -448,7 +457,10 @@ def retained_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def retained_challenges(spark: SparkSession, sf: str) -> DataFrame:
-    return retention.retained_challenges(tables.challenges(spark, sf), AS_OF)
+    """Both challenge tables after the purge of everything that has expired."""
+    verifications = tables.challenges(spark, sf).withColumn("table_name", F.lit("email_verification_challenges"))
+    resets = tables.reset_challenges(spark, sf).withColumn("table_name", F.lit("password_reset_challenges"))
+    return retention.retained_challenges(verifications.unionByName(resets), AS_OF)
 
 
 @query
@@ -523,8 +535,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     requests = tables.as_requests(tables.stream_events(spark, sf))
     run = jobs.stream_ingest(requests, lambda: tables.sensors(spark, sf), out, checkpoint, available_now=True)
     run.awaitTermination()
-    layout = "id bigint, sensor_id bigint, numeric_value double, boolean_value boolean, unit string, recorded_at timestamp"
-    return spark.read.schema(layout).parquet(f"{out}/readings").drop("epoch")
+    return read_readings(spark, f"{out}/readings").drop("epoch", "recorded_date")
 
 
 @query

@@ -25,6 +25,19 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _challenges(table: str, number: str) -> str:
+    return f"""
+SELECT n AS id, CASE WHEN n % 40 = 1 THEN n - 1 ELSE n END AS user_id,
+       CASE WHEN n % 34 = 0 THEN ' ' ELSE sha256('code-' || n) END AS code_hash,
+       base AS issued_at,
+       base + to_minutes(CASE WHEN n % 38 = 0 THEN 0 ELSE 15 END) AS expires_at,
+       base + to_minutes(CASE WHEN n % 46 = 0 THEN 21 ELSE 1 END) AS resend_available_at,
+       CAST(n % 7 - CASE WHEN n % 58 = 0 THEN 7 ELSE 0 END AS INTEGER) AS failed_attempts,
+       base + to_minutes(CASE WHEN n % 62 = 0 THEN 5 ELSE 0 END) AS created_at,
+       base - to_minutes(CASE WHEN n % 74 = 0 THEN 5 ELSE 0 END) AS updated_at
+FROM (SELECT {number} AS n, TIMESTAMP '2024-01-30 11:00:00' + to_minutes({number} % 90) AS base FROM {table})"""
+
+
 _TABLES = {
     "users": f"""
 SELECT c_custkey AS id, lower(c_name) || '@example.com' AS email,
@@ -165,16 +178,8 @@ SELECT c_custkey AS id,
        CASE WHEN c_custkey % 67 = 0 THEN TIMESTAMP '2023-11-30'
             WHEN c_custkey % 5 <> 4 THEN TIMESTAMP '2023-12-02' END AS verified_at
 FROM customer""",
-    "challenges": """
-SELECT c_custkey AS id, CASE WHEN c_custkey % 40 = 1 THEN c_custkey - 1 ELSE c_custkey END AS user_id,
-       CASE WHEN c_custkey % 34 = 0 THEN ' ' ELSE sha256('code-' || c_custkey) END AS code_hash,
-       base AS issued_at,
-       base + to_minutes(CASE WHEN c_custkey % 38 = 0 THEN 0 ELSE 15 END) AS expires_at,
-       base + to_minutes(CASE WHEN c_custkey % 46 = 0 THEN 21 ELSE 1 END) AS resend_available_at,
-       CAST(c_custkey % 7 - CASE WHEN c_custkey % 58 = 0 THEN 7 ELSE 0 END AS INTEGER) AS failed_attempts,
-       base + to_minutes(CASE WHEN c_custkey % 62 = 0 THEN 5 ELSE 0 END) AS created_at,
-       base - to_minutes(CASE WHEN c_custkey % 74 = 0 THEN 5 ELSE 0 END) AS updated_at
-FROM (SELECT *, TIMESTAMP '2024-01-30 11:00:00' + to_minutes(c_custkey % 90) AS base FROM customer)""",
+    "challenges": _challenges("customer", "c_custkey"),
+    "resets": _challenges("part", "p_partkey"),
     "code_requests": """
 SELECT event_id AS id, ts AS requested_at, 'user-' || user_id AS address_key,
        CASE WHEN user_id % 10 = 3 THEN '[unknown]' ELSE 'client-' || (user_id % 10) END AS client_key
@@ -360,7 +365,7 @@ def _quality() -> str:
         "(SELECT r.*, s.type, s.owner_id AS sensor_owner FROM raw_rules r JOIN sensors s ON s.id = r.sensor_id)"
     )
     return _with(
-        "raw_readings raw_rules raw_sensors raw_users challenges sensors",
+        "raw_readings raw_rules raw_sensors raw_users challenges resets sensors",
         "\nUNION ALL\n".join(
             [
                 _checks("sensor_readings", "raw_readings", readings),
@@ -368,7 +373,8 @@ def _quality() -> str:
                 _checks("alert_rules", joined, pairs),
                 _checks("sensors", "raw_sensors", sensors),
                 _checks("app_users", "raw_users", users),
-                _checks("challenges", "challenges", challenges),
+                _checks("email_verification_challenges", "challenges", challenges),
+                _checks("password_reset_challenges", "resets", challenges),
             ]
         ),
     )
@@ -646,7 +652,7 @@ FROM code_requests c JOIN address_walk a USING (id) JOIN client_walk w USING (id
         ),
         "quality_violations": _quality(),
         "duplicate_keys": _with(
-            "raw_users raw_sensors challenges",
+            "raw_users raw_sensors challenges resets",
             """
 SELECT 'app_users' AS table_name, 'email' AS rule, lower(email) AS key_value, count(*) AS n_rows
 FROM raw_users GROUP BY lower(email) HAVING count(*) > 1
@@ -657,8 +663,11 @@ UNION ALL
 SELECT 'sensors', 'token_hash', token_hash, count(*)
 FROM raw_sensors WHERE token_hash IS NOT NULL GROUP BY token_hash HAVING count(*) > 1
 UNION ALL
-SELECT 'challenges', 'user_id', CAST(user_id AS VARCHAR), count(*)
-FROM challenges GROUP BY user_id HAVING count(*) > 1""",
+SELECT 'email_verification_challenges', 'user_id', CAST(user_id AS VARCHAR), count(*)
+FROM challenges GROUP BY user_id HAVING count(*) > 1
+UNION ALL
+SELECT 'password_reset_challenges', 'user_id', CAST(user_id AS VARCHAR), count(*)
+FROM resets GROUP BY user_id HAVING count(*) > 1""",
         ),
         "name_taken": _with(
             "raw_sensors",
@@ -666,7 +675,7 @@ FROM challenges GROUP BY user_id HAVING count(*) > 1""",
             "WHERE h.owner_id = c.owner_id AND lower(trim(h.name)) = lower(trim(c.name)) AND h.id <> c.id)",
         ),
         "orphans": _with(
-            "raw_rules raw_sensors sensors users readings",
+            "raw_rules raw_sensors sensors users readings resets",
             """
 SELECT 'alert_rules' AS table_name, 'sensor_id' AS reference, id AS row_id, sensor_id AS missing_id
 FROM raw_rules WHERE sensor_id NOT IN (SELECT id FROM sensors)
@@ -676,7 +685,9 @@ UNION ALL
 SELECT 'sensors', 'owner_id', id, owner_id FROM raw_sensors WHERE owner_id NOT IN (SELECT id FROM users)
 UNION ALL
 SELECT 'sensor_readings', 'sensor_id', id, sensor_id FROM readings
-WHERE sensor_id NOT IN (SELECT id FROM raw_sensors)""",
+WHERE sensor_id NOT IN (SELECT id FROM raw_sensors)
+UNION ALL
+SELECT 'password_reset_challenges', 'user_id', id, user_id FROM resets WHERE user_id NOT IN (SELECT id FROM users)""",
         ),
         "rule_owner_mismatch": _with(
             "raw_rules sensors",
@@ -725,7 +736,13 @@ FROM orders"""
         "retained_readings": _with(
             "readings", "SELECT * FROM readings WHERE recorded_at >= TIMESTAMP '2024-01-16 12:00:00'"
         ),
-        "retained_challenges": _with("challenges", f"SELECT * FROM challenges WHERE expires_at > {_NOW}"),
+        "retained_challenges": _with(
+            "challenges resets",
+            f"""
+SELECT *, 'email_verification_challenges' AS table_name FROM challenges WHERE expires_at > {_NOW}
+UNION ALL
+SELECT *, 'password_reset_challenges' FROM resets WHERE expires_at > {_NOW}""",
+        ),
         "after_sensor_delete": _with(
             "sensors raw_readings rules",
             f"""

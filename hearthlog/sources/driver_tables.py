@@ -265,21 +265,28 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-time-code challenges, one per customer, expiring around the reference instant."""
-    return _table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey AS id",
-        "CASE WHEN c_custkey % 40 = 1 THEN c_custkey - 1 ELSE c_custkey END AS user_id",
-        "CASE WHEN c_custkey % 34 = 0 THEN ' ' ELSE sha2('code-' || c_custkey, 256) END AS code_hash",
-        "timestamp'2024-01-30 11:00:00' + make_dt_interval(0, 0, cast(c_custkey % 90 AS int)) AS issued_at",
-        "timestamp'2024-01-30 11:15:00' + make_dt_interval(0, 0, cast(c_custkey % 90 AS int)) "
-        "- make_dt_interval(0, 0, CASE WHEN c_custkey % 38 = 0 THEN 15 ELSE 0 END) AS expires_at",
-        "timestamp'2024-01-30 11:01:00' + make_dt_interval(0, 0, cast(c_custkey % 90 AS int)) "
-        "+ make_dt_interval(0, 0, CASE WHEN c_custkey % 46 = 0 THEN 20 ELSE 0 END) AS resend_available_at",
-        "cast(c_custkey % 7 - CASE WHEN c_custkey % 58 = 0 THEN 7 ELSE 0 END AS int) AS failed_attempts",
-        "timestamp'2024-01-30 11:00:00' + make_dt_interval(0, 0, cast(c_custkey % 90 AS int)) "
-        "+ make_dt_interval(0, 0, CASE WHEN c_custkey % 62 = 0 THEN 5 ELSE 0 END) AS created_at",
-        "timestamp'2024-01-30 11:00:00' + make_dt_interval(0, 0, cast(c_custkey % 90 AS int)) "
-        "- make_dt_interval(0, 0, CASE WHEN c_custkey % 74 = 0 THEN 5 ELSE 0 END) AS updated_at",
+    """Email verification challenges, one per customer, expiring around the reference instant."""
+    return _challenges(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS n"))
+
+
+def reset_challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Password reset challenges, one per part."""
+    return _challenges(_table(spark, sf_dir, "part").selectExpr("p_partkey AS n"))
+
+
+def _challenges(numbers: DataFrame) -> DataFrame:
+    base = "timestamp'2024-01-30 11:00:00' + make_dt_interval(0, 0, cast(n % 90 AS int))"
+    later = lambda minutes: f"{base} + make_dt_interval(0, 0, {minutes})"
+    return numbers.selectExpr(
+        "n AS id",
+        "CASE WHEN n % 40 = 1 THEN n - 1 ELSE n END AS user_id",
+        "CASE WHEN n % 34 = 0 THEN ' ' ELSE sha2('code-' || n, 256) END AS code_hash",
+        f"{base} AS issued_at",
+        later("CASE WHEN n % 38 = 0 THEN 0 ELSE 15 END") + " AS expires_at",
+        later("CASE WHEN n % 46 = 0 THEN 21 ELSE 1 END") + " AS resend_available_at",
+        "cast(n % 7 - CASE WHEN n % 58 = 0 THEN 7 ELSE 0 END AS int) AS failed_attempts",
+        later("CASE WHEN n % 62 = 0 THEN 5 ELSE 0 END") + " AS created_at",
+        later("CASE WHEN n % 74 = 0 THEN -5 ELSE 0 END") + " AS updated_at",
     )
 
 

@@ -28,12 +28,12 @@ def write_rejects(rejected: DataFrame, path: str) -> None:
     rejected.write.mode("append").partitionBy("outcome").parquet(path)
 
 
-def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+def write_epoch(df: DataFrame, path: str, epoch: int, *partitions: str) -> None:
     """Write the rows of one micro-batch under its own folder.
 
     A replayed batch overwrites its folder, so every row is kept exactly once.
     """
-    df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/epoch={epoch}")
 
 
 def write_alerts(alerts: DataFrame, path: str, epoch: int) -> None:

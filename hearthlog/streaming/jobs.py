@@ -18,7 +18,7 @@ from hearthlog import schema
 from hearthlog.functions import zones
 from hearthlog.operators import alerts, ingest, stats
 from hearthlog.session import cut
-from hearthlog.sources.sinks import write_epoch
+from hearthlog.sources.sinks import write_alerts, write_epoch
 
 Table = Callable[[], DataFrame]
 
@@ -35,27 +35,21 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Classify requests as they arrive; write readings, rejects and each sensor's newest reading.
 
-    The classified rows are written once and read back by outcome, so the feed is read once.
+    The classified rows are staged once, so the feed is read once for all outputs.
     """
 
     def body(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        staged = f"{out}/classified/epoch={epoch}"
-        ingest.classify(batch, sensors()).write.mode("overwrite").partitionBy("outcome").parquet(staged)
-        classified = spark.read.schema(_CLASSIFIED).parquet(staged)
+        classified = cut(ingest.classify(batch, sensors()))
         readings = ingest.accepted_readings(classified)
-        write_epoch(readings, f"{out}/readings", epoch)
-        write_epoch(ingest.rejects(classified), f"{out}/rejects", epoch)
+        dated = readings.withColumn("recorded_date", F.to_date("recorded_at"))
+        write_epoch(dated, f"{out}/readings", epoch, "recorded_date")
+        write_epoch(ingest.rejects(classified), f"{out}/rejects", epoch, "outcome")
         newest = readings.groupBy("sensor_id").agg(F.max("recorded_at").alias("last_seen_at"))
         write_epoch(newest, f"{out}/last_seen", epoch)
 
     return _start(requests, body, checkpoint, available_now)
 
 
-_CLASSIFIED = (
-    "request_id bigint, received_at timestamp, reported_type string, sensor_id bigint, "
-    "numeric_value double, boolean_value boolean, outcome string"
-)
 _OUTBOX = (
     "rule_id bigint, reading_id bigint, sensor_id bigint, recorded_at timestamp, numeric_value double, "
     "epoch bigint"
@@ -98,7 +92,7 @@ def stream_alerts(
         matches = cut(alerts.alert_matches(batch, rules(), users()))
         seeded = _with_last_firing(matches, _outbox_before(spark, outbox, epoch), epoch)
         evaluated = alerts.cooldown(seeded, **sizes)
-        write_epoch(alerts.fired(evaluated), outbox, epoch)
+        write_alerts(alerts.fired(evaluated), outbox, epoch)
         write_epoch(alerts.suppressed_counts(evaluated), f"{out}/suppressed", epoch)
 
     return _start(readings, body, checkpoint, available_now)

@@ -127,6 +127,13 @@ def test_purge_drops_days_and_rewrites_one(spark, tmp_path):
     assert left.count() == want.count() == 384
     assert left.select(*want.columns).exceptAll(want).count() == 0
     assert len(spark.sql("SHOW PARTITIONS stored_readings").collect()) == 15
+    gone = spark.createDataFrame([(3,), (4,)], "id bigint")
+    retention.purge_sensor_readings(spark, "stored_readings", gone)
+    assert spark.table("stored_readings").select(*want.columns).exceptAll(want.where("sensor_id NOT IN (3, 4)")).count() == 0
+    assert spark.table("stored_readings").count() == want.where("sensor_id NOT IN (3, 4)").count()
+    everything = driver_tables.sensors(spark, SMALL).where("id <> 0")
+    retention.purge_sensor_readings(spark, "stored_readings", everything)
+    assert {r.sensor_id for r in spark.table("stored_readings").select("sensor_id").distinct().collect()} == {0}
     retention.purge_readings(spark, "stored_readings", driver_tables.AS_OF + dt.timedelta(days=60))
     assert spark.table("stored_readings").count() == 0
 
