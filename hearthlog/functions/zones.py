@@ -25,6 +25,8 @@ _OFF_GRID_ID = (
 _NOT_IN_JVM = ("Factory", "localtime", "posixrules", "ROC")
 
 SLOT_SECONDS = 900
+# From this instant on all regions keep offsets that are multiples of a slot.
+ON_GRID_SINCE = "1973-01-01 00:00:00"
 
 
 @lru_cache(maxsize=1)
@@ -59,10 +61,9 @@ def safe_zone(column: str) -> Column:
 
 
 def on_quarter_hour(column: str) -> Column:
-    """TRUE when all present-day offsets of the zone in the named column are multiples of 15 minutes.
+    """TRUE when the zone in the named column keeps offsets that are multiples of 15 minutes.
 
-    That holds for every region of the time-zone database since 1973; only an offset-style id can
-    break it.
+    Every region of the time-zone database does since 1973; only an offset-style id can break it.
     """
     zone = F.col(column)
     return ~(zone.rlike(_OFFSET_ID) & zone.rlike(_OFF_GRID_ID))

@@ -5,8 +5,8 @@ on the map side (a hot sensor arrives as at most 96 rows a day per task) and, be
 are multiples of 15 minutes, local days and hours are exact unions of slots. Only the slots meet the
 sensor table, so whichever join Spark picks there moves a bounded number of rows per sensor.
 
-Ids such as ``+01:07`` are off that grid. Readings of those sensors get one-second slots, which are
-exact for every offset.
+Ids such as ``+01:07`` are off that grid, and so were some regions before 1973. Those readings get
+one-second slots, which are exact for every offset.
 """
 
 from __future__ import annotations
@@ -35,10 +35,13 @@ def rollup_15m(readings: DataFrame, off_grid: DataFrame | None = None) -> DataFr
     rows = readings.where(F.col("numeric_value").isNotNull() | F.col("boolean_value")).select(
         "sensor_id", "numeric_value", "boolean_value", "unit", "recorded_at"
     )
-    slot = zones.slot_start(F.col("recorded_at"))
+    fine = F.col("recorded_at") < F.lit(zones.ON_GRID_SINCE).cast("timestamp")
     if off_grid is not None:
         rows = rows.join(off_grid.withColumn("off_grid", F.lit(True)), "sensor_id", "left")
-        slot = F.when(F.col("off_grid"), F.date_trunc("second", "recorded_at")).otherwise(slot)
+        fine = fine | F.coalesce("off_grid", F.lit(False))
+    slot = F.when(fine, F.date_trunc("second", "recorded_at")).otherwise(
+        zones.slot_start(F.col("recorded_at"))
+    )
     return rows.groupBy("sensor_id", "unit", slot.alias("slot_start")).agg(
         F.sum("numeric_value").alias("sum_value"),
         F.count("numeric_value").alias("n_values"),

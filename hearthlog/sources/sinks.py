@@ -6,20 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Range-partition and sort rows before a partitioned write.
+def write_readings(accepted: DataFrame, path: str, clustered: bool = True) -> None:
+    """Append accepted readings to the fact table, one folder per UTC day.
 
-    Ranges over (date, key, time) give every task few output folders and compact statistics, and
-    a key that owns much of one day is still cut into several ranges by its times.
+    ``clustered`` gathers each day and lets AQE cut it into files of the advisory size, whatever the
+    day or a sensor weighs; inside a file rows are sorted by sensor and time, so that its row groups
+    can be skipped. Unlike a range partitioning this does not compute the rows twice to sample them.
     """
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-
-
-def write_readings(accepted: DataFrame, path: str, clustered: bool = True) -> None:
-    """Append accepted readings to the fact table, one folder per UTC day."""
     dated = accepted.withColumn("recorded_date", F.to_date("recorded_at"))
     if clustered:
-        dated = _spread(dated, "recorded_date", "sensor_id", "recorded_at")
+        dated = dated.hint("rebalance", "recorded_date").sortWithinPartitions(
+            "recorded_date", "sensor_id", "recorded_at"
+        )
     dated.write.mode("append").partitionBy("recorded_date").parquet(path)
 
 

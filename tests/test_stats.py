@@ -84,6 +84,13 @@ def test_off_grid_zone_is_exact(spark):
     assert stats.off_grid_sensors(sensors(spark, (1, "MOTION", "UTC"))) is None
 
 
+def test_old_offsets_are_exact(spark):
+    data = readings(spark, (1, 1.0, "C", "1971-12-31 00:44:29.999999"), (1, 2.0, "C", "1971-12-31 00:44:30"))
+    known = sensors(spark, (1, "TEMPERATURE", "Africa/Monrovia"))
+    got = {str(r.local_date): r.value for r in stats.daily_statistics(data, known, at("1971-12-31 12:00:00")).collect()}
+    assert (got["1971-12-30"], got["1971-12-31"]) == (1.0, 2.0)
+
+
 def test_unusable_zone_is_quarantined(spark):
     known = sensors(spark, (1, "MOTION", "Mars/Olympus"), (2, "MOTION", "UTC"))
     data = readings(spark, (1, True, None, "2024-01-30 01:00:00"), (2, True, None, "2024-01-30 01:00:00"))
