@@ -89,33 +89,29 @@ def stream_alerts(
 
     def body(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        matches = cut(alerts.alert_matches(batch, rules(), users()))
-        seeded = _with_last_firing(matches, _outbox_before(spark, outbox, epoch), epoch)
-        evaluated = alerts.cooldown(seeded, **sizes)
+        matches = alerts.alert_matches(batch, rules(), users())
+        if epoch > 0:
+            oldest = batch.agg(F.min("recorded_at").alias("at")).first()["at"]
+            matches = _with_last_firing(matches, _earlier_alerts(spark, outbox, epoch, oldest))
+        evaluated = alerts.cooldown(matches, **sizes)
         write_alerts(alerts.fired(evaluated), outbox, epoch)
         write_epoch(alerts.suppressed_counts(evaluated), f"{out}/suppressed", epoch)
 
     return _start(readings, body, checkpoint, available_now)
 
 
-def _outbox_before(spark: SparkSession, outbox: str, epoch: int) -> DataFrame:
-    """Alerts of earlier micro-batches; empty before the first one."""
-    if epoch == 0:
-        return spark.createDataFrame([], _OUTBOX)
-    return _epochs(spark, outbox, _OUTBOX).where(F.col("epoch") < epoch)
+def _earlier_alerts(spark: SparkSession, outbox: str, epoch: int, oldest: dt.datetime | None) -> DataFrame:
+    """Alerts of earlier micro-batches that can still hold back a reading at or after ``oldest``."""
+    earlier = _epochs(spark, outbox, _OUTBOX).where(F.col("epoch") < epoch)
+    if oldest is None:
+        return earlier.limit(0)
+    reach = oldest - dt.timedelta(minutes=schema.COOLDOWN_MAX_MINUTES)
+    return earlier.where(F.col("recorded_at") >= F.lit(reach))
 
 
-def _with_last_firing(matches: DataFrame, earlier: DataFrame, epoch: int) -> DataFrame:
+def _with_last_firing(matches: DataFrame, earlier: DataFrame) -> DataFrame:
     """Move ``last_triggered_at`` forward to the newest alert of earlier micro-batches."""
-    oldest = matches.agg(F.min("recorded_at").alias("at")).first()["at"]
-    if epoch == 0 or oldest is None:
-        return matches
-    reach = oldest - dt.timedelta(minutes=schema.COOLDOWN_MAX_MINUTES)
-    newest = (
-        earlier.where(F.col("recorded_at") >= F.lit(reach))
-        .groupBy("rule_id")
-        .agg(F.max("recorded_at").alias("newest"))
-    )
+    newest = earlier.groupBy("rule_id").agg(F.max("recorded_at").alias("newest"))
     return (
         matches.join(newest, "rule_id", "left")
         .withColumn("last_triggered_at", F.greatest("last_triggered_at", "newest"))
