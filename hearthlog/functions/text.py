@@ -102,14 +102,21 @@ def fill_pieces(pieces: Column, *arguments: Column) -> Column:
     Every placeholder is replaced once, so braces inside an argument (a sensor named ``{1}``) are
     left alone.
     """
-    values = F.array(*arguments)
+    # The outer transform over one element binds the arguments once; named directly in the inner
+    # function they would be computed again for every piece.
     filled = F.transform(
-        pieces,
-        lambda piece: F.when(piece["slot"].isNull(), piece["text"]).otherwise(
-            F.try_element_at(values, piece["slot"] + 1)
+        F.array(F.array(*arguments)),
+        lambda values: F.array_join(
+            F.transform(
+                pieces,
+                lambda piece: F.when(piece["slot"].isNull(), piece["text"]).otherwise(
+                    F.try_element_at(values, piece["slot"] + 1)
+                ),
+            ),
+            "",
         ),
     )
-    return F.array_join(filled, "")
+    return F.element_at(filled, 1)
 
 
 def fill_template(template: Column, *arguments: Column) -> Column:

@@ -255,14 +255,23 @@ def nested_statistics(
 
 
 def _folded(cells: Column) -> Column:
-    """Value of a bucket from its hourly partials, converted for display."""
-    total = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + F.coalesce(c["s"], F.lit(0.0)))
-    count = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
-    detections = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, c: acc + c["d"])
-    average = total / F.nullif(count, F.lit(0))
-    return F.when(
-        F.col("sensor_type") == "MOTION", F.coalesce(detections, F.lit(0)).cast("double")
-    ).otherwise(units.display_value(F.col("sensor_type"), average, F.col("unit")))
+    """Value of a bucket from its hourly partials, converted for display; one pass over the cells."""
+    nothing = F.struct(
+        F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d")
+    )
+    merge = lambda acc, c: F.struct(
+        (acc["s"] + F.coalesce(c["s"], F.lit(0.0))).alias("s"),
+        (acc["n"] + c["n"]).alias("n"),
+        (acc["d"] + c["d"]).alias("d"),
+    )
+    kind = F.col("sensor_type")
+    value = lambda acc: F.when(kind == "MOTION", acc["d"].cast("double")).otherwise(
+        units.display_value(kind, acc["s"] / F.nullif(acc["n"], F.lit(0)), F.col("unit"))
+    )
+    return F.aggregate(F.coalesce(cells, F.array().cast(_CELLS)), nothing, merge, value)
+
+
+_CELLS = "array<struct<days_ago:int,local_hour:int,s:double,n:bigint,d:bigint>>"
 
 
 def series_shape_ok(weekly: Column, hourly: Column) -> Column:
