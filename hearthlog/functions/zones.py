@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import zoneinfo
 from functools import lru_cache
 
@@ -32,10 +33,13 @@ ON_GRID_SINCE = "1973-01-01 00:00:00"
 @lru_cache(maxsize=1)
 def region_ids() -> tuple[str, ...]:
     """Region ids of the installed time-zone database that the JVM knows as well."""
+    known = zoneinfo.available_timezones()
+    if not known:
+        raise RuntimeError("the driver has no time-zone database (install tzdata)")
     return tuple(
         sorted(
             zone
-            for zone in zoneinfo.available_timezones()
+            for zone in known
             if zone not in _NOT_IN_JVM and not zone.startswith(("posix/", "right/", "build/"))
         )
     )
@@ -116,6 +120,11 @@ def zone_label(zone: Column, as_of: Column) -> Column:
     return F.concat(F.lit("UTC"), _signed_offset(offset_seconds(as_of, zone)), F.lit(" - "), zone)
 
 
+def utc_date(instant: dt.datetime) -> dt.date:
+    """UTC date of an aware ``datetime``, the partition it falls in."""
+    return instant.astimezone(dt.timezone.utc).date()
+
+
 def slot_start(instant: Column, seconds: int = SLOT_SECONDS) -> Column:
     """Start of the UTC slot an instant falls in."""
     epoch = F.unix_seconds(instant)

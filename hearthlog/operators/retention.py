@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthlog.functions.zones import utc_date
 from hearthlog.schema import RETENTION_DAYS
 from hearthlog.session import cut
 
@@ -24,7 +25,7 @@ def retained_readings(readings: DataFrame, as_of: dt.datetime, days: int = RETEN
     cutoff = as_of - dt.timedelta(days=days)
     kept = retained(readings, "recorded_at", cutoff)
     if "recorded_date" in readings.columns:
-        kept = kept.where(F.col("recorded_date") >= cutoff.date())
+        kept = kept.where(F.col("recorded_date") >= utc_date(cutoff))
     return kept
 
 
@@ -40,7 +41,7 @@ def purge_readings(spark: SparkSession, table: str, as_of: dt.datetime, days: in
     cutoff falls in is rewritten.
     """
     cutoff = as_of - dt.timedelta(days=days)
-    boundary = cutoff.date()
+    boundary = utc_date(cutoff)
     # Partition names only: one entry per day of history.
     dates = [row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
     expired = sorted(day for day in dates if day < boundary.isoformat())

@@ -57,6 +57,15 @@ def merge_rollups(*rollups: DataFrame) -> DataFrame:
     return merged.groupBy("sensor_id", "unit", "slot_start").agg(*_partials())
 
 
+def slots_around(rollup: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
+    """Slots of a stored rollup that can matter for the last ``days`` local days of any sensor.
+
+    The bounds are literals on the slot itself, so they reach the scan of the stored table.
+    """
+    first, last = _days_around(as_of, days)
+    return rollup.where((F.col("slot_start") >= _us(first)) & (F.col("slot_start") < _us(last)))
+
+
 def off_grid_sensors(sensors: DataFrame) -> DataFrame | None:
     """Ids of sensors that need fine slots, or None when there are none.
 
@@ -91,7 +100,7 @@ def _window(readings: DataFrame, first: dt.datetime, last: dt.datetime) -> DataF
     """Literal bound around the exact, zone-dependent one, so that the scan can prune."""
     kept = readings.where((F.col("recorded_at") >= _us(first)) & (F.col("recorded_at") < _us(last)))
     if "recorded_date" in readings.columns:
-        kept = kept.where(F.col("recorded_date").between(first.date(), last.date()))
+        kept = kept.where(F.col("recorded_date").between(zones.utc_date(first), zones.utc_date(last)))
     return kept
 
 

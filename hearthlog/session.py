@@ -51,7 +51,7 @@ def scratch_dir(spark: SparkSession) -> str:
     temporary folder, because its executors share the driver's disk.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     folder = context.getCheckpointDir()

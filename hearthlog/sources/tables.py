@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthlog import schema
+from hearthlog.functions.zones import utc_date
 
 
 def read_table(spark: SparkSession, path: str, layout: T.StructType, source: str = "parquet") -> DataFrame:
@@ -62,7 +63,7 @@ def in_range(readings: DataFrame, start: dt.datetime | Column, end: dt.datetime
     kept = readings.where((F.col("recorded_at") >= start) & (F.col("recorded_at") < end))
     literal = isinstance(start, dt.datetime) and isinstance(end, dt.datetime)
     if literal and "recorded_date" in readings.columns:
-        kept = kept.where(F.col("recorded_date").between(start.date(), end.date()))
+        kept = kept.where(F.col("recorded_date").between(utc_date(start), utc_date(end)))
     return kept
 
 

@@ -77,10 +77,13 @@ def stream_alerts(
     out: str,
     checkpoint: str,
     available_now: bool = False,
+    sensors: Table | None = None,
     **sizes: int,
 ) -> StreamingQuery:
     """Evaluate rules on arriving readings; fired alerts go to the outbox.
 
+    With ``sensors`` the full event records, for whatever sends the messages, are written as well.
+
     The outbox is also the state: a rule's last firing is its newest row of earlier micro-batches,
     and no cooldown is longer than a week, so only that much of it is read. Readings inside a
     micro-batch are taken in time order; one that is older than the rule's last firing is suppressed.
@@ -94,7 +97,10 @@ def stream_alerts(
             oldest = batch.agg(F.min("recorded_at").alias("at")).first()["at"]
             matches = _with_last_firing(matches, _earlier_alerts(spark, outbox, epoch, oldest))
         evaluated = alerts.cooldown(matches, **sizes)
-        write_alerts(alerts.fired(evaluated), outbox, epoch)
+        fires = alerts.fired(evaluated)
+        write_alerts(fires, outbox, epoch)
+        if sensors is not None:
+            write_alerts(alerts.alert_events(fires, rules(), sensors(), users()), f"{out}/events", epoch)
         write_epoch(alerts.suppressed_counts(evaluated), f"{out}/suppressed", epoch)
 
     return _start(readings, body, checkpoint, available_now)

@@ -66,6 +66,21 @@ def test_query_without_broadcasts(spark, duck, name):
             spark.conf.unset(setting)
 
 
+def test_no_query_pairs_all_rows(spark):
+    """No cross or nested-loop join even without broadcasts, and Python only behind the caps."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in QUERIES:
+            if name.startswith("stream_"):
+                continue
+            plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+            assert ("InArrow" in plan) == (name.startswith(("alerts_", "alert_e", "alert_mes", "cap_", "rule_c"))), name
+            assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_known_counts(spark):
     count = lambda name: QUERIES[name](spark, SMALL).count()
     outcomes = {r.outcome: r.requests for r in QUERIES["ingest_outcomes"](spark, SMALL).collect()}

@@ -54,6 +54,8 @@ def test_ingest_equals_batch(spark, tmp_path):
 
 def start_alerts(spark, path, out, checkpoint, **sizes):
     rules, users = driver_tables.rules(spark, SMALL), driver_tables.users(spark, SMALL)
+    sensors = driver_tables.sensors(spark, SMALL)
+    sizes["sensors"] = lambda: sensors
     return jobs.stream_alerts(
         stream_of(spark, READINGS, path), lambda: rules, lambda: users, out, checkpoint, available_now=True, **sizes
     )
@@ -69,7 +71,11 @@ def test_alerts_equal_batch(spark, readings_path, tmp_path):
     out = str(tmp_path / "out")
     start_alerts(spark, readings_path, out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(f"{out}/alerts").select("epoch").distinct().count() > 1
-    assert same(batch_alerts(spark), jobs.read_outbox(spark, out))
+    fires = batch_alerts(spark)
+    assert same(fires, jobs.read_outbox(spark, out))
+    tables = [getattr(driver_tables, n)(spark, SMALL) for n in ("rules", "sensors", "users")]
+    flat = lambda df: df.select("rule_id", "reading_id", "recipient.email", "sensor.name", "trigger.threshold_value")
+    assert same(flat(alerts.alert_events(fires, *tables)), flat(spark.read.parquet(f"{out}/events")))
 
 
 def test_alerts_resume_and_replay(spark, tmp_path):
@@ -90,7 +96,14 @@ def test_rollup_equals_batch(spark, readings_path, tmp_path):
     out = str(tmp_path / "out")
     jobs.stream_rollup(stream_of(spark, READINGS, readings_path), out, str(tmp_path / "cp"), available_now=True).awaitTermination()
     settle = lambda df: df.withColumn("sum_value", F.round("sum_value", 6))
-    assert same(settle(stats.rollup_15m(driver_tables.readings(spark, SMALL))), settle(jobs.read_rollup(spark, out)))
+    stored = jobs.read_rollup(spark, out)
+    assert same(settle(stats.rollup_15m(driver_tables.readings(spark, SMALL))), settle(stored))
+    bounded = stats.slots_around(stored, driver_tables.AS_OF)
+    assert "PushedFilters: [IsNotNull(slot_start), GreaterThanOrEqual(slot_start" in bounded._jdf.queryExecution().executedPlan().toString()
+    sensors = driver_tables.sensors(spark, SMALL)
+    rounded = lambda df: df.withColumn("value", F.round("value", 6))
+    direct = stats.daily_statistics(driver_tables.readings(spark, SMALL), sensors, driver_tables.AS_OF)
+    assert same(rounded(direct), rounded(stats.daily_from_rollup(bounded, sensors, driver_tables.AS_OF)))
 
 
 def test_closed_slots_are_a_prefix_of_the_batch(spark, readings_path, tmp_path):
