@@ -96,7 +96,7 @@ def stream_alerts(
         if epoch > 0:
             oldest = batch.agg(F.min("recorded_at").alias("at")).first()["at"]
             matches = _with_last_firing(matches, _earlier_alerts(spark, outbox, epoch, oldest))
-        evaluated = alerts.cooldown(matches, **sizes)
+        evaluated = cut(alerts.cooldown(matches, **sizes))
         fires = alerts.fired(evaluated)
         write_alerts(fires, outbox, epoch)
         if sensors is not None:

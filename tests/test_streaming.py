@@ -55,9 +55,9 @@ def test_ingest_equals_batch(spark, tmp_path):
 def start_alerts(spark, path, out, checkpoint, **sizes):
     rules, users = driver_tables.rules(spark, SMALL), driver_tables.users(spark, SMALL)
     sensors = driver_tables.sensors(spark, SMALL)
-    sizes["sensors"] = lambda: sensors
     return jobs.stream_alerts(
-        stream_of(spark, READINGS, path), lambda: rules, lambda: users, out, checkpoint, available_now=True, **sizes
+        stream_of(spark, READINGS, path), lambda: rules, lambda: users, out, checkpoint, available_now=True,
+        sensors=lambda: sensors, **sizes,
     )
 
 
