@@ -194,6 +194,18 @@ def hourly_statistics(
     return hourly_from_rollup(rollup_15m(bounded, off_grid_sensors(sensors)), sensors, as_of, date)
 
 
+def in_owner_unit(series: DataFrame, sensors: DataFrame, users: DataFrame) -> DataFrame:
+    """A daily or hourly series with its averages converted to the unit each owner prefers."""
+    owners = users.select(F.col("id").alias("owner_id"), F.col("preferred_temperature_unit").alias("unit"))
+    unit_of = (
+        sensors.select(F.col("id").alias("sensor_id"), "owner_id")
+        .join(owners, "owner_id", "left")
+        .select("sensor_id", "unit")
+    )
+    shown = units.display_value(F.col("sensor_type"), F.col("value"), F.col("unit"))
+    return series.join(unit_of, "sensor_id").withColumn("value", shown).select(*series.columns)
+
+
 def allowed_dates(dates: DataFrame, sensors: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Keep ``(sensor_id, date)`` rows up to the sensor's own today."""
     today = zones.local_date(_us(as_of), F.col("zone"))

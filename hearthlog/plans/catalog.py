@@ -80,8 +80,11 @@ def hourly_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hourly_json(spark: SparkSession, sf: str) -> DataFrame:
-    series = hourly_stats(spark, sf)
-    return series.groupBy("sensor_id", "local_date").agg(
+    """Hourly series of every sensor as one JSON array, in the owner's unit."""
+    sensors = tables.sensors(spark, sf)
+    hours = stats.hourly_statistics(tables.readings(spark, sf), sensors, AS_OF)
+    shown = _rounded(stats.in_owner_unit(hours, sensors, tables.users(spark, sf)), "value")
+    return shown.groupBy("sensor_id", "local_date").agg(
         sinks.hourly_json(F.col("hour"), F.col("value")).alias("series_json")
     )
 

@@ -478,11 +478,13 @@ FROM readings WHERE numeric_value IS NOT NULL OR boolean_value GROUP BY ALL""",
             "hourly", "SELECT sensor_id, sensor_type, local_date, hour, round(value, 6) AS value FROM hourly"
         ),
         "hourly_json": _with(
-            "hourly",
-            """
+            "hourly users",
+            f"""
 SELECT sensor_id, local_date,
-       CAST(to_json(list(struct_pack(hour := hour, value := round(value, 6)) ORDER BY hour)) AS VARCHAR) AS series_json
-FROM hourly GROUP BY sensor_id, local_date""",
+       CAST(to_json(list(struct_pack(hour := hour, value := round(shown, 6)) ORDER BY hour)) AS VARCHAR) AS series_json
+FROM (SELECT h.sensor_id, h.local_date, h.hour, {_shown('h.sensor_type', 'h.value', 'u.tunit')} AS shown
+      FROM hourly h LEFT JOIN users u ON u.id = h.owner_id)
+GROUP BY sensor_id, local_date""",
         ),
         "sensor_statistics_nested": _with(
             "daily hourly users",
