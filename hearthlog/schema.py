@@ -20,7 +20,6 @@ HUMIDITY_MIN = 0.0
 HUMIDITY_MAX = 100.0
 COOLDOWN_MIN_MINUTES = 1
 COOLDOWN_MAX_MINUTES = 10080
-COOLDOWN_DEFAULT_MINUTES = 60
 TOKEN_MAX_CHARS = 256
 RETENTION_DAYS = 14
 RECENT_ROWS = 10

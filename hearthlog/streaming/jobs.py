@@ -7,7 +7,6 @@ function and read afresh for every micro-batch, so edits are seen by the next on
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,7 +93,7 @@ def stream_alerts(
         spark = batch.sparkSession
         matches = alerts.alert_matches(batch, rules(), users())
         if epoch > 0:
-            oldest = batch.agg(F.min("recorded_at").alias("at")).first()["at"]
+            oldest = batch.agg(F.min(F.unix_micros("recorded_at")).alias("us")).first()["us"]
             matches = _with_last_firing(matches, _earlier_alerts(spark, outbox, epoch, oldest))
         evaluated = cut(alerts.cooldown(matches, **sizes))
         fires = alerts.fired(evaluated)
@@ -106,13 +105,13 @@ def stream_alerts(
     return _start(readings, body, checkpoint, available_now)
 
 
-def _earlier_alerts(spark: SparkSession, outbox: str, epoch: int, oldest: dt.datetime | None) -> DataFrame:
-    """Alerts of earlier micro-batches that can still hold back a reading at or after ``oldest``."""
+def _earlier_alerts(spark: SparkSession, outbox: str, epoch: int, oldest: int | None) -> DataFrame:
+    """Alerts of earlier micro-batches that can hold back a reading at or after ``oldest`` (epoch µs)."""
     earlier = _epochs(spark, outbox, _OUTBOX).where(F.col("epoch") < epoch)
     if oldest is None:
         return earlier.limit(0)
-    reach = oldest - dt.timedelta(minutes=schema.COOLDOWN_MAX_MINUTES)
-    return earlier.where(F.col("recorded_at") >= F.lit(reach))
+    reach = F.timestamp_micros(F.lit(oldest - schema.COOLDOWN_MAX_MINUTES * 60_000_000))
+    return earlier.where(F.col("recorded_at") >= reach)
 
 
 def _with_last_firing(matches: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -90,6 +90,13 @@ def test_fixture_counts_and_properties(spark):
     assert counts == 245 - 72
 
 
+def test_hot_rules_give_the_same_alerts(spark):
+    matches = alerts.alert_matches(*(getattr(driver_tables, n)(spark, SMALL) for n in ("readings", "rules", "users")))
+    plain = alerts.cooldown(matches)
+    split = alerts.cooldown(matches, hot_key_events=15, stripe_events=10)
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+
+
 def test_messages(spark, users):
     sensors = spark.createDataFrame(
         [(1, "TEMPERATURE", "Boiler {0}", "Cellar", "Izmir", "Konak"), (2, "MOTION", "Door", "Hall", "Ankara", "Cankaya"),

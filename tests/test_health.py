@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from hearthlog.operators import quality, recent, retention
 from hearthlog.sources import driver_tables
-from hearthlog.sources.sinks import write_readings
 from tests.conftest import SMALL, at
 
 OLD = at("2024-01-01 00:00:00")

@@ -120,3 +120,12 @@ def test_tables_round_trip(spark, tmp_path):
     assert tables.for_owner(driver_tables.sensors(spark, SMALL), 3, 13).count() == 1
     kinds = driver_tables.sensors(spark, SMALL)
     assert tables.numeric_sensors(kinds).count() + tables.motion_sensors(kinds).count() == 15
+
+
+@pytest.mark.parametrize("name", ["sensors", "users", "rules", "challenges"])
+def test_stored_dimensions(spark, tmp_path, name):
+    source = getattr(driver_tables, name)(spark, SMALL)
+    source.write.parquet(str(tmp_path / name))
+    stored = getattr(tables, f"read_{name}")(spark, str(tmp_path / name))
+    assert stored.columns == source.columns
+    assert stored.count() > 0 and stored.exceptAll(source).count() == 0
