@@ -10,6 +10,9 @@ from hearthlog.functions.numbers import is_finite
 # Spark's trim strips the space only; the feed's own trim strips every character up to U+0020.
 _CONTROLS = "".join(chr(code) for code in range(0x21))
 
+# White space among those characters.
+_WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+
 # Spellings accepted in a text feed of motion states.
 _MOTION_TRUE = ("true", "t", "yes", "y", "1", "detected")
 _MOTION_FALSE = ("false", "f", "no", "n", "0", "clear")
@@ -61,8 +64,11 @@ def form_boolean(text: Column) -> Column:
 
 
 def form_double(text: Column) -> Column:
-    """Double of a form field; unparsable text is NULL, NaN and infinities pass through."""
-    return trim_controls(text).try_cast("double")
+    """Double of a form field; unparsable text is NULL, NaN and infinities pass through.
+
+    The form binder drops white space anywhere in a number, so ``1 5`` reads as 15.
+    """
+    return trim_controls(F.translate(text, _WHITESPACE, "")).try_cast("double")
 
 
 def lenient_boolean(text: Column) -> Column:

@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 def write_readings(accepted: DataFrame, path: str, clustered: bool = True) -> None:
     """Append accepted readings to the fact table, one folder per UTC day.
 
-    ``clustered`` gathers each day and lets AQE cut it into files of the advisory size, whatever the
-    day or a sensor weighs; inside a file rows are sorted by sensor and time, so that its row groups
-    can be skipped. Unlike a range partitioning this does not compute the rows twice to sample them.
+    ``clustered`` gathers each sensor's day into one file, sorted by sensor and time. Later jobs then
+    meet a sensor in one task per day: their map-side aggregates and per-sensor limits shrink the data
+    before any exchange, and lookups skip row groups by their bounds and Bloom filters. The exchange is
+    a rebalancing one, so AQE cuts a sensor of any weight into files of the advisory size and merges
+    light ones; unlike a range partitioning it does not compute the rows twice to sample them.
     """
     dated = accepted.withColumn("recorded_date", F.to_date("recorded_at"))
     if clustered:
-        dated = dated.hint("rebalance", "recorded_date").sortWithinPartitions(
+        dated = dated.hint("rebalance", "recorded_date", "sensor_id").sortWithinPartitions(
             "recorded_date", "sensor_id", "recorded_at"
         )
-    dated.write.mode("append").partitionBy("recorded_date").parquet(path)
+    (
+        dated.write.mode("append")
+        .partitionBy("recorded_date")
+        .option("parquet.bloom.filter.enabled#sensor_id", "true")
+        .option("parquet.bloom.filter.expected.ndv#sensor_id", "10000")
+        .parquet(path)
+    )
 
 
 def write_rejects(rejected: DataFrame, path: str) -> None:

@@ -82,6 +82,9 @@ def test_booleans_and_numbers(spark):
              ("No", False), ("t", None), ("", None), (None, None)]
     got = evaluate(spark, words, "s string, want boolean", text.form_boolean(F.col("s")), F.col("want"))
     assert all(have == want for have, want in got), got
+    forms = [("1 5", 15.0), (" 2.5\t", 2.5), ("1e3", 1000.0), ("1,5", None), ("", None), ("x", None)]
+    got = evaluate(spark, forms, "s string, want double", text.form_double(F.col("s")), F.col("want"))
+    assert all(have == want for have, want in got), got
     lenient = [(" Detected", True), ("T", True), ("clear", False), ("f", False), ("on", None), ("", None)]
     got = evaluate(spark, lenient, "s string, want boolean", text.lenient_boolean(F.col("s")), F.col("want"))
     assert all(have == want for have, want in got), got
