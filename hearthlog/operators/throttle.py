@@ -14,9 +14,11 @@ Two plans give the same rows:
   the cell has nothing further up and the chain restarts at the bottom of a later cell. Ranges of
   that position ("stripes") are therefore independent: a chain always enters a stripe at its lower
   edge, whatever happened before. Each stripe works out, for every cell, in which cell a chain that
-  enters there leaves it again; joining those hops gives the true chain, and a second pass turns
-  the visited entries into opening events. Stripes are sampled ranges, so they are balanced however
-  the key's events are spread.
+  enters there leaves it again. Those hops are folded over groups of neighbouring stripes, level by
+  level, until one short list per key remains; the true chain is walked there, expanded level by
+  level, and a second pass over the stripes turns the visited entries into opening events. Stripes
+  are sampled ranges, so they are balanced however the key's events are spread, and no task holds
+  more than one stripe of events or one group of hops.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ def cap_per_window(
         .agg(
             F.count(F.lit(1)).alias("__events"),
             F.max(_W).alias(_W),
-            F.coalesce(F.max(_SEED), F.min(_T)).alias("__origin"),
+            F.greatest(F.max(_SEED), F.min(_T)).alias("__origin"),
             F.max(_T).alias("__newest"),
         )
         .where(F.col("__events") > hot_key_events)
@@ -150,10 +152,10 @@ def cap_two_keys(
 def _sequential(staged: DataFrame, key: str, event_id: str, flag: str) -> DataFrame:
     ordered = staged.repartition(key).sortWithinPartitions(key, _T, event_id)
     layout = T.StructType(staged.schema.fields + [T.StructField(flag, T.BooleanType(), False)])
-    return ordered.mapInArrow(lambda batches: _walk(batches, key), layout)
+    return ordered.mapInArrow(lambda batches: _walk(batches, key, flag), layout)
 
 
-def _walk(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], key: str, flag: str) -> Iterator[pa.RecordBatch]:
     """Flag sorted batches; a key that spans batches carries (window end, events used)."""
     current, end, used = None, 0, 0
     for batch in batches:
@@ -180,7 +182,7 @@ def _walk(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatc
                 if position < stop:
                     end, used = int(times[position]) + width, 0
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(admitted)], names=[*batch.schema.names, "admitted"]
+            [*batch.columns, pa.array(admitted)], names=[*batch.schema.names, flag]
         )
 
 
@@ -195,8 +197,8 @@ def _striped(
     Events before the origin lie in the seeded window and are refused.
     """
     elapsed = F.col(_T) - F.col("__origin")
-    placed = hot_events.withColumn("__cell", F.floor(elapsed / F.col(_W)).cast("long")).withColumn(
-        "__offset", F.pmod(elapsed, F.col(_W))
+    placed = hot_events.withColumn("__offset", F.pmod(elapsed, F.col(_W))).withColumn(
+        "__cell", ((elapsed - F.col("__offset")) / F.col(_W)).cast("long")
     )
     first_ids = (
         placed.where(F.col("__cell") >= 0)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +68,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Inside ``staging``: the folder of the running micro-batch and a counter of its staged tables.
+_AREA: ContextVar[tuple[str, Iterator[int]] | None] = ContextVar("staging area", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession, name: str) -> Iterator[None]:
+    """Let ``cut`` reuse the same folders every time a block of this ``name`` runs.
+
+    A stream stages rows in every micro-batch; with a name of its own it overwrites those of the
+    batch before, which is finished by then, instead of filling the shared folder.
+    """
+    token = _AREA.set((f"{scratch_dir(spark)}/{name}", count()))
+    try:
+        yield
+    finally:
+        _AREA.reset(token)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -72,7 +94,10 @@ def cut(df: DataFrame) -> DataFrame:
     than a re-computation. Spark also knows the true size of the table from then on, which is what
     it bases its choice of joins on.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, area = df.sparkSession, _AREA.get()
+    if area is None:
+        path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
+    else:
+        path = f"{area[0]}/staged-{next(area[1])}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ function and read afresh for every micro-batch, so edits are seen by the next on
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,20 @@ from pyspark.sql.streaming import StreamingQuery
 from hearthlog import schema
 from hearthlog.functions import zones
 from hearthlog.operators import alerts, ingest, stats
-from hearthlog.session import cut
+from hearthlog.session import cut, staging
 from hearthlog.sources.sinks import write_alerts, write_epoch
 
 Table = Callable[[], DataFrame]
 
 
 def _start(stream: DataFrame, body, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    area = "stream-" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        with staging(batch.sparkSession, area):
+            body(batch, epoch)
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
