@@ -73,7 +73,10 @@ def test_only_canonical_units_and_true_flags_count(spark):
     assert (got[1, today], got[2, today], got[3, today], got[4, today]) == (50.0, 2.0, 0.0, None)
 
 
-def test_off_grid_zone_is_exact(spark):
+@pytest.mark.parametrize("broadcast_rows", [stats.OFF_GRID_BROADCAST_ROWS, 0])
+def test_off_grid_zone_is_exact(spark, monkeypatch, broadcast_rows):
+    """With few off-grid sensors, and with more than are broadcast."""
+    monkeypatch.setattr(stats, "OFF_GRID_BROADCAST_ROWS", broadcast_rows)
     data = readings(
         spark, (1, 1.0, "C", "2024-01-29 22:52:29.999999"), (1, 2.0, "C", "2024-01-29 22:52:30"),
         (2, 3.0, "C", "2024-01-29 22:52:30"),
@@ -82,6 +85,8 @@ def test_off_grid_zone_is_exact(spark):
     got = {(r.sensor_id, str(r.local_date)): r.value for r in stats.daily_statistics(data, known, at("2024-01-30 12:00:00")).collect()}
     assert (got[1, "2024-01-29"], got[1, "2024-01-30"], got[2, "2024-01-29"]) == (1.0, 2.0, 3.0)
     assert stats.off_grid_sensors(sensors(spark, (1, "MOTION", "UTC"))) is None
+    half_hour = readings(spark, (1, 4.0, "C", "2024-01-30 01:52:29.999999"), (1, 6.0, "C", "2024-01-30 01:52:30"))
+    assert hourly(stats.hourly_statistics(half_hour, known, at("2024-01-30 12:00:00"))) == {(1, 2): 4.0, (1, 3): 6.0}
 
 
 def test_old_offsets_are_exact(spark):
