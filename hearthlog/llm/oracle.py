@@ -54,7 +54,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counts
 """
 
+_SECRETS = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, doc_id AS repo, coalesce(text, '') AS text FROM documents),
+kinds(rank, kind, pattern, grp, least_chars) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]{24,}', 0, 24), (3, 'bare', '[A-Za-z0-9_-]{32,}', 0, 32)),
+parts AS (
+  SELECT rid, owner, repo, 0 AS rank, 6 AS least_chars, string_split_regex(text, (SELECT pattern FROM kinds WHERE rank = 0)) AS gaps,
+         regexp_extract_all(text, (SELECT pattern FROM kinds WHERE rank = 0), 0) AS hits,
+         regexp_extract_all(text, (SELECT pattern FROM kinds WHERE rank = 0), 2) AS vals FROM d
+  UNION ALL
+  SELECT rid, owner, repo, rank, least_chars, string_split_regex(text, pattern), regexp_extract_all(text, pattern, 0),
+         regexp_extract_all(text, pattern, 0) FROM d, kinds WHERE rank > 0
+),
+each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM parts WHERE len(hits) > 0),
+spans AS (
+  SELECT rid, owner, repo, rank, vals[i] AS value, least_chars,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS b,
+         length(hits[i]) AS n
+  FROM each
+),
+ok AS (SELECT rid, owner, repo, rank, value, b::BIGINT AS b, (b + n)::BIGINT AS e FROM spans WHERE length(value) >= least_chars),
+cand AS (
+  SELECT * FROM ok o WHERE rank < 3 OR NOT EXISTS (
+    SELECT 1 FROM ok p WHERE p.rid = o.rid AND p.rank < 3 AND p.b < o.e AND o.b < p.e)
+),
+own AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n_owners FROM cand GROUP BY value),
+classed AS (
+  SELECT c.*, n_owners >= 2 AS copied,
+         n_owners < 2 AND length(value) >= 20 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+         AND NOT regexp_matches(value, '(?i)example|sample|changeme|placeholder|your|dummy|xxxx|0000|1234') AS live
+  FROM cand c JOIN own USING (value)
+),
+reported AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS spans,
+         count(*) FILTER (copied) AS n_copied, count(*) FILTER (live) AS n_live
+  FROM classed JOIN kinds USING (rank) WHERE rank < 3 OR live GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_live, 0)::BIGINT AS n_live
+FROM d LEFT JOIN reported USING (rid)
+"""
+
 
 def llm_oracles() -> dict[str, str]:
     """Query name to SQL."""
-    return {"op10_line_rules": _LINE_RULES}
+    return {
+        "op6_secret_ownership": _SECRETS,
+        "op10_line_rules": _LINE_RULES,
+    }

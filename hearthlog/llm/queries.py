@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import line_rules
+from hearthlog.llm import line_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
-    return {"op10_line_rules": op10_line_rules}
+    return {
+        "op6_secret_ownership": op6_secret_ownership,
+        "op10_line_rules": op10_line_rules,
+    }
