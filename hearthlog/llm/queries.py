@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import line_rules, secrets
+from hearthlog.llm import line_rules, secrets, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {
         "op6_secret_ownership": op6_secret_ownership,
+        "op7_hilbert_shards": op7_hilbert_shards,
         "op10_line_rules": op10_line_rules,
     }
