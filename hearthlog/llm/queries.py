@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import line_rules, secrets, shards
+from hearthlog.llm import line_rules, secrets, shards, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -28,6 +32,7 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {
+        "op1_warc_salvage": op1_warc_salvage,
         "op6_secret_ownership": op6_secret_ownership,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op10_line_rules": op10_line_rules,
