@@ -99,10 +99,52 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN reported USING (rid)
 """
 
+_NEAR_DUP = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws
+  FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 2 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM pairs JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(doc_id, to_id) AS (SELECT a, a FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.to_id),
+smallest AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
+       coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN size USING (doc_id) LEFT JOIN smallest USING (doc_id)
+"""
+
+# The response among equal payloads is the one with the smallest page_id; the others revisit it.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload),
+h AS (SELECT page_id, first_id, payload, unhex(sha1(payload)) AS raw FROM p JOIN f USING (payload)),
+bits AS (
+  SELECT page_id, first_id, payload,
+         list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || substr(hex(raw), i, 1))::INT), 4, '0')), lambda x, y: x || y) AS b
+  FROM h
+)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_reduce(list_transform(range(1, 6), lambda k: substr(b, g * 5 + k, 1)::INT), lambda x, y: x * 2 + y) + 1, 1)), lambda x, y: x || y) AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM bits
+"""
+
 
 def llm_oracles() -> dict[str, str]:
     """Query name to SQL."""
     return {
+        "op1_warc_salvage": _WARC,
+        "op2_minmax_near_dup": _NEAR_DUP,
         "op6_secret_ownership": _SECRETS,
         "op10_line_rules": _LINE_RULES,
     }

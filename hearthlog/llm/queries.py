@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import line_rules, secrets, shards, warc
+from hearthlog.llm import line_rules, near_dup, secrets, shards, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op2_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -33,6 +37,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {
         "op1_warc_salvage": op1_warc_salvage,
+        "op2_minmax_near_dup": op2_minmax_near_dup,
         "op6_secret_ownership": op6_secret_ownership,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op10_line_rules": op10_line_rules,
