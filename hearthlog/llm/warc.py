@@ -3,8 +3,8 @@
 **Writing.** Each row becomes one record with payload and block digests. Of the rows with equal payloads
 of at least ``min_dedup_bytes`` bytes, the one with the smallest id carries the payload (``response``) and
 the others are ``revisit`` records, which keep the HTTP head with its content length and refer to the
-first. The smallest id per digest is a combined aggregate, so thousands of copies are no hot group; a row
-among several with the same smallest id is chosen by its place in the scan. Records go out through
+first. The smallest id per digest is a combined aggregate, so thousands of copies are no hot group; rows
+that repeat the smallest id are all responses. Payloads move once. Records go out through
 Spark's text writer, so any store Spark can write to will do: a row is a record's bytes without the last
 one or two, which the writer adds as its line separator. Uncompressed archives end every record with CR
 LF; in compressed ones each record is one gzip member, whose last byte is the zero top byte of its
@@ -37,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlog.session import cut, scratch_dir
+from hearthlog.session import scratch_dir
 
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EPOCH = "1970-01-01T00:00:00Z"
+LEVEL = 6
 FILE_BYTES = 32 * 1024 * 1024
 
 RECORD_SCHEMA = (
@@ -104,28 +105,25 @@ def _stored(record: bytes, compress: bool) -> bytes:
     """A record as the text writer needs it, without what the line separator will add."""
     if not compress:
         return record[:-2]
-    member = gzip.compress(record, 1, mtime=0)
-    return (member if member[-1] == 0 else member + gzip.compress(b"", 1, mtime=0))[:-1]
+    member = gzip.compress(record, LEVEL, mtime=0)
+    return (member if member[-1] == 0 else member + gzip.compress(b"", LEVEL, mtime=0))[:-1]
 
 
 def with_revisits(pages: DataFrame, id_col: str, uri_col: str, payload_col: str, min_dedup_bytes: int) -> DataFrame:
     """(id, uri, payload, refers_to): the id of the record that carries an equal payload, or null."""
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
-    rows = cut(
-        pages.select(
-            F.col(id_col).cast("long").alias("id"),
-            F.col(uri_col).cast("string").alias("uri"),
-            payload.alias("payload"),
-            F.monotonically_increasing_id().alias("place"),
-            F.sha1(payload).alias("digest"),
-        )
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.col(uri_col).cast("string").alias("uri"),
+        payload.alias("payload"),
+        F.sha1(payload).alias("digest"),
     )
     # A null id counts as larger than any other.
-    rank = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("place").alias("place"))
-    first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = rows.join(first.filter("n > 1"), "digest", "left")
-    repeat = (F.octet_length("payload") >= min_dedup_bytes) & (F.col("first.place") != F.col("place"))
-    return again.select("id", "uri", "payload", F.when(repeat, F.col("first.id")).alias("refers_to"))
+    rank = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("first_id"))
+    first = rows.groupBy("digest").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = rows.join(first.select("digest", "r"), "digest", "left")
+    repeat = (F.octet_length("payload") >= min_dedup_bytes) & ~F.col("r.first_id").eqNullSafe(F.col("id"))
+    return again.select("id", "uri", "payload", F.when(repeat, F.col("r.first_id")).alias("refers_to"))
 
 
 def write_archives(
@@ -139,7 +137,7 @@ def write_archives(
     min_dedup_bytes: int = 0,
     file_bytes: int = FILE_BYTES,
 ) -> None:
-    """Write WARC files below ``path``, about ``file_bytes`` of payload or less in each."""
+    """Write WARC files below ``path``, of about ``file_bytes`` before compression at most."""
     rows = with_revisits(pages, id_col, uri_col, payload_col, min_dedup_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +146,10 @@ def write_archives(
             stored = [_stored(record_bytes(i, u, p or b"", r), compress) for i, u, p, r in zip(*columns)]
             yield pa.record_batch([pa.array(stored, pa.binary())], names=["value"])
 
-    total = pages.select(F.sum(F.octet_length(payload_col))).first()[0] or 0
     records = rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
-    spread = records.repartition(max(1, -(-total // file_bytes)))
-    spread.write.mode("overwrite").option("lineSep", "\0" if compress else "\r\n").text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0
+    writer = records.write.mode("overwrite").option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 1_000))))
+    writer.option("lineSep", "\0" if compress else "\r\n").text(path)
 
 
 class Record(NamedTuple):
