@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import decontaminate, line_rules, near_dup, secrets, shards, warc
+from hearthlog.llm import decontaminate, line_rules, near_dup, secrets, shards, site_tree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minmax_near_dup": op2_minmax_near_dup,
         "op6_secret_ownership": op6_secret_ownership,
         "op7_hilbert_shards": op7_hilbert_shards,
+        "op8_site_style_tree": op8_site_style_tree,
         "op9_simhash_leaks": op9_simhash_leaks,
         "op10_line_rules": op10_line_rules,
     }
