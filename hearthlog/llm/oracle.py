@@ -140,11 +140,53 @@ FROM bits
 """
 
 
+def mix_ctes(table: str) -> str:
+    """CTEs ending in ``mixed`` (rid, doc_id, source, n_tokens, block, slot) over ``table``."""
+    return rf"""
+md AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce('=' || source, '') AS ms,
+         len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens
+  FROM {table}
+),
+src AS (SELECT ms, sum(n_tokens)::BIGINT AS t FROM md GROUP BY ms),
+lists AS (SELECT list(t::DOUBLE) AS ts, sum(t)::DOUBLE AS total FROM src WHERE t > 0),
+bisect(step, lo, hi) AS (
+  SELECT 0, 0::BIGINT, 16777216::BIGINT
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
+    SELECT step, lo, hi, (lo + hi) // 2 AS mid,
+           list_max(list_transform(ts, lambda t: power(t / total, ((lo + hi) // 2) / 16777216.0::DOUBLE) / t))
+           * list_max(list_transform(ts, lambda t: t / power(t / total, ((lo + hi) // 2) / 16777216.0::DOUBLE))) <= 2.0 AS ok
+    FROM bisect, lists WHERE step < 24
+  )
+),
+expo AS (SELECT CASE WHEN total IS NULL THEN 1.0 ELSE hi / 16777216.0::DOUBLE END AS a FROM bisect, lists WHERE step = 24),
+pw AS (SELECT ms, t, CASE WHEN t > 0 THEN power(t / total, a) ELSE 0 END AS p FROM src, lists, expo),
+plan AS (
+  SELECT ms, t, CASE WHEN t > 0 THEN b // t ELSE 1 END AS full_blocks, CASE WHEN t > 0 THEN b - (b // t) * t ELSE 0 END AS rest
+  FROM (SELECT ms, t, greatest(t, round(p * (SELECT max(t / p) FROM pw WHERE t > 0))::BIGINT) AS b FROM pw)
+),
+uses AS (
+  SELECT rid, md.doc_id, source, md.ms, n_tokens, full_blocks, rest, block, md5(concat_ws(':', md.doc_id, block)) AS k
+  FROM (SELECT *, unnest(range(0, full_blocks + 1)) AS block FROM plan) q JOIN md ON md.ms = q.ms
+),
+fits AS (SELECT *, sum(n_tokens) OVER (PARTITION BY ms, block ORDER BY k) AS run FROM uses),
+mixed AS (
+  SELECT rid, doc_id, source, n_tokens, block::BIGINT AS block,
+         row_number() OVER (PARTITION BY ms, block ORDER BY k, n_tokens) - 1 AS slot
+  FROM fits WHERE block < full_blocks OR (rest > 0 AND run <= rest)
+)"""
+
+
+_MIX = f"WITH RECURSIVE {mix_ctes('documents')} SELECT doc_id, source, n_tokens, block, slot FROM mixed"
+
+
 def llm_oracles() -> dict[str, str]:
     """Query name to SQL."""
     return {
         "op1_warc_salvage": _WARC,
         "op2_minmax_near_dup": _NEAR_DUP,
+        "op5_temperature_mix": _MIX,
         "op6_secret_ownership": _SECRETS,
         "op10_line_rules": _LINE_RULES,
     }

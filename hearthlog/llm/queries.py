@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import decontaminate, line_rules, near_dup, secrets, shards, site_tree, warc
+from hearthlog.llm import decontaminate, line_rules, mixing, near_dup, secrets, shards, site_tree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op2_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.permutations(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_salvage": op1_warc_salvage,
         "op2_minmax_near_dup": op2_minmax_near_dup,
+        "op5_temperature_mix": op5_temperature_mix,
         "op6_secret_ownership": op6_secret_ownership,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op8_site_style_tree": op8_site_style_tree,
