@@ -27,10 +27,12 @@ or item rows give repeated result rows; empty tables give no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +181,21 @@ class Index:
                     yield t, (item.item_id, *best)
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark's (ids, texts) in blocks of bounded size, ready for the tasks."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n_blocks = -(-total // block_bytes) or 1
+    for block in range(n_blocks):
+        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).toArrow()
+        yield benchmark.sparkSession.sparkContext.broadcast((part["i"].to_pylist(), part["t"].to_pylist()))
+
+
+def _index(block: Broadcast) -> Index:
+    ids, texts = block.value
+    return Index(pa.array(ids, pa.int64()), pa.array(texts, pa.string()))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -191,20 +208,11 @@ def find_leaks(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document and item it leaks: the most similar window, in words of the document."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    found = []
-    for block in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).toArrow()
-        texts = part["t"].combine_chunks()
-        shared = spark.sparkContext.broadcast((part["i"].combine_chunks().to_pylist(), texts.to_pylist()))
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, texts = shared.value
-            index, hasher = Index(pa.array(ids, pa.int64()), pa.array(texts, pa.string())), Hasher()
+    def search(block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, hasher = _index(block), Hasher()
             for batch in batches:
                 out = []
                 for words in hasher.words(batch.column("body")):
@@ -215,14 +223,33 @@ def find_leaks(
                 names = ["doc_id", "item_id", "similarity", "first_word", "n_words"]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-        found.append(rows.mapInArrow(search, RESULT))
-    result = found[0]
-    for more in found[1:]:
-        result = result.union(more)
-    return result
+        return rows.mapInArrow(run, RESULT)
+
+    return reduce(DataFrame.union, map(search, _blocks(benchmark, item_col, item_text_col, block_bytes)))
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    *,
+    threshold: float = THRESHOLD,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows that leak no item, decided where they are scanned; nothing is joined or moved."""
+
+    def clean(rows: DataFrame, block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, hasher = _index(block), Hasher()
+            for batch in batches:
+                stays = np.ones(batch.num_rows, dtype=bool)
+                for words in hasher.words(batch.column(text_col).cast(pa.large_string())):
+                    for t, _ in index.leaks(words, threshold):
+                        stays[words.first + t] = False
+                yield batch.filter(pa.array(stays))
 
+        return rows.mapInArrow(run, rows.schema)
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The documents that leak no item."""
-    leaked = find_leaks(docs, benchmark, id_col, **settings).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(leaked, docs[id_col] == F.col("_gone"), "left_anti")
+    return reduce(clean, _blocks(benchmark, item_col, item_text_col, block_bytes), docs)

@@ -223,6 +223,10 @@ def classes(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """The input rows of one document of every class, the one with the smallest id."""
-    drop = classes(docs, id_col, text_col, **settings).filter("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(drop, docs[id_col] == F.col("_gone"), "left_anti")
+    """The input rows of one document of every class, the one with the smallest id.
+
+    Rows that repeat an id are one document: they stay if the class of any of them is named after it.
+    """
+    verdicts = classes(docs, id_col, text_col, **settings)
+    gone = verdicts.groupBy(id_col).agg(F.bool_or("kept").alias("stays")).filter("NOT stays")
+    return docs.join(gone.select(F.col(id_col).alias("_gone")), docs[id_col] == F.col("_gone"), "left_anti")

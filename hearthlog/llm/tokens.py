@@ -61,13 +61,13 @@ class Hasher:
     def __init__(self) -> None:
         self._up = self._down = np.ones(0, dtype=np.uint64)
 
-    def span_hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges of ``data``."""
-        n = len(data) + 1
+    def span_hashes(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of ranges of ``values`` (uint64), each from one running sum over all of them."""
+        n = len(values) + 1
         if len(self._up) < n:
             self._up, self._down = _powers(_BASE, n), _powers(_INVERSE, n)
         sums = np.zeros(n, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._up[: n - 1], out=sums[1:])
+        np.cumsum((values + np.uint64(1)) * self._up[: n - 1], out=sums[1:])
         value = (sums[ends] - sums[starts]) * self._down[starts]
         return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -103,7 +103,7 @@ class Hasher:
         if len(borders):
             starts = np.sort(np.concatenate([starts, borders]))
             ends = np.sort(np.concatenate([ends, borders]))
-        hashes = self.span_hashes(data, starts, ends)
+        hashes = self.span_hashes(data.astype(np.uint64), starts, ends)
         return Words(first, hashes, np.searchsorted(starts, offsets), starts, ends, data, offsets)
 
 
