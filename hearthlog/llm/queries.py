@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import decontaminate, line_rules, mixing, near_dup, secrets, shards, site_tree, spans, warc
+from hearthlog.llm import decontaminate, line_rules, lm, mixing, near_dup, secrets, shards, site_tree, spans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op2_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.repeated_runs(_table(spark, sf_dir, "documents")).withColumnRenamed("first_id", "first_doc_id")
 
@@ -54,6 +58,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_salvage": op1_warc_salvage,
         "op2_minmax_near_dup": op2_minmax_near_dup,
+        "op3_attention_lm": op3_attention_lm,
         "op4_sentence_spans": op4_sentence_spans,
         "op5_temperature_mix": op5_temperature_mix,
         "op6_secret_ownership": op6_secret_ownership,
