@@ -8,9 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from hearthlog.plans.catalog import all_queries
+from hearthlog.plans.oracle import all_oracles
 from tests.conftest import SMALL
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,7 @@ def ordered(rows):
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= contract.queries().items() and ORACLES.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
