@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import zoneinfo
 from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,27 +22,16 @@ _OFF_GRID_ID = (
     rf"[+-]{_HOURS}:?(?!(?:00|15|30|45))({_SIXTY})|[+-]{_HOURS}:?{_SIXTY}:?(?!00)({_SIXTY})$"
 )
 
-# Names the database ships that are no usable region ids in the JVM.
-_NOT_IN_JVM = ("Factory", "localtime", "posixrules", "ROC")
-
 SLOT_SECONDS = 900
-# From this instant on all regions keep offsets that are multiples of a slot.
-ON_GRID_SINCE = "1973-01-01 00:00:00"
+# From this instant on all regions keep offsets that are multiples of a slot (the last to change, in
+# October 1979, was Pacific/Kiritimati, until then at -10:40).
+ON_GRID_SINCE = "1980-01-01 00:00:00"
 
 
 @lru_cache(maxsize=1)
 def region_ids() -> tuple[str, ...]:
-    """Region ids of the installed time-zone database that the JVM knows as well."""
-    known = zoneinfo.available_timezones()
-    if not known:
-        raise RuntimeError("the driver has no time-zone database (install tzdata)")
-    return tuple(
-        sorted(
-            zone
-            for zone in known
-            if zone not in _NOT_IN_JVM and not zone.startswith(("posix/", "right/", "build/"))
-        )
-    )
+    """Region ids of the JVM's time-zone database, which is the one that evaluates zone expressions."""
+    return tuple(sorted(SparkContext._active_spark_context._jvm.java.time.ZoneId.getAvailableZoneIds()))
 
 
 @lru_cache(maxsize=1)
@@ -67,7 +56,7 @@ def safe_zone(column: str) -> Column:
 def on_quarter_hour(column: str) -> Column:
     """TRUE when the zone in the named column keeps offsets that are multiples of 15 minutes.
 
-    Every region of the time-zone database does since 1973; only an offset-style id can break it.
+    Every region of the time-zone database does since 1980; only an offset-style id can break it.
     """
     zone = F.col(column)
     return ~(zone.rlike(_OFFSET_ID) & zone.rlike(_OFF_GRID_ID))

@@ -110,6 +110,17 @@ def fired(evaluated: DataFrame) -> DataFrame:
     return evaluated.where("fired").select("rule_id", "reading_id", "sensor_id", "recorded_at", "numeric_value")
 
 
+def last_triggered(rules: DataFrame, fires: DataFrame) -> DataFrame:
+    """The rules with ``last_triggered_at`` moved forward to their newest firing.
+
+    Store them after every batch run: a run over the next readings then starts from the state this one
+    leaves, and two half-runs fire what one run fires.
+    """
+    newest = fires.groupBy(F.col("rule_id").alias("id")).agg(F.max("recorded_at").alias("newest"))
+    moved = F.greatest("last_triggered_at", "newest")
+    return rules.join(newest, "id", "left").withColumn("last_triggered_at", moved).select(*rules.columns)
+
+
 def suppressed_counts(evaluated: DataFrame) -> DataFrame:
     """Matches per rule that its cooldown suppressed."""
     return evaluated.where(~F.col("fired")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_suppressed"))

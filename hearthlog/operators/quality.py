@@ -1,6 +1,7 @@
 """Table invariants as data: every broken rule of every row, in one pass per table.
 
-A check that evaluates to NULL counts as kept, as an SQL CHECK constraint does.
+A check that evaluates to NULL counts as kept, as an SQL CHECK constraint does; nulls in required
+columns are found by checks of their own.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthlog import schema
 from hearthlog.functions import numbers, text, units
@@ -125,6 +127,12 @@ def challenge_checks() -> dict[str, Column]:
     }
 
 
+def required(layout: T.StructType, df: DataFrame) -> dict[str, Column]:
+    """NOT NULL rules: one check per column of ``df`` that ``layout`` declares as not nullable."""
+    names = [f.name for f in layout.fields if not f.nullable and f.name in df.columns]
+    return {f"{name}_required": F.col(name).isNotNull() for name in names}
+
+
 def violations(df: DataFrame, table: str, checks: dict[str, Column], key: str = "id") -> DataFrame:
     """One row ``(table_name, rule, row_id)`` per broken check; one scan, no exchange.
 
@@ -198,6 +206,12 @@ def table_duplicates(
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def primary_key_duplicates(stored: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """Rows of the named tables that share their primary key, a batch appended twice for example."""
+    found = [duplicate_keys(df, name, "primary_key", F.col(key)) for name, df in stored.items()]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def name_taken(candidates: DataFrame, sensors: DataFrame) -> DataFrame:
     """Candidate names their owner already uses for another sensor, case ignored.
 

@@ -94,10 +94,14 @@ def _overwrite_partitions(spark: SparkSession, df: DataFrame, table: str) -> Non
         spark.conf.set(mode, before)
 
 
+def without(df: DataFrame, deleted: DataFrame, reference: str) -> DataFrame:
+    """Rows whose ``reference`` is none of the rows listed in ``deleted`` (column ``id``)."""
+    return df.join(deleted.select(F.col("id").alias(reference)), reference, "left_anti")
+
+
 def without_sensors(df: DataFrame, deleted: DataFrame, sensor_column: str = "sensor_id") -> DataFrame:
     """Rows that survive the deletion of the sensors listed in ``deleted`` (column ``id``)."""
-    gone = deleted.select(F.col("id").alias(sensor_column))
-    return df.join(gone, sensor_column, "left_anti")
+    return without(df, deleted, sensor_column)
 
 
 def delete_sensors(
@@ -109,3 +113,23 @@ def delete_sensors(
         without_sensors(readings, deleted),
         without_sensors(rules, deleted),
     )
+
+
+def delete_users(stored: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the data model, by name, after the users in ``deleted`` (column ``id``) are gone.
+
+    With a user go the sensors, their readings and rules, the user's own rules, and both kinds of
+    challenges.
+    """
+    gone = stored["sensors"].join(deleted.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
+    sensors, readings, rules = delete_sensors(
+        stored["sensors"], stored["sensor_readings"], stored["alert_rules"], gone
+    )
+    challenges = ("email_verification_challenges", "password_reset_challenges")
+    return {
+        "app_users": without(stored["app_users"], deleted, "id"),
+        "sensors": sensors,
+        "sensor_readings": readings,
+        "alert_rules": without(rules, deleted, "owner_id"),
+        **{name: without(stored[name], deleted, "user_id") for name in challenges},
+    }

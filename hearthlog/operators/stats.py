@@ -5,7 +5,7 @@ on the map side (a hot sensor arrives as at most 96 rows a day per task) and, be
 are multiples of 15 minutes, local days and hours are exact unions of slots. Only the slots meet the
 sensor table, so whichever join Spark picks there moves a bounded number of rows per sensor.
 
-Ids such as ``+01:07`` are off that grid, and so were some regions before 1973. Those readings get
+Ids such as ``+01:07`` are off that grid, and so were some regions before 1980. Those readings get
 one-second slots, which are exact for every offset.
 """
 
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from hearthlog.functions import numbers, units, zones
 
-# Off-grid sensors are broadcast only up to this many rows of one long each.
-OFF_GRID_BROADCAST_ROWS = 200_000
-
 
 def _us(instant: dt.datetime) -> Column:
     """Literal instant; ``instant`` must be time-zone aware."""
@@ -69,14 +66,10 @@ def slots_around(rollup: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFr
 def off_grid_sensors(sensors: DataFrame) -> DataFrame | None:
     """Ids of sensors that need fine slots, or None when there are none.
 
-    The check reads the sensor table only. The result is broadcast when it is proven small, else it
-    is left to Spark's own join selection.
+    Finding out runs a job over the sensor table while the plan is built. Spark chooses the join.
     """
     ids = sensors.where(~zones.on_quarter_hour("time_zone_id")).select(F.col("id").alias("sensor_id"))
-    found = ids.limit(OFF_GRID_BROADCAST_ROWS + 1).count()
-    if found == 0:
-        return None
-    return F.broadcast(ids) if found <= OFF_GRID_BROADCAST_ROWS else ids
+    return None if ids.isEmpty() else ids
 
 
 def zoned(sensors: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthlog import schema
 from hearthlog.functions import numbers, text, units, zones
 from hearthlog.operators import (
     alerts,
@@ -352,6 +355,15 @@ def rule_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def rules_after_run(spark: SparkSession, sf: str) -> DataFrame:
+    """When each rule last fired, as a batch run leaves it for the next one."""
+    ids = tables.sensor_ids(spark, sf)
+    rules = tables.rules(spark, sf, ids)
+    fires = alerts.fired(alerts.evaluate_alerts(tables.readings(spark, sf), rules, tables.users(spark, sf)))
+    return alerts.last_triggered(rules, fires).select(F.col("id").alias("rule_id"), "last_triggered_at")
+
+
 @query
 def alert_messages(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.alert_messages(_alert_events(spark, sf), default_templates(spark))
@@ -389,33 +401,35 @@ def cap_two_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def quality_violations(spark: SparkSession, sf: str) -> DataFrame:
     sensors, rules = tables.sensors(spark, sf), tables.raw_rules(spark, sf)
-    checked = [
-        quality.violations(tables.raw_readings(spark, sf), "sensor_readings", quality.reading_checks()),
-        quality.violations(rules, "alert_rules", quality.rule_checks()),
-        quality.rule_sensor_violations(rules, sensors),
-        quality.violations(tables.raw_sensors(spark, sf), "sensors", quality.sensor_checks()),
-        quality.violations(tables.raw_users(spark, sf), "app_users", quality.user_checks()),
-        quality.violations(
-            tables.challenges(spark, sf), "email_verification_challenges", quality.challenge_checks()
-        ),
-        quality.violations(
-            tables.reset_challenges(spark, sf), "password_reset_challenges", quality.challenge_checks()
-        ),
+    verifications, resets = tables.challenges(spark, sf), tables.reset_challenges(spark, sf)
+    checks = [
+        ("sensor_readings", tables.raw_readings(spark, sf), quality.reading_checks(), schema.READINGS),
+        ("alert_rules", rules, quality.rule_checks(), schema.RULES),
+        ("sensors", tables.raw_sensors(spark, sf), quality.sensor_checks(), schema.SENSORS),
+        ("app_users", tables.raw_users(spark, sf), quality.user_checks(), schema.USERS),
+        ("email_verification_challenges", verifications, quality.challenge_checks(), schema.CHALLENGES),
+        ("password_reset_challenges", resets, quality.challenge_checks(), schema.CHALLENGES),
     ]
-    found = checked[0]
-    for more in checked[1:]:
-        found = found.unionByName(more)
-    return found
+    found = [
+        quality.violations(df, name, {**own, **quality.required(layout, df)}) for name, df, own, layout in checks
+    ]
+    return functools.reduce(DataFrame.unionByName, [*found, quality.rule_sensor_violations(rules, sensors)])
 
 
 @query
 def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.table_duplicates(
-        tables.raw_users(spark, sf),
-        tables.raw_sensors(spark, sf),
-        tables.challenges(spark, sf),
-        tables.reset_challenges(spark, sf),
-    )
+    users, sensors = tables.raw_users(spark, sf), tables.raw_sensors(spark, sf)
+    verifications, resets = tables.challenges(spark, sf), tables.reset_challenges(spark, sf)
+    stored = {
+        "app_users": users,
+        "sensors": sensors,
+        "alert_rules": tables.raw_rules(spark, sf),
+        "sensor_readings": tables.raw_readings(spark, sf),
+        "email_verification_challenges": verifications,
+        "password_reset_challenges": resets,
+    }
+    unique = quality.table_duplicates(users, sensors, verifications, resets)
+    return unique.unionByName(quality.primary_key_duplicates(stored))
 
 
 @query
@@ -434,6 +448,7 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
         quality.orphans(checked_rules, users, "owner_id", "alert_rules"),
         quality.orphans(tables.raw_sensors(spark, sf), users, "owner_id", "sensors"),
         quality.orphans(tables.readings(spark, sf), tables.raw_sensors(spark, sf), "sensor_id", "sensor_readings"),
+        quality.orphans(tables.challenges(spark, sf), users, "user_id", "email_verification_challenges"),
         quality.orphans(tables.reset_challenges(spark, sf), users, "user_id", "password_reset_challenges"),
     ):
         found = found.unionByName(more)
@@ -481,6 +496,26 @@ def after_sensor_delete(spark: SparkSession, sf: str) -> DataFrame:
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+@query
+def after_user_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left once all users without a verified address are deleted, with all that is theirs."""
+    ids = tables.sensor_ids(spark, sf)
+    users = tables.users(spark, sf)
+    left = retention.delete_users(
+        {
+            "app_users": users,
+            "sensors": tables.sensors(spark, sf, ids),
+            "sensor_readings": tables.raw_readings(spark, sf),
+            "alert_rules": tables.rules(spark, sf, ids),
+            "email_verification_challenges": tables.challenges(spark, sf),
+            "password_reset_challenges": tables.reset_challenges(spark, sf),
+        },
+        users.where(F.col("email_verified_at").isNull()),
+    )
+    named = [df.select(F.lit(name).alias("table_name"), F.col("id").alias("row_id")) for name, df in left.items()]
+    return functools.reduce(DataFrame.unionByName, named)
+
+
 # --- text -----------------------------------------------------------------------------------------
 
 
@@ -538,7 +573,22 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     requests = tables.as_requests(tables.stream_events(spark, sf))
     run = jobs.stream_ingest(requests, lambda: tables.sensors(spark, sf), out, checkpoint, available_now=True)
     run.awaitTermination()
-    return read_readings(spark, f"{out}/readings").drop("epoch", "recorded_date")
+    return read_readings(spark, f"{out}/readings").drop("run", "epoch", "recorded_date")
+
+
+@query
+def stream_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The fact table after two queries streamed the same feed and their days were compacted, twice."""
+    out, checkpoint = _run_folder(spark, "compacted")
+    requests = tables.as_requests(tables.stream_events(spark, sf))
+    for part in ("a", "b"):
+        run = jobs.stream_ingest(
+            requests, lambda: tables.sensors(spark, sf), out, f"{checkpoint}-{part}", available_now=True
+        )
+        run.awaitTermination()
+    for _ in range(2):
+        jobs.compact_readings(spark, out, f"{out}/fact", dt.date(2023, 12, 1), dt.date(2024, 3, 1))
+    return read_readings(spark, f"{out}/fact").drop("recorded_date")
 
 
 @query
@@ -557,6 +607,38 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.read_outbox(spark, out)
 
 
+@query
+def stream_alerts_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed in two halves, the second by a query with a checkpoint of its own."""
+    out, checkpoint = _run_folder(spark, "resumed")
+    middle = F.lit("2024-01-16").cast("timestamp")
+    readings = _stream_readings(spark, sf)
+    for part, half in (("a", F.col("recorded_at") < middle), ("b", F.col("recorded_at") >= middle)):
+        run = jobs.stream_alerts(
+            readings.where(half),
+            lambda: tables.rules(spark, sf),
+            lambda: tables.users(spark, sf),
+            out,
+            f"{checkpoint}-{part}",
+            available_now=True,
+        )
+        run.awaitTermination()
+    return jobs.read_outbox(spark, out)
+
+
+@query
+def daily_from_stored_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven-day statistics answered from the stored rollup; every fourth sensor is off the grid."""
+    out, checkpoint = _run_folder(spark, "stored")
+    zone = F.when(F.col("id") % 4 == 1, F.lit("+01:07")).otherwise(F.col("time_zone_id"))
+    sensors = tables.sensors(spark, sf).withColumn("time_zone_id", zone)
+    jobs.stream_rollup(
+        _stream_readings(spark, sf), out, checkpoint, available_now=True, sensors=lambda: sensors
+    ).awaitTermination()
+    stored = stats.slots_around(jobs.read_rollup(spark, out), AS_OF)
+    return _rounded(stats.daily_from_rollup(stored, sensors, AS_OF), "value")
+
+
 @query
 def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Rollup kept by the streaming job."""

@@ -21,6 +21,11 @@ def _local(instant: str, zone: str) -> str:
     return f"(({instant}) AT TIME ZONE 'UTC' AT TIME ZONE {zone})"
 
 
+def _moved(instant: str, number: str, zone: str) -> str:
+    """Local time when every fourth sensor is at +01:07."""
+    return f"(CASE WHEN {number} % 4 = 1 THEN {instant} + INTERVAL 67 MINUTE ELSE {_local(instant, zone)} END)"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -677,7 +682,7 @@ FROM resets GROUP BY user_id HAVING count(*) > 1""",
             "WHERE h.owner_id = c.owner_id AND lower(trim(h.name)) = lower(trim(c.name)) AND h.id <> c.id)",
         ),
         "orphans": _with(
-            "raw_rules raw_sensors sensors users readings resets",
+            "raw_rules raw_sensors sensors users readings challenges resets",
             """
 SELECT 'alert_rules' AS table_name, 'sensor_id' AS reference, id AS row_id, sensor_id AS missing_id
 FROM raw_rules WHERE sensor_id NOT IN (SELECT id FROM sensors)
@@ -689,6 +694,9 @@ UNION ALL
 SELECT 'sensor_readings', 'sensor_id', id, sensor_id FROM readings
 WHERE sensor_id NOT IN (SELECT id FROM raw_sensors)
 UNION ALL
+SELECT 'email_verification_challenges', 'user_id', id, user_id FROM challenges
+WHERE user_id NOT IN (SELECT id FROM users)
+UNION ALL
 SELECT 'password_reset_challenges', 'user_id', id, user_id FROM resets WHERE user_id NOT IN (SELECT id FROM users)""",
         ),
         "rule_owner_mismatch": _with(
@@ -800,6 +808,43 @@ SELECT event_id AS id,
        CASE event_id % 5 WHEN 0 THEN value WHEN 3 THEN value WHEN 4 THEN value END AS number
 FROM events""",
         "stream_ingest": ingest_rows,
+        "stream_compacted": ingest_rows,
         "stream_alerts": fired,
+        "stream_alerts_resumed": fired,
+        "rules_after_run": _with(
+            "walk rules",
+            """
+SELECT r.id AS rule_id, f.last_triggered_at
+FROM rules r
+LEFT JOIN (SELECT rule_id, max(recorded_at) AS last_triggered_at FROM walk WHERE fired GROUP BY rule_id) f
+  ON f.rule_id = r.id""",
+        ),
+        "daily_from_stored_rollup": _with(
+            "readings sensors",
+            f"""
+SELECT s.id AS sensor_id, s.type AS sensor_type, CAST(d.day AS DATE) AS local_date,
+       round(CASE WHEN s.type = 'MOTION' THEN coalesce(a.detections, 0)::DOUBLE ELSE a.average END, 6) AS value
+FROM (SELECT *, CAST({_moved(_NOW, 'id', 'tz')} AS DATE) AS today FROM sensors) s,
+     LATERAL (SELECT s.today - CAST(n AS INTEGER) AS day FROM range(7) t(n)) d
+LEFT JOIN (SELECT r.sensor_id, CAST({_moved('r.recorded_at', 'q.id', 'q.tz')} AS DATE) AS day,
+                  avg(r.numeric_value) AS average, count(*) FILTER (WHERE r.boolean_value) AS detections
+           FROM readings r JOIN sensors q ON q.id = r.sensor_id GROUP BY ALL) a
+  ON a.sensor_id = s.id AND a.day = d.day""",
+        ),
+        "after_user_delete": _with(
+            "users sensors raw_readings rules challenges resets",
+            """
+SELECT 'app_users' AS table_name, id AS row_id FROM users WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'sensors', id FROM sensors WHERE owner_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'sensor_readings', id FROM raw_readings WHERE sensor_id NOT IN (SELECT id FROM gone_sensors)
+UNION ALL SELECT 'alert_rules', id FROM rules
+          WHERE owner_id NOT IN (SELECT id FROM gone) AND sensor_id NOT IN (SELECT id FROM gone_sensors)
+UNION ALL SELECT 'email_verification_challenges', id FROM challenges WHERE user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'password_reset_challenges', id FROM resets WHERE user_id NOT IN (SELECT id FROM gone)""",
+            {
+                "gone": "SELECT id FROM users WHERE NOT verified",
+                "gone_sensors": "SELECT id FROM sensors WHERE owner_id IN (SELECT id FROM gone)",
+            },
+        ),
         "stream_rollup": rollup,
     }

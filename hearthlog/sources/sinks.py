@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_readings(accepted: DataFrame, path: str, clustered: bool = True) -> None:
+def write_readings(accepted: DataFrame, path: str, clustered: bool = True, replace_days: bool = False) -> None:
     """Append accepted readings to the fact table, one folder per UTC day.
 
+    With ``replace_days`` the rows become the whole content of the days they fall in.
+
     ``clustered`` gathers each sensor's day into one file, sorted by sensor and time. Later jobs then
     meet a sensor in one task per day: their map-side aggregates and per-sensor limits shrink the data
     before any exchange, and lookups skip row groups by their bounds and Bloom filters. The exchange is
@@ -20,9 +22,11 @@ def write_readings(accepted: DataFrame, path: str, clustered: bool = True) -> No
         dated = dated.hint("rebalance", "recorded_date", "sensor_id").sortWithinPartitions(
             "recorded_date", "sensor_id", "recorded_at"
         )
+    writer = dated.write.mode("append")
+    if replace_days:
+        writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (
-        dated.write.mode("append")
-        .partitionBy("recorded_date")
+        writer.partitionBy("recorded_date")
         .option("parquet.bloom.filter.enabled#sensor_id", "true")
         .option("parquet.bloom.filter.expected.ndv#sensor_id", "10000")
         .parquet(path)
@@ -34,17 +38,14 @@ def write_rejects(rejected: DataFrame, path: str) -> None:
     rejected.write.mode("append").partitionBy("outcome").parquet(path)
 
 
-def write_epoch(df: DataFrame, path: str, epoch: int, *partitions: str) -> None:
-    """Write the rows of one micro-batch under its own folder.
+def write_epoch(df: DataFrame, path: str, run: str, epoch: int, *partitions: str) -> None:
+    """Write the rows of one micro-batch under a folder of its own.
 
-    A replayed batch overwrites its folder, so every row is kept exactly once.
+    ``run`` is the streaming query's persistent id, which its checkpoint keeps. A replayed batch
+    overwrites its own folder, so every row is kept exactly once; a query with another checkpoint has
+    another id and leaves the rows of earlier ones alone.
     """
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/epoch={epoch}")
-
-
-def write_alerts(alerts: DataFrame, path: str, epoch: int) -> None:
-    """Write fired alerts to the outbox; (rule_id, reading_id) identifies a row."""
-    write_epoch(alerts, path, epoch)
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/run={run}/epoch={epoch}")
 
 
 def hourly_json(hour: Column, value: Column) -> Column:

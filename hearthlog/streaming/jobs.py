@@ -1,24 +1,26 @@
 """Structured Streaming queries.
 
-Every sink writes one folder per micro-batch and overwrites it on a replay, so a restarted query
-leaves each row exactly once. Tables on the static side (sensors, users, rules) are given as a
-function and read afresh for every micro-batch, so edits are seen by the next one.
+Every sink writes one folder per query and micro-batch and overwrites it on a replay, so a restarted
+query leaves each row exactly once, and one with a new checkpoint adds to what is there. Tables on the
+static side (sensors, users, rules) are given as a function and read once for every micro-batch, so
+edits are seen by the next one and a batch sees one state of them. ``compact_readings`` moves finished
+days into the layout of the fact table.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from collections.abc import Callable
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hearthlog import schema
-from hearthlog.functions import zones
 from hearthlog.operators import alerts, ingest, stats
 from hearthlog.session import cut, staging
-from hearthlog.sources.sinks import write_alerts, write_epoch
+from hearthlog.sources.sinks import write_epoch, write_readings
 
 Table = Callable[[], DataFrame]
 
@@ -26,14 +28,19 @@ Table = Callable[[], DataFrame]
 def _start(stream: DataFrame, body, checkpoint: str, available_now: bool) -> StreamingQuery:
     area = "stream-" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
+    # Known once the query has started; the first micro-batch may come before that.
+    identity: Future[str] = Future()
+
     def run(batch: DataFrame, epoch: int) -> None:
         with staging(batch.sparkSession, area):
-            body(batch, epoch)
+            body(batch, identity.result(), epoch)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    started = writer.start()
+    identity.set_result(str(started.id))
+    return started
 
 
 def stream_ingest(
@@ -44,23 +51,21 @@ def stream_ingest(
     The classified rows are staged once, so the feed is read once for all outputs.
     """
 
-    def body(batch: DataFrame, epoch: int) -> None:
+    def body(batch: DataFrame, run: str, epoch: int) -> None:
         classified = cut(ingest.classify(batch, sensors()))
         readings = ingest.accepted_readings(classified)
         dated = readings.withColumn("recorded_date", F.to_date("recorded_at"))
-        write_epoch(dated, f"{out}/readings", epoch, "recorded_date")
-        write_epoch(ingest.rejects(classified), f"{out}/rejects", epoch, "outcome")
+        write_epoch(dated, f"{out}/readings", run, epoch, "recorded_date")
+        write_epoch(ingest.rejects(classified), f"{out}/rejects", run, epoch, "outcome")
         newest = readings.groupBy("sensor_id").agg(F.max("recorded_at").alias("last_seen_at"))
-        write_epoch(newest, f"{out}/last_seen", epoch)
+        write_epoch(newest, f"{out}/last_seen", run, epoch)
 
     return _start(requests, body, checkpoint, available_now)
 
 
-_OUTBOX = (
-    "rule_id bigint, reading_id bigint, sensor_id bigint, recorded_at timestamp, numeric_value double, "
-    "epoch bigint"
-)
-_LAST_SEEN = "sensor_id bigint, last_seen_at timestamp, epoch bigint"
+_FIRED = "rule_id bigint, reading_id bigint, sensor_id bigint, recorded_at timestamp, numeric_value double"
+_OUTBOX = f"{_FIRED}, run string, epoch bigint"
+_LAST_SEEN = "sensor_id bigint, last_seen_at timestamp, run string, epoch bigint"
 
 
 def _epochs(spark: SparkSession, path: str, layout: str) -> DataFrame:
@@ -90,35 +95,44 @@ def stream_alerts(
 
     With ``sensors`` the full event records, for whatever sends the messages, are written as well.
 
-    The outbox is also the state: a rule's last firing is its newest row of earlier micro-batches,
-    and no cooldown is longer than a week, so only that much of it is read. Readings inside a
-    micro-batch are taken in time order; one that is older than the rule's last firing is suppressed.
+    The outbox is also the state: a rule's last firing is its newest row of earlier micro-batches, those
+    of queries with other checkpoints included. How far back that matters follows from the cooldowns of
+    the batch's own matches. Readings inside a micro-batch are taken in time order; one that is older
+    than the rule's last firing is suppressed.
     """
     outbox = f"{out}/alerts"
 
-    def body(batch: DataFrame, epoch: int) -> None:
+    def body(batch: DataFrame, run: str, epoch: int) -> None:
         spark = batch.sparkSession
-        matches = alerts.alert_matches(batch, rules(), users())
-        if epoch > 0:
-            oldest = batch.agg(F.min(F.unix_micros("recorded_at")).alias("us")).first()["us"]
-            matches = _with_last_firing(matches, _earlier_alerts(spark, outbox, epoch, oldest))
-        evaluated = cut(alerts.cooldown(matches, **sizes))
+        # One copy of the definitions for matching and for the records, whatever is edited meanwhile.
+        current_rules, current_users = cut(rules()), cut(users())
+        matches = cut(alerts.alert_matches(batch, current_rules, current_users))
+        oldest = matches.agg(
+            F.min(F.col("recorded_at") - F.make_dt_interval(mins=F.col("cooldown_minutes"))).alias("at")
+        )
+        earlier = _earlier_alerts(spark, outbox, run, epoch, oldest.first()["at"])
+        evaluated = cut(alerts.cooldown(_with_last_firing(matches, earlier), **sizes))
         fires = alerts.fired(evaluated)
-        write_alerts(fires, outbox, epoch)
+        write_epoch(fires, outbox, run, epoch)
         if sensors is not None:
-            write_alerts(alerts.alert_events(fires, rules(), sensors(), users()), f"{out}/events", epoch)
-        write_epoch(alerts.suppressed_counts(evaluated), f"{out}/suppressed", epoch)
+            events = alerts.alert_events(fires, current_rules, sensors(), current_users)
+            write_epoch(events, f"{out}/events", run, epoch)
+        write_epoch(alerts.suppressed_counts(evaluated), f"{out}/suppressed", run, epoch)
 
+    # The outbox exists from the start, so that the first micro-batch can read it like any other.
+    spark = readings.sparkSession
+    write_epoch(spark.createDataFrame([], _FIRED), outbox, "none", 0)
     return _start(readings, body, checkpoint, available_now)
 
 
-def _earlier_alerts(spark: SparkSession, outbox: str, epoch: int, oldest: int | None) -> DataFrame:
-    """Alerts of earlier micro-batches that can hold back a reading at or after ``oldest`` (epoch µs)."""
-    earlier = _epochs(spark, outbox, _OUTBOX).where(F.col("epoch") < epoch)
+def _earlier_alerts(
+    spark: SparkSession, outbox: str, run: str, epoch: int, oldest: dt.datetime | None
+) -> DataFrame:
+    """Alerts before this micro-batch that can hold back one of its matches: those after ``oldest``."""
+    earlier = _epochs(spark, outbox, _OUTBOX).where((F.col("run") != run) | (F.col("epoch") < epoch))
     if oldest is None:
         return earlier.limit(0)
-    reach = F.timestamp_micros(F.lit(oldest - schema.COOLDOWN_MAX_MINUTES * 60_000_000))
-    return earlier.where(F.col("recorded_at") >= reach)
+    return earlier.where(F.col("recorded_at") >= F.lit(oldest).cast("timestamp"))
 
 
 def _with_last_firing(matches: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -132,63 +146,45 @@ def _with_last_firing(matches: DataFrame, earlier: DataFrame) -> DataFrame:
 
 
 def read_outbox(spark: SparkSession, out: str) -> DataFrame:
-    return _epochs(spark, f"{out}/alerts", _OUTBOX).drop("epoch")
+    return _epochs(spark, f"{out}/alerts", _OUTBOX).drop("run", "epoch")
 
 
 def stream_rollup(
-    readings: DataFrame, out: str, checkpoint: str, available_now: bool = False
+    readings: DataFrame, out: str, checkpoint: str, available_now: bool = False, sensors: Table | None = None
 ) -> StreamingQuery:
     """Keep 15-minute rollups of arriving readings.
 
     Each micro-batch adds its own partials; sums and counts merge, so a slot that several
-    micro-batches touch is still exact, nothing is ever too late, and no state is held.
+    micro-batches touch is still exact, nothing is ever too late, and no state is held. With ``sensors``
+    the readings of those whose zone is off the quarter-hour grid get one-second slots, so the stored
+    rollup answers for every zone; without it, all sensors must be on the grid.
     """
 
-    def body(batch: DataFrame, epoch: int) -> None:
-        write_epoch(stats.rollup_15m(batch), f"{out}/rollup", epoch)
+    def body(batch: DataFrame, run: str, epoch: int) -> None:
+        off_grid = stats.off_grid_sensors(sensors()) if sensors is not None else None
+        write_epoch(stats.rollup_15m(batch, off_grid), f"{out}/rollup", run, epoch)
 
     return _start(readings, body, checkpoint, available_now)
 
 
 _ROLLUP = (
     "sensor_id bigint, unit string, slot_start timestamp, sum_value double, n_values bigint, "
-    "n_detections bigint, epoch bigint"
+    "n_detections bigint, run string, epoch bigint"
 )
 
 
 def read_rollup(spark: SparkSession, out: str) -> DataFrame:
     """The rollup so far, ready for the daily and hourly statistics."""
-    return stats.merge_rollups(_epochs(spark, f"{out}/rollup", _ROLLUP).drop("epoch"))
+    return stats.merge_rollups(_epochs(spark, f"{out}/rollup", _ROLLUP).drop("run", "epoch"))
 
 
-def stream_closed_slots(
-    readings: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", available_now: bool = False
-) -> StreamingQuery:
-    """Emit each 15-minute slot once, when the watermark has passed its end.
+def compact_readings(spark: SparkSession, out: str, fact: str, first: dt.date, last: dt.date) -> None:
+    """Bring the streamed readings of the days ``first`` to ``last`` into the fact table at ``fact``.
 
-    For consumers that need final rows only. Arrival time is event time in this feed, so ``delay``
-    covers the order of files, not late devices; state holds the open slots.
+    Give days that no feed adds to any more. Each day is written as a whole, clustered like any other
+    day of the fact table, and replaces what an earlier run wrote for it, so a second run changes
+    nothing. A reading that several queries have delivered is kept once.
     """
-    slot = F.window("recorded_at", f"{zones.SLOT_SECONDS} seconds")
-    rolled = (
-        readings.where(F.col("numeric_value").isNotNull() | F.col("boolean_value"))
-        .withWatermark("recorded_at", delay)
-        .groupBy("sensor_id", "unit", slot.alias("slot"))
-        .agg(
-            F.sum("numeric_value").alias("sum_value"),
-            F.count("numeric_value").alias("n_values"),
-            F.count_if("boolean_value").alias("n_detections"),
-        )
-        .select(
-            "sensor_id", "unit", F.col("slot.start").alias("slot_start"), "sum_value", "n_values", "n_detections"
-        )
-    )
-    writer = (
-        rolled.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{out}/closed_slots")
-        .option("checkpointLocation", checkpoint)
-    )
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    day = F.col("recorded_date").between(F.lit(first), F.lit(last))
+    streamed = spark.read.parquet(f"{out}/readings").where(day).drop("run", "epoch", "recorded_date")
+    write_readings(streamed.dropDuplicates(["id"]), fact, replace_days=True)

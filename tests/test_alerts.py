@@ -132,3 +132,14 @@ def test_bundle_file(spark, tmp_path):
     path.write_text("# comment\n\na.b=One\\nTwo = 2\n  c = x{0}\n", encoding="utf-8")
     rows = templates.read_bundle(spark, str(path), "ENGLISH").collect()
     assert {(r.lang, r.key, r.template) for r in rows} == {("ENGLISH", "a.b", "One\nTwo = 2"), ("ENGLISH", "c", "x{0}")}
+
+
+def test_two_half_runs_fire_what_one_run_fires(spark):
+    readings, rules, users = (getattr(driver_tables, n)(spark, SMALL) for n in ("readings", "rules", "users"))
+    once = alerts.fired(alerts.evaluate_alerts(readings, rules, users))
+    middle = F.lit("2024-01-16").cast("timestamp")
+    first = alerts.fired(alerts.evaluate_alerts(readings.where(F.col("recorded_at") < middle), rules, users))
+    kept = alerts.last_triggered(rules, first)
+    second = alerts.fired(alerts.evaluate_alerts(readings.where(F.col("recorded_at") >= middle), kept, users))
+    ids = lambda df: sorted((r.rule_id, r.reading_id) for r in df.collect())
+    assert ids(first.unionByName(second)) == ids(once) and kept.columns == rules.columns

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.operators import quality, recent, retention
 from hearthlog.sources import driver_tables
+from hearthlog.schema import READINGS
 from tests.conftest import SMALL, at
 
 OLD = at("2024-01-01 00:00:00")
@@ -151,3 +152,15 @@ def test_lists(spark):
     assert [r.id for r in recent.owner_sensor_list(sensors, 3).collect()] == [13, 3]
     odd = rules.withColumn("threshold_unit", F.when(F.col("sensor_id") == 0, "PERCENT").otherwise(F.col("threshold_unit")))
     assert recent.rule_list(odd, sensors, users).count() == 14
+
+
+def test_required_columns_and_primary_keys(spark):
+    rows = [(1, None, 5.0, None, "C", None), (2, 3, 5.0, None, "C", None), (2, 3, 6.0, None, "C", None)]
+    df = spark.createDataFrame(rows, "id long, sensor_id long, numeric_value double, boolean_value boolean, unit string, recorded_at timestamp")
+    checks = {**quality.reading_checks(), **quality.required(READINGS, df)}
+    found = [(r.rule, r.row_id) for r in quality.violations(df, "sensor_readings", checks).collect()]
+    assert sorted(found) == [
+        ("recorded_at_required", 1), ("recorded_at_required", 2), ("recorded_at_required", 2), ("sensor_id_required", 1)
+    ]
+    twice = quality.primary_key_duplicates({"sensor_readings": df}).collect()
+    assert [(r.table_name, r.rule, r.key_value, r.n_rows) for r in twice] == [("sensor_readings", "primary_key", "2", 2)]

@@ -73,10 +73,7 @@ def test_only_canonical_units_and_true_flags_count(spark):
     assert (got[1, today], got[2, today], got[3, today], got[4, today]) == (50.0, 2.0, 0.0, None)
 
 
-@pytest.mark.parametrize("broadcast_rows", [stats.OFF_GRID_BROADCAST_ROWS, 0])
-def test_off_grid_zone_is_exact(spark, monkeypatch, broadcast_rows):
-    """With few off-grid sensors, and with more than are broadcast."""
-    monkeypatch.setattr(stats, "OFF_GRID_BROADCAST_ROWS", broadcast_rows)
+def test_off_grid_zone_is_exact(spark):
     data = readings(
         spark, (1, 1.0, "C", "2024-01-29 22:52:29.999999"), (1, 2.0, "C", "2024-01-29 22:52:30"),
         (2, 3.0, "C", "2024-01-29 22:52:30"),
@@ -96,6 +93,13 @@ def test_old_offsets_are_exact(spark):
     assert (got["1971-12-30"], got["1971-12-31"]) == (1.0, 2.0)
 
 
+def test_kiritimati_before_1979_is_exact(spark):
+    data = readings(spark, (1, 10.0, "C", "1975-06-01 10:39:59"), (1, 30.0, "C", "1975-06-01 10:40:00"))
+    known = sensors(spark, (1, "TEMPERATURE", "Pacific/Kiritimati"))
+    got = {str(r.local_date): r.value for r in stats.daily_statistics(data, known, at("1975-06-02 12:00:00")).collect()}
+    assert (got["1975-05-31"], got["1975-06-01"]) == (10.0, 30.0)
+
+
 def test_unusable_zone_is_quarantined(spark):
     known = sensors(spark, (1, "MOTION", "Mars/Olympus"), (2, "MOTION", "UTC"))
     data = readings(spark, (1, True, None, "2024-01-30 01:00:00"), (2, True, None, "2024-01-30 01:00:00"))

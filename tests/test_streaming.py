@@ -8,7 +8,7 @@ from hearthlog.sources import driver_tables
 from hearthlog.sources.requests import stream_requests
 from hearthlog.schema import READINGS
 from hearthlog.streaming import jobs
-from tests.conftest import SMALL
+from tests.conftest import SMALL, at
 
 
 def in_files(df, order, parts, path):
@@ -106,13 +106,49 @@ def test_rollup_equals_batch(spark, readings_path, tmp_path):
     assert same(rounded(direct), rounded(stats.daily_from_rollup(bounded, sensors, driver_tables.AS_OF)))
 
 
-def test_closed_slots_are_a_prefix_of_the_batch(spark, readings_path, tmp_path):
-    out = str(tmp_path / "out")
-    jobs.stream_closed_slots(
-        stream_of(spark, READINGS, readings_path), out, str(tmp_path / "cp"), available_now=True
+def test_stored_rollup_is_exact_off_the_grid(spark, tmp_path):
+    """10 and 30 fall on two local days at +01:07; a quarter-hour slot would mix them."""
+    out, feed = str(tmp_path / "out"), str(tmp_path / "feed")
+    rows = [(1, 1, 10.0, None, "C", at("2024-01-29 22:52:59")), (2, 1, 30.0, None, "C", at("2024-01-29 22:53:00"))]
+    spark.createDataFrame(rows, READINGS).write.parquet(feed)
+    known = driver_tables.sensors(spark, SMALL).where("id = 1").withColumn("time_zone_id", F.lit("+01:07"))
+    known = known.withColumn("type", F.lit("TEMPERATURE"))
+    jobs.stream_rollup(
+        stream_of(spark, READINGS, feed), out, str(tmp_path / "cp"), available_now=True, sensors=lambda: known
     ).awaitTermination()
-    closed = spark.read.parquet(f"{out}/closed_slots").withColumn("sum_value", F.round("sum_value", 6))
-    batch = stats.rollup_15m(driver_tables.readings(spark, SMALL)).withColumn("sum_value", F.round("sum_value", 6))
-    end = batch.agg(F.max("slot_start")).first()[0]
-    assert closed.count() > 0
-    assert same(batch.where(F.col("slot_start") < F.lit(end) - F.expr("INTERVAL 1 HOUR")), closed.where(F.col("slot_start") < F.lit(end) - F.expr("INTERVAL 1 HOUR")))
+    got = {
+        str(r.local_date): r.value
+        for r in stats.daily_from_rollup(jobs.read_rollup(spark, out), known, at("2024-01-30 12:00:00")).collect()
+    }
+    assert (got["2024-01-29"], got["2024-01-30"]) == (10.0, 30.0)
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    """Two queries with other checkpoints over other feeds: no row of any sink disappears."""
+    out = str(tmp_path / "out")
+    requests, sensors = driver_tables.requests(spark, SMALL), driver_tables.sensors(spark, SMALL)
+    for part, half in (("a", "request_id < 500"), ("b", "request_id >= 500")):
+        feed = str(tmp_path / f"feed-{part}")
+        requests.where(half).coalesce(1).write.parquet(feed)
+        jobs.stream_ingest(
+            stream_requests(spark, feed), lambda: sensors, out, str(tmp_path / f"cp-{part}"), available_now=True
+        ).awaitTermination()
+    batch = ingest.classify(requests, sensors)
+    assert same(ingest.accepted_readings(batch), spark.read.parquet(f"{out}/readings"))
+    assert same(ingest.rejects(batch), spark.read.parquet(f"{out}/rejects"))
+
+
+def test_a_cooldown_longer_than_a_week_holds_across_batches(spark, tmp_path):
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    rules = driver_tables.rules(spark, SMALL).where("enabled AND rule_type = 'NUMERIC_THRESHOLD'").limit(1)
+    rules = rules.withColumns({"cooldown_minutes": F.lit(20160), "threshold_value": F.lit(0.0), "comparison_operator": F.lit("ABOVE")})
+    rules = spark.createDataFrame(rules.collect(), rules.schema)
+    users = driver_tables.users(spark, SMALL).withColumn("email_verified_at", F.lit(at("2023-12-02 00:00:00")))
+    rule = rules.first()
+    for n, day in ((1, "2024-01-01"), (2, "2024-01-10"), (3, "2024-01-20")):
+        row = (n, rule.sensor_id, 50.0, None, rule.threshold_unit, at(f"{day} 12:00:00"))
+        spark.createDataFrame([row], READINGS).coalesce(1).write.mode("append").parquet(feed)
+        jobs.stream_alerts(
+            stream_of(spark, READINGS, feed), lambda: rules, lambda: users, out, str(tmp_path / "cp"), available_now=True
+        ).awaitTermination()
+    assert sorted(r.reading_id for r in jobs.read_outbox(spark, out).collect()) == [1, 3]
