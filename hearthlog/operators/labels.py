@@ -4,47 +4,56 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.functions import display, units, zones
+from hearthlog.operators.stats import has_data
 
 
-def statistics_table(nested: DataFrame, language: str = "ENGLISH") -> DataFrame:
+def statistics_table(
+    nested: DataFrame, language: str = "ENGLISH", languages: DataFrame | None = None
+) -> DataFrame:
     """Rows (label, value) of the weekly and hourly tables of every sensor that has data to show.
 
-    Each array is exploded in place, so the text is made without another exchange.
+    ``languages`` (sensor_id, language) gives each sensor the language of its reader; sensors without one,
+    or all without the table, are shown in ``language``. Both arrays are exploded in one step, so the
+    text is made without another exchange.
     """
-    from hearthlog.operators.stats import has_data
+    if languages is not None:
+        nested = nested.join(languages.select("sensor_id", "language"), "sensor_id", "left")
+        lang = F.coalesce("language", F.lit(language))
+    else:
+        lang = F.lit(language)
+    kind = F.col("sensor_type")
 
-    lang, kind, symbol = F.lit(language), F.col("sensor_type"), F.col("unit_symbol")
-
-    def rows(series: str, label, position) -> DataFrame:
-        point = F.col("point")
-        return (
-            nested.where(has_data(kind, F.col(series)))
-            .select("sensor_id", "sensor_type", "unit_symbol", F.explode(series).alias("point"))
-            .select(
-                "sensor_id",
-                F.lit(series).alias("series"),
-                position(point).alias("position"),
-                label(point).alias("label"),
-                display.format_metric(kind, point["value"], lang).alias("value_text"),
-                display.labelled_metric(kind, point["value"], symbol, lang).alias("tooltip"),
-            )
+    def points(series: str) -> Column:
+        entry = lambda p: F.struct(
+            F.lit(series).alias("series"),
+            (p["date"] if series == "weekly" else F.lit(None).cast("date")).alias("date"),
+            (p["hour"] if series == "hourly" else F.lit(None).cast("smallint")).alias("hour"),
+            p["value"].alias("value"),
         )
+        return F.when(has_data(kind, F.col(series)), F.transform(series, entry)).otherwise(F.array())
 
-    weekly = rows(
-        "weekly",
-        lambda point: display.display_date(point["date"], lang),
-        lambda point: F.date_format(point["date"], "yyyy-MM-dd"),
+    exploded = nested.select(
+        "sensor_id",
+        "sensor_type",
+        "unit_symbol",
+        lang.alias("lang"),
+        F.explode(F.concat(points("weekly"), points("hourly"))).alias("point"),
     )
-    hourly = rows(
-        "hourly",
-        lambda point: display.hour_range(point["hour"]),
-        lambda point: F.lpad(point["hour"].cast("string"), 2, "0"),
+    at, lang = F.col("point"), F.col("lang")
+    weekly = at["series"] == "weekly"
+    hour = F.lpad(at["hour"].cast("string"), 2, "0")
+    return exploded.select(
+        "sensor_id",
+        at["series"].alias("series"),
+        F.when(weekly, F.date_format(at["date"], "yyyy-MM-dd")).otherwise(hour).alias("position"),
+        F.when(weekly, display.display_date(at["date"], lang)).otherwise(display.hour_range(at["hour"])).alias("label"),
+        display.format_metric(kind, at["value"], lang).alias("value_text"),
+        display.labelled_metric(kind, at["value"], F.col("unit_symbol"), lang).alias("tooltip"),
     )
-    return weekly.unionByName(hourly)
 
 
 def daily_labels(daily: DataFrame, sensors: DataFrame, users: DataFrame) -> DataFrame:

@@ -214,80 +214,67 @@ def nested_statistics(
 ) -> DataFrame:
     """One row per sensor: unit symbol, today, weekly[7] and hourly[24] in the owner's unit.
 
-    Both series come from one rollup. It is first folded to local hours, which bounds a sensor's
-    group at 7 x 24 rows before the arrays are collected.
+    Both series come from one rollup, summed to one row per bucket (at most 7 days and 24 hours of a
+    sensor) before they are collected; every point of the arrays is then one lookup.
     """
     rollup = rollup_15m(_window(readings, *_days_around(as_of, 7)), off_grid_sensors(sensors))
     today = zones.local_date(_us(as_of), F.col("zone"))
-    hours = (
+    bucket = lambda series, key: F.struct(F.lit(series).alias("series"), F.col(key).alias("key"))
+    buckets = (
         _localized(rollup, sensors)
         .withColumn("days_ago", F.date_diff(today, F.col("local_date")))
         .where(F.col("days_ago").between(0, 6))
         .groupBy("sensor_id", "days_ago", "local_hour")
         .agg(*_partials())
+        .withColumn(
+            "bucket",
+            F.explode(
+                F.array(bucket("day", "days_ago"), F.when(F.col("days_ago") == 0, bucket("hour", "local_hour")))
+            ),
+        )
+        .where(F.col("bucket").isNotNull())
+        .groupBy("sensor_id", "bucket")
+        .agg(*_partials())
     )
-    cells = hours.groupBy("sensor_id").agg(
-        F.collect_list(
-            F.struct(
-                "days_ago",
-                "local_hour",
-                F.col("sum_value").alias("s"),
-                F.col("n_values").alias("n"),
-                F.col("n_detections").alias("d"),
-            )
-        ).alias("cells")
+    point = F.struct(
+        (F.col("sum_value") / F.nullif(F.col("n_values"), F.lit(0))).alias("average"),
+        F.col("n_detections").alias("detections"),
     )
+    entry = F.struct(F.col("bucket.key").alias("key"), point.alias("point"))
+    by_key = lambda series: F.map_from_entries(F.collect_list(F.when(F.col("bucket.series") == series, entry)))
+    found = buckets.groupBy("sensor_id").agg(by_key("day").alias("days"), by_key("hour").alias("hours"))
     owners = users.select(F.col("id").alias("owner_id"), F.col("preferred_temperature_unit").alias("unit"))
     described = (
         zoned(sensors)
         .withColumn("today", today)
         .join(owners, "owner_id", "left")
-        .join(cells, "sensor_id", "left")
+        .join(found, "sensor_id", "left")
     )
+    kind = F.col("sensor_type")
+
+    def value(points: str, key: Column) -> Column:
+        at = F.try_element_at(F.col(points), key)
+        shown = units.display_value(kind, at["average"], F.col("unit"))
+        return F.when(kind == "MOTION", F.coalesce(at["detections"], F.lit(0)).cast("double")).otherwise(shown)
+
     weekly = F.transform(
         F.sequence(F.lit(6), F.lit(0), F.lit(-1)),
-        lambda ago: F.struct(
-            F.date_sub(F.col("today"), ago).alias("date"),
-            _folded(F.filter("cells", lambda c: c["days_ago"] == ago)).alias("value"),
-        ),
+        lambda ago: F.struct(F.date_sub(F.col("today"), ago).alias("date"), value("days", ago).alias("value")),
     )
     hourly = F.transform(
         F.sequence(F.lit(0), F.lit(23)),
-        lambda h: F.struct(
-            h.cast("smallint").alias("hour"),
-            _folded(F.filter("cells", lambda c: (c["days_ago"] == 0) & (c["local_hour"] == h))).alias("value"),
-        ),
+        lambda h: F.struct(h.cast("smallint").alias("hour"), value("hours", h).alias("value")),
     )
     return described.select(
         "sensor_id",
         "sensor_type",
-        units.unit_symbol(F.col("sensor_type"), F.col("unit")).alias("unit_symbol"),
+        units.unit_symbol(kind, F.col("unit")).alias("unit_symbol"),
         "today",
         weekly.alias("weekly"),
         hourly.alias("hourly"),
     )
 
 
-def _folded(cells: Column) -> Column:
-    """Value of a bucket from its hourly partials, converted for display; one pass over the cells."""
-    nothing = F.struct(
-        F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d")
-    )
-    merge = lambda acc, c: F.struct(
-        (acc["s"] + F.coalesce(c["s"], F.lit(0.0))).alias("s"),
-        (acc["n"] + c["n"]).alias("n"),
-        (acc["d"] + c["d"]).alias("d"),
-    )
-    kind = F.col("sensor_type")
-    value = lambda acc: F.when(kind == "MOTION", acc["d"].cast("double")).otherwise(
-        units.display_value(kind, acc["s"] / F.nullif(acc["n"], F.lit(0)), F.col("unit"))
-    )
-    return F.aggregate(F.coalesce(cells, F.array().cast(_CELLS)), nothing, merge, value)
-
-
-_CELLS = "array<struct<days_ago:int,local_hour:int,s:double,n:bigint,d:bigint>>"
-
-
 def series_shape_ok(weekly: Column, hourly: Column) -> Column:
     """Seven dated points, hours 0 to 23 in order, every value NULL or finite."""
     finite = lambda point: point["value"].isNull() | numbers.is_finite(point["value"])
