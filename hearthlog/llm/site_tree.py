@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlog.session import cut
+
 LOW = 0.1
 GAMMA = 0.9
 MIN_PAGES = 8
@@ -271,7 +273,8 @@ def extract(
 ) -> DataFrame:
     """One row per page: id, url, main text and its length in code points."""
     cuts = unimportant(features(pages, url_col, html_col), low, gamma, min_pages)
-    per_host = cuts.groupBy("host").agg(F.collect_set("cut").alias("cuts"))
+    # Staged, so that Spark knows its size when it plans the join with the pages.
+    per_host = cut(cuts.groupBy("host").agg(F.collect_set("cut").alias("cuts")))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST.pattern, 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
 
