@@ -6,7 +6,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.operators import recent, stats
+from hearthlog.operators import labels, recent, stats
 from hearthlog.sources import driver_tables
 from hearthlog.sources.sinks import hourly_json
 from tests.conftest import SMALL, at
@@ -185,3 +185,15 @@ def test_series_dates_stop_at_local_today(spark):
     )
     got = stats.allowed_dates(dates, known, at("2024-01-30 14:00:00")).collect()
     assert {(r.sensor_id, r.date.day) for r in got} == {(1, 30), (1, 31), (2, 30)}
+
+
+def test_table_is_in_the_readers_language(spark):
+    data = readings(spark, (1, 1.5, "C", "2024-01-30 01:00:00"), (2, 1.5, "C", "2024-01-30 01:00:00"))
+    known = sensors(spark, (1, "TEMPERATURE", "UTC"), (2, "TEMPERATURE", "UTC"), (3, "TEMPERATURE", "UTC"))
+    users = spark.createDataFrame([], "id bigint, preferred_temperature_unit string")
+    nested = stats.nested_statistics(data, known, users, at("2024-01-30 12:00:00"))
+    languages = spark.createDataFrame([(1, "ENGLISH"), (2, "TURKISH")], "sensor_id bigint, language string")
+    rows = labels.statistics_table(nested, languages=languages).collect()
+    shown = {r.sensor_id: r.label for r in rows if r.position == "2024-01-30"}
+    assert shown.keys() == {1, 2} and shown[1] != shown[2]
+    assert len([r for r in rows if r.sensor_id == 1]) == 31
