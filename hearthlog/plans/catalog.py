@@ -27,7 +27,7 @@ from hearthlog.operators import (
 from hearthlog.session import configure, scratch_dir
 from hearthlog.sources import driver_tables as tables
 from hearthlog.sources import sinks
-from hearthlog.sources.tables import in_range, read_readings
+from hearthlog.sources.tables import for_owner, in_range, read_readings, read_rules, read_sensors, read_users
 from hearthlog.sources.templates import default_templates
 from hearthlog.streaming import jobs
 
@@ -190,6 +190,37 @@ def stored_readings(spark: SparkSession, sf: str) -> DataFrame:
     return in_range(read_readings(spark, path), AS_OF.replace(day=22, hour=0), AS_OF.replace(day=29, hour=0))
 
 
+@query
+def stored_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the quarantine table, one folder per outcome, and read one outcome back."""
+    path = f"{scratch_dir(spark)}/rejects-{uuid.uuid4().hex}"
+    sinks.write_rejects(ingest.rejects(_classified(spark, sf)), path)
+    return spark.read.parquet(path).where("outcome = 'INVALID_TOKEN_401'").select("request_id", "outcome")
+
+
+@query
+def stored_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensors, users and rules, written and scanned back with their declared schemas."""
+    base = f"{scratch_dir(spark)}/dimensions-{uuid.uuid4().hex}"
+    ids = tables.sensor_ids(spark, sf)
+    written = {
+        "sensors": (tables.sensors(spark, sf, ids), read_sensors),
+        "app_users": (tables.users(spark, sf), read_users),
+        "alert_rules": (tables.rules(spark, sf, ids), read_rules),
+    }
+    found = []
+    for name, (df, read) in written.items():
+        df.write.parquet(f"{base}/{name}")
+        found.append(read(spark, f"{base}/{name}").select(F.lit(name).alias("table_name"), F.col("id").alias("row_id")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query
+def owner_sensors(spark: SparkSession, sf: str) -> DataFrame:
+    """One owner's sensors."""
+    return for_owner(tables.sensors(spark, sf), 3).select("id", "owner_id", "type")
+
+
 @query
 def unusable_zones(spark: SparkSession, sf: str) -> DataFrame:
     return stats.unusable_zones(tables.raw_sensors(spark, sf))

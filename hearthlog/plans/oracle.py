@@ -811,6 +811,15 @@ FROM events""",
         "stream_compacted": ingest_rows,
         "stream_alerts": fired,
         "stream_alerts_resumed": fired,
+        "stored_rejects": _with(
+            "classified", "SELECT id AS request_id, outcome FROM classified WHERE outcome = 'INVALID_TOKEN_401'"
+        ),
+        "stored_dimensions": _with(
+            "sensors users rules",
+            "SELECT 'sensors' AS table_name, id AS row_id FROM sensors UNION ALL SELECT 'app_users', id FROM users "
+            "UNION ALL SELECT 'alert_rules', id FROM rules",
+        ),
+        "owner_sensors": _with("sensors", "SELECT id, owner_id, type FROM sensors WHERE owner_id = 3"),
         "rules_after_run": _with(
             "walk rules",
             """
