@@ -139,6 +139,50 @@ SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
 FROM bits
 """
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Fingerprints only save work: the rows are those of the exact similarity over every window.
+_LEAKS = rf"""
+WITH i AS (
+  SELECT row_number() OVER () AS iid, item_id, ws, len(ws) AS n, least(5, len(ws)) AS k
+  FROM (SELECT item_id, regexp_extract_all({_FOLD}, '{_WORD}') AS ws FROM benchmark) WHERE len(ws) > 0
+),
+ig AS (
+  SELECT iid, k, g, count(*) AS c, max(w) AS w FROM (
+    SELECT iid, k, array_to_string(ws[p:p + k - 1], ' ') AS g,
+           list_sum(list_transform(ws[p:p + k - 1], lambda x: octet_length(encode(x)))) AS w
+    FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i)
+  ) GROUP BY ALL
+),
+total AS (SELECT iid, sum(c * w) AS t FROM ig GROUP BY iid),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS ws FROM documents
+),
+dg AS (
+  SELECT rid, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g
+  FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(ws) >= k)
+),
+hits AS (SELECT rid, iid, p - 1 AS p, g, c, w FROM dg JOIN ig USING (k, g)),
+windows AS (
+  SELECT h.rid, h.iid, least(i.n, len(d.ws)) AS m, i.k, unnest(range(0, len(d.ws) - least(i.n, len(d.ws)) + 1)) AS s
+  FROM (SELECT DISTINCT rid, iid FROM hits) h JOIN i USING (iid) JOIN d USING (rid)
+),
+shared AS (
+  SELECT q.rid, q.iid, q.s, q.m, sum(least(q.found, q.c) * q.w) AS common FROM (
+    SELECT x.rid, x.iid, x.s, x.m, h.g, h.c, h.w, count(*) AS found
+    FROM windows x JOIN hits h ON h.rid = x.rid AND h.iid = x.iid AND h.p BETWEEN x.s AND x.s + x.m - x.k
+    GROUP BY ALL
+  ) q GROUP BY ALL
+),
+ranked AS (
+  SELECT *, common::DOUBLE / t::DOUBLE AS similarity,
+         row_number() OVER (PARTITION BY rid, iid ORDER BY common DESC, s) AS place
+  FROM shared JOIN total USING (iid)
+)
+SELECT doc_id, item_id, similarity, s::BIGINT AS first_word, m::BIGINT AS n_words
+FROM ranked JOIN d USING (rid) JOIN i USING (iid) WHERE place = 1 AND similarity >= 0.8
+"""
+
 
 def mix_ctes(table: str) -> str:
     """CTEs ending in ``mixed`` (rid, doc_id, source, n_tokens, block, slot) over ``table``."""
@@ -188,5 +232,6 @@ def llm_oracles() -> dict[str, str]:
         "op2_minmax_near_dup": _NEAR_DUP,
         "op5_temperature_mix": _MIX,
         "op6_secret_ownership": _SECRETS,
+        "op9_simhash_leaks": _LEAKS,
         "op10_line_rules": _LINE_RULES,
     }
