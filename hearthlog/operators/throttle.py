@@ -42,6 +42,7 @@ from hearthlog.session import cut
 # Send the task functions below with the job, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# The sizes below choose between plans; the flags do not depend on them.
 # A key with more events than this is split into stripes.
 HOT_KEY_EVENTS = 20_000_000
 # Target events per stripe; one stripe is held in memory as two long columns.
@@ -132,18 +133,24 @@ def cap_two_keys(
 ) -> DataFrame:
     """Admit an event only if the caps of its address and of its client both do.
 
-    Both caps are consumed whichever of them refuses.
+    Both caps are consumed whichever of them refuses. Only id, time and keys are staged and walked; other
+    columns of the events are joined to the flags at the end.
     """
     keyed = events.withColumn(address, normalized_key(F.col(address))).withColumn(
         client, normalized_key(F.col(client))
     )
+    narrow = (event_id, time, address, client)
     once = cap_per_window(
-        keyed, address, time, event_id, width_minutes, address_limit, flag="address_allowed", **sizes
+        keyed.select(*narrow), address, time, event_id, width_minutes, address_limit, flag="address_allowed", **sizes
     )
     both = cap_per_window(
         once, client, time, event_id, width_minutes, client_limit, flag="client_allowed", **sizes
     )
-    return both.withColumn("allowed", F.col("address_allowed") & F.col("client_allowed"))
+    flags = both.withColumn("allowed", F.col("address_allowed") & F.col("client_allowed"))
+    if set(events.columns) == set(narrow):
+        return flags
+    # An id occurs once per address, so the join keeps every event once.
+    return keyed.join(flags.drop(time, client), [event_id, address])
 
 
 # --- one walk per key -----------------------------------------------------------------------------

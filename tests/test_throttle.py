@@ -1,5 +1,6 @@
 """Cooldown and window caps against a plain walk, on both plans."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -149,3 +150,13 @@ def test_two_keys_are_both_consumed(spark):
     assert [row.address_allowed for row in flagged] == [True, False, True, True, True, True]
     assert [row.client_allowed for row in flagged] == [True, True, False, True, True, False]
     assert [row.allowed for row in flagged] == [True, False, False, True, True, False]
+
+
+def test_two_keys_keep_other_columns(spark):
+    rows = [(n, "a", "c", at("2024-01-01 00:00:00") + dt.timedelta(minutes=n), f"note {n}") for n in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, a string, c string, at timestamp, note string")
+    flagged = throttle.cap_two_keys(df, "a", "c", "at", "id", 1, 2, 15).orderBy("id").collect()
+    assert [(r.note, r.address_allowed, r.client_allowed, r.allowed) for r in flagged] == [
+        ("note 0", True, True, True), ("note 1", False, True, False), ("note 2", False, False, False),
+        ("note 3", False, False, False),
+    ]
