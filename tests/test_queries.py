@@ -78,7 +78,7 @@ def test_no_query_pairs_all_rows(spark):
                 continue
             plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
-            assert ("InArrow" in plan) == (name.startswith(("alerts_", "alert_e", "alert_mes", "cap_", "rule_c"))), name
+            assert ("InArrow" in plan) == (name.startswith(("alerts_", "alert_e", "alert_mes", "cap_", "rule_c", "rules_a"))), name
             assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
