@@ -141,6 +141,49 @@ FROM bits
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SPANS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_FOLD} AS t FROM documents),
+lines AS (
+  SELECT rid, doc_id, li, regexp_extract_all(line, '{_WORD}') AS ws
+  FROM (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS li FROM d)
+),
+tok AS (SELECT rid, doc_id, li, unnest(ws) AS w, generate_subscripts(ws, 1) AS wi FROM lines WHERE len(ws) > 0),
+flag AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY li, wi) - 1 AS g,
+         (regexp_matches(w, '[.!?]$') OR regexp_matches(w, '[.!?]["'')\]\}}]$'))::INT AS done
+  FROM tok
+),
+sent AS (
+  SELECT *, coalesce(sum(done) OVER (PARTITION BY rid, li ORDER BY wi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sn
+  FROM flag
+),
+piece AS (SELECT *, (row_number() OVER (PARTITION BY rid, li, sn ORDER BY wi) - 1) // 24 AS pc FROM sent),
+s AS (
+  SELECT rid, doc_id, a, b, row_number() OVER (PARTITION BY rid ORDER BY a) AS k
+  FROM (SELECT rid, doc_id, min(g) AS a, max(g) + 1 AS b FROM piece GROUP BY rid, doc_id, li, sn, pc)
+),
+runs AS (
+  SELECT x.rid, x.doc_id, x.a, min(y.b) AS b
+  FROM s x JOIN s y ON y.rid = x.rid AND y.k > x.k AND y.k <= x.k + 20 AND y.b - x.a >= 20 GROUP BY ALL
+),
+named AS (
+  SELECT r.doc_id, a, b, array_to_string(ws[a + 1:b], ' ') AS run
+  FROM runs r JOIN (SELECT rid, regexp_extract_all(t, '{_WORD}') AS ws FROM d) USING (rid)
+),
+firsts AS (SELECT run, min(struct_pack(id := doc_id, at := a)) AS f FROM named GROUP BY run HAVING count(*) > 1),
+again AS (
+  SELECT DISTINCT doc_id, a, b, f.id AS first_id FROM named JOIN firsts USING (run) WHERE NOT (doc_id = f.id AND a = f.at)
+),
+opened AS (
+  SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)
+                 THEN 1 ELSE 0 END AS o
+  FROM again
+),
+grouped AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY a, b) AS stretch FROM opened)
+SELECT doc_id, min(a)::BIGINT AS first_word, (max(b) - min(a))::BIGINT AS n_words, min(first_id) AS first_doc_id
+FROM grouped GROUP BY doc_id, stretch
+"""
+
 # Fingerprints only save work: the rows are those of the exact similarity over every window.
 _LEAKS = rf"""
 WITH i AS (
@@ -230,6 +273,7 @@ def llm_oracles() -> dict[str, str]:
     return {
         "op1_warc_salvage": _WARC,
         "op2_minmax_near_dup": _NEAR_DUP,
+        "op4_sentence_spans": _SPANS,
         "op5_temperature_mix": _MIX,
         "op6_secret_ownership": _SECRETS,
         "op9_simhash_leaks": _LEAKS,
