@@ -78,70 +78,112 @@ def windows(sequence: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.n
     """(rows, text): windows of ``2 * CONTEXT`` inputs and one more id, for texts that follow each other.
 
     ``sequence`` holds END, ids, END for every text; text k is ``sequence[borders[k]:borders[k + 1]]``.
-    Places outside the text are ``PAD``.
+    Places outside the text are ``PAD``. A call's texts have fewer than 2**31 ids.
     """
     lengths = np.diff(borders)
     n = -(-(lengths - 1) // CONTEXT)
     text = np.repeat(np.arange(len(lengths)), n)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    place = ((nth - 1) * CONTEXT)[:, None] + np.arange(2 * CONTEXT + 1)[None, :]
+    place = ((nth - 1) * CONTEXT).astype(np.int32)[:, None] + np.arange(2 * CONTEXT + 1, dtype=np.int32)[None, :]
     inside = (place >= 0) & (place < lengths[text][:, None])
-    index = np.where(inside, borders[text][:, None] + place, 0)
-    return np.where(inside, sequence[index], PAD).astype(np.int16), text
+    place += borders[text].astype(np.int32)[:, None]
+    place *= inside
+    rows = sequence[place]
+    rows[~inside] = PAD
+    return rows, text
+
+
+_LATER = np.where(_CAUSAL, np.float32(0), np.float32(-1e9))
+_LIMIT = np.float32(60)  # of logits: keeps exp() finite in single precision
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=-1, keepdims=True)
+    logits = logits - logits.max(axis=-1, keepdims=True)
     return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
 
 
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax at one place of each row; ``logits`` is overwritten."""
+    np.minimum(logits, _LIMIT, out=logits)
+    chosen = logits[np.arange(len(at)), at]
+    return chosen - np.log(np.einsum("ij->i", np.exp(logits, out=logits)))
+
+
 class Model:
     """Parameters with the bigram tables they correct."""
 
     def __init__(self, flat: np.ndarray, class_table: np.ndarray, inner_table: np.ndarray) -> None:
         self.flat, self.p = flat, unpack(flat)
         self.class_table, self.inner_table = class_table, inner_table
+        self._arrays: dict[str, np.ndarray] = {}
+
+    def _array(self, name: str, *shape: int) -> np.ndarray:
+        """A work array that is used again by the next batch: fresh ones cost more than the arithmetic."""
+        size = int(np.prod(shape))
+        held = self._arrays.get(name)
+        if held is None or held.size < size:
+            held = self._arrays[name] = np.empty(size, dtype=self.flat.dtype)
+        return held[:size].reshape(shape)
+
+    def _times(self, name: str, x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """``x @ matrix`` as one product instead of one per window."""
+        out = self._array(name, *x.shape[:-1], matrix.shape[1])
+        np.matmul(x.reshape(-1, x.shape[-1]), matrix, out=out.reshape(-1, matrix.shape[1]))
+        return out
 
     def _attend(self, rows: np.ndarray) -> tuple:
         """Attention outputs for the second half of each window, and what the gradients need."""
-        p = self.p
+        p, n = self.p, len(rows)
         inputs = rows[:, :-1]
-        x = p["embed"][np.maximum(inputs, 0)] + p["place"]
-        late = x[:, CONTEXT:]
-        q = late @ (p["query"] / np.float32(np.sqrt(WIDTH)))
-        k, v = x @ p["key"], x @ p["value"]
-        scores = q @ k.transpose(0, 2, 1)
-        np.copyto(scores, np.float32(-1e9), where=~(_CAUSAL & (inputs >= 0)[:, None, :]))
-        scores -= scores.max(axis=2, keepdims=True)
+        x = self._array("x", n, 2 * CONTEXT, WIDTH)
+        np.take(p["embed"], np.maximum(inputs, 0), axis=0, out=x, mode="clip")
+        x += p["place"]
+        late = self._array("late", n, CONTEXT, WIDTH)
+        late[:] = x[:, CONTEXT:]
+        q = self._times("q", late, p["query"] / np.float32(np.sqrt(WIDTH)))
+        k, v = self._times("k", x, p["key"]), self._times("v", x, p["value"])
+        scores = np.matmul(q, k.transpose(0, 2, 1), out=self._array("scores", n, CONTEXT, 2 * CONTEXT))
+        scores += _LATER
+        outside = inputs < 0
+        partly = np.flatnonzero(outside.any(axis=1))
+        scores[partly] += np.where(outside[partly], np.float32(-1e9), np.float32(0))[:, None, :]
+        np.minimum(scores, _LIMIT, out=scores)
         np.exp(scores, out=scores)
-        scores /= scores.sum(axis=2, keepdims=True)
-        mixed = scores @ v
-        return x, late, q, k, v, scores, mixed, late + mixed @ p["out"]
+        scores /= np.einsum("bij->bi", scores)[:, :, None] + np.float32(1e-30)
+        mixed = np.matmul(scores, v, out=self._array("mixed", n, CONTEXT, WIDTH))
+        hidden = self._times("hidden", mixed, p["out"])
+        hidden += late
+        return x, late, q, k, v, scores, mixed, hidden
 
     def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
         """Natural log-probability of every scored id, 0 where there is none: (windows, ``CONTEXT``)."""
         result = np.zeros((len(rows), CONTEXT), dtype=np.float64)
+        inner_table = self.inner_table.reshape(-1, CLASS_SIZE)
         for at in range(0, len(rows), BATCH):
             part = rows[at : at + BATCH]
             hidden = self._attend(part)[-1]
             target = part[:, CONTEXT + 1 :]
-            real = target >= 0
-            h, t, previous = hidden[real], target[real], part[:, CONTEXT:-1][real]
+            real = np.flatnonzero(target.ravel() >= 0)
+            t = target.ravel()[real]
             group = (t // CLASS_SIZE).astype(np.uint8)
             order = np.argsort(group, kind="stable")
-            h, t, previous, group = h[order], t[order], previous[order], group[order]
-            outer = _log_softmax(h @ self.p["class_out"] + self.class_table[previous])
-            inner = self.inner_table[previous, group]
+            own = real[order]
+            h = np.take(hidden.reshape(-1, WIDTH), own, axis=0, out=self._array("h", len(own), WIDTH), mode="clip")
+            t, group = t[order].astype(np.int64), group[order].astype(np.int64)
+            previous = part[:, CONTEXT:-1].ravel()[own].astype(np.int64)
+            outer = self._times("outer", h, self.p["class_out"])
+            outer += np.take(
+                self.class_table, previous, axis=0, out=self._array("bias", len(own), CLASSES), mode="clip"
+            )
+            inner = self._array("inner", len(own), CLASS_SIZE)
+            np.take(inner_table, previous * CLASSES + group, axis=0, out=inner, mode="clip")
             ends = np.cumsum(np.bincount(group, minlength=CLASSES))
             for c in range(CLASSES):
                 lo = ends[c - 1] if c else 0
                 if ends[c] > lo:
                     inner[lo : ends[c]] += h[lo : ends[c]] @ self.p["inner_out"][c]
-            inner = _log_softmax(inner)
-            each = np.arange(len(t))
-            value = np.empty(len(t))
-            value[order] = outer[each, group].astype(np.float64) + inner[each, t % CLASS_SIZE]
-            result[at : at + BATCH][real] = value
+            value = _log_share(outer, group).astype(np.float64) + _log_share(inner, t % CLASS_SIZE)
+            result[at : at + BATCH].ravel()[own] = value
         return result
 
     def gradient(self, rows: np.ndarray) -> tuple[float, np.ndarray]:
@@ -184,7 +226,9 @@ class Model:
         inputs = rows[:, :-1]
         d_x[inputs < 0] = 0
         g["place"][:] = d_x.sum(axis=0)
-        np.add.at(g["embed"], np.maximum(inputs, 0).ravel(), d_x.reshape(-1, WIDTH))
+        which = np.maximum(inputs, 0).ravel()
+        for d, column in enumerate(d_x.reshape(-1, WIDTH).T):
+            g["embed"][:, d] = np.bincount(which, weights=column, minlength=SIZE)
         return loss, flat
 
 

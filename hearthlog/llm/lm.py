@@ -40,7 +40,7 @@ from hearthlog.llm.subwords import CHOSEN, SIZE, VOCABULARY, Lexicon, Pieces, le
 from hearthlog.llm.tokens import Hasher
 from hearthlog.session import cut, scratch_dir
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 TRAIN_EVERY = 16
 ROUNDS = 3
 BATCH = 64
@@ -247,7 +247,7 @@ def score(
             sequence, borders, sizes, word_of = _sequence(lexicon, cutter)
             pieces_log = np.empty(len(sequence) - len(borders) + 1)
             # Texts in turn, so that windows of a few megabytes are open at a time.
-            for lo, hi in _stretches(borders, 1 << 18):
+            for lo, hi in _stretches(borders, 1 << 16):
                 part, _ = attention.windows(sequence[borders[lo] : borders[hi]], borders[lo : hi + 1] - borders[lo])
                 real = part[:, attention.CONTEXT + 1 :] >= 0
                 pieces_log[borders[lo] - lo : borders[hi] - hi] = network.log_probabilities(part)[real]

@@ -125,7 +125,7 @@ class Lexicon(NamedTuple):
     bounds: np.ndarray  # of the texts in ``numbers``
 
 
-def lexicons(texts: pa.Array, hasher: Hasher, group_bytes: int = 16 * CHUNK_BYTES):
+def lexicons(texts: pa.Array, hasher: Hasher, group_bytes: int = 8 * CHUNK_BYTES):
     """The texts in groups of about ``group_bytes`` (a text is never cut), as lexicons."""
     held: list = []
     size = 0
