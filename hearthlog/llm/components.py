@@ -8,40 +8,43 @@ from pyspark.sql import functions as F
 from hearthlog.session import cut
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def star_round(edges: DataFrame) -> DataFrame:
+    """One round over edges (a, b) with a < b: the same components, in fewer and flatter stars.
+
+    Large star: every node links its larger neighbours to its smallest neighbour or itself. Small star:
+    every node links its smaller neighbours, and itself, to the smallest of them. Minima per node are
+    combined before their exchange, and a node with very many neighbours only sends its minimum along a
+    join whose skewed side Spark splits.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+    low = large.groupBy("b").agg(F.min("a").alias("m"))
+    ends = F.explode(F.array(F.col("a"), F.col("b")))
+    small = large.join(low, "b").select(F.col("m"), ends.alias("x"))
+    return small.filter("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """The edges once each, smaller end first."""
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest neighbour of every larger end; other nodes name themselves."""
+    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): component is the smallest reachable id.
-
-    Rounds of two steps. Large star: every node links its larger neighbours to its smallest neighbour or
-    itself. Small star: every node links its smaller neighbours, and itself, to the smallest of them. The
-    edge table never grows, and it becomes a set of stars in a number of rounds that is logarithmic in
-    practice. Minima per node are combined before their exchange, and a node with very many neighbours
-    only sends its minimum along a join whose skewed side Spark splits. Each round's edges are written to
-    the shared folder, so a lost executor repeats one round at most. Null ids are not edges.
+    """(node, component) for the nodes of ``edges`` (a, b) that reach a smaller one: the smallest of all.
+
+    Rounds go on until the edges are stars, logarithmically many in practice. Each round's edges are
+    written to the shared folder, so a lost executor repeats one round at most. Null ids are not edges.
     """
-    now = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
+    now, before = cut(star_round(ordered(edges))), None
     while True:
-        both = _both_ways(now)
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        # Every edge (a, b) has a < b: b's smaller neighbours and b itself go to the smallest of them.
-        small = (
-            large.join(low, "b")
-            .select(F.explode(F.array(F.struct("m", F.col("a").alias("x")), F.struct("m", F.col("b").alias("x")))).alias("e"))
-            .select(F.col("e.m").alias("a"), F.col("e.x").alias("b"))
-            .filter("a <> b")
-            .distinct()
-        )
-        now = cut(small)
         # Order-free fingerprint of the edge set; stars are a fixed point.
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
-        if state == before:
-            break
-        before = state
-    leaves = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return leaves.union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        if state == before or not state[0]:
+            return labels(now)
+        now, before = cut(star_round(now)), state

@@ -10,11 +10,13 @@ confirmed on their full sets.
 * Equal sets are folded first and stand as one node, so copies cost a line each.
 * With ``ROWS`` values a band and ``BANDS`` bands a pair at exactly the threshold is missed with
   probability (1 - 0.8**6)**40 = 5e-6, a pair at 0.9 with 3e-14.
-* A bucket of n representatives is not n*n pairs. In each round every open bucket picks pivots among the
-  members that have not been one, compares them with all its members, and closes once those left share
+* A bucket of n sets is not n*n pairs. In each round every open bucket picks pivots among the members that
+  have not been one, compares them with its members of other components, and closes once those left share
   one component. A bucket of near copies closes after a
-  few pivots; the number of pivots grows fourfold each round, so even a bucket of unrelated texts, where every
+  few pivots; the number of pivots grows 64-fold each round, so even a bucket of unrelated texts, where every
   pair must be tried, closes after logarithmically many rounds. No link is lost to a cap.
+* Members and pivots are compared by size and by a bitmap of hash-class parities inside that join; only
+  pairs that these exact bounds let through are emitted, and only those move full sets.
 * A bucket's members are never gathered: pivots are minima with map-side combine, and the comparison is
   a join on the bucket whose skewed side Spark splits.
 
@@ -29,13 +31,15 @@ empty results. Other columns are ignored by ``classes`` and passed through by ``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.components import smallest_reachable
+from hearthlog.llm.components import labels, ordered, smallest_reachable, star_round
 from hearthlog.llm.tokens import Hasher, mix, shingles
 from hearthlog.session import cut
 
@@ -43,6 +47,10 @@ SHINGLE = 5
 THRESHOLD = 80
 ROWS = 6
 BANDS = 40
+FIRST = 10
+WORDS = 16
+_CLASS_BITS = 10  # of 64 * WORDS classes
+BROADCAST_IDS = 1_000_000
 _PIECE = 4096
 
 
@@ -107,19 +115,31 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows
     return _rows(docs, id_col, text_col).mapInArrow(sign, "id long, n_shingles long, set long, bands binary")
 
 
+def _bitmap(elements: np.ndarray) -> np.ndarray:
+    """Parities of the number of elements in ``64 * WORDS`` hash classes, as ``WORDS`` int64."""
+    counts = np.bincount((elements >> np.uint64(64 - _CLASS_BITS)).astype(np.int64), minlength=64 * WORDS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(set, elements): the set of every row as int64 bytes in order."""
+    """(set, n, w0, w1, ..., elements): the size, bitmap and elements (int64 bytes in order) of every row."""
+    bits = [f"w{k}" for k in range(WORDS)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            names, sets = [], []
+            names, sizes, maps, sets = [], [], [], []
             for e in _element_sets(batch, hasher, shingle):
                 names.append(_digest(e))
+                sizes.append(len(e))
+                maps.append(_bitmap(e))
                 sets.append(e.tobytes())
-            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["set", "elements"])
+            maps = np.array(maps, dtype=np.int64).reshape(-1, WORDS)
+            columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(m) for m in maps.T)]
+            yield pa.record_batch([*columns, pa.array(sets, pa.binary())], names=["set", "n", *bits, "elements"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(build, "set long, elements binary")
+    schema = ", ".join(["set long", "n long", *(f"{b} long" for b in bits), "elements binary"])
+    return _rows(docs, id_col, text_col).mapInArrow(build, schema)
 
 
 def bucket_members(nodes: DataFrame, bands: int) -> DataFrame:
@@ -149,39 +169,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 linked.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    # Sizes first: sets whose sizes differ too much cannot link, and are not moved.
-    size = sets.select(F.col("set").alias("a"), F.octet_length("elements").alias("na"))
-    sized = pairs.join(size, "a").join(size.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
-    near = sized.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
-    left = near.join(sets.select(F.col("set").alias("a"), F.col("elements").alias("x")), "a")
+    left = pairs.join(sets.select(F.col("set").alias("a"), F.col("elements").alias("x")), "a")
     both = left.join(sets.select(F.col("set").alias("b"), F.col("elements").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _may_link(threshold: int) -> Column:
+    """Whether a member and a pivot can link, by what their sizes and bitmaps allow.
+
+    A class whose parity differs holds an element that only one of the two sets has, so the number of
+    differing bits bounds the symmetric difference from below, and the common part from above. No pair that
+    links is turned away.
+    """
+    total = F.col("n") + F.col("pivot_n")
+    differ = reduce(add, [F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"pivot_w{k}"))) for k in range(WORDS)])
+    sizes = 100 * F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
+    return sizes & ((100 + threshold) * (total - differ) >= 2 * threshold * total)
+
+
 def set_components(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, component) over the sets that have a confirmed link, from the buckets they share."""
-    members = cut(members.withColumn("done", F.lit(False)))
-    labels, round_ = None, 0
+    """(node, component) over the sets that have a confirmed link, from the buckets they share.
+
+    Round 0 tries one pivot in every ``FIRST``-th bucket only. Near copies share many buckets, so this
+    already joins most of them, and a pair inside one component is never compared again.
+    """
+    sketches = sets.drop("elements")
+    bits = ["n", *(f"w{k}" for k in range(WORDS))]
+    members = cut(members.select("bucket", "set", F.lit(False).alias("done"), F.col("set").alias("label")))
+    edges, round_ = None, 0
     while True:
-        salt = F.pmod(F.xxhash64("set", F.lit(round_)), F.lit(2 << (2 * round_)))
-        # Pivots: the smallest hash among members that have not been one, per bucket and salt.
-        lot = F.min(F.struct(F.xxhash64("set").alias("h"), F.col("set").alias("pivot")))
-        pivots = members.filter("NOT done").groupBy("bucket", salt.alias("salt")).agg(lot.alias("lot"))
-        met = cut(members.join(pivots.select("bucket", "lot.pivot"), "bucket"))
-        pairs = met.filter("set <> pivot").select(
-            F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")
+        active = members.filter(F.pmod("bucket", F.lit(FIRST)) == 0) if round_ == 0 else members
+        # Pivots: random members that have not been one, per bucket and salt.
+        salt = F.pmod(F.xxhash64("set", F.lit(round_)), F.lit(64**round_))
+        lot = F.min(F.struct(F.xxhash64("set", F.lit(-round_)).alias("h"), F.col("set").alias("pivot"), F.col("label").alias("pivot_label")))
+        pivots = active.filter("NOT done").groupBy("bucket", salt.alias("salt")).agg(lot.alias("lot"))
+        pivots = cut(pivots.select("bucket", "lot.pivot", "lot.pivot_label"))
+        sketched = pivots.join(sketches.select(F.col("set").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in bits]), "pivot")
+        met = active.join(sketches, "set").join(sketched, "bucket").filter(F.expr("label <> pivot_label") & _may_link(threshold))
+        pairs = met.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")).distinct()
+        new = _confirmed(pairs, sets, threshold)
+        # One round of joining stars per round of pivots; labels that are not final yet cost comparisons.
+        edges = cut(star_round(ordered(new if edges is None else new.union(edges))))
+        was_pivot = pivots.select("bucket", F.col("pivot").alias("set"), F.lit(True).alias("now")).distinct()
+        marked = (
+            members.drop("label")
+            .join(was_pivot, ["bucket", "set"], "left")
+            .join(labels(edges).withColumnRenamed("node", "set"), "set", "left")
+            .select("bucket", "set", F.expr("done OR now IS NOT NULL").alias("done"), F.coalesce("component", "set").alias("label"))
         )
-        new = _confirmed(cut(pairs.distinct()), sets, threshold)
-        known = new if labels is None else new.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        labels = smallest_reachable(known)
-        marked = met.groupBy("bucket", "set").agg(F.max(F.expr("done OR set = pivot")).alias("done"))
         # Only pairs of members that were no pivots are uncompared; they matter across components.
-        rest = marked.filter("NOT done").join(labels.withColumnRenamed("node", "set"), "set", "left")
-        label = F.coalesce("component", "set")
-        still = rest.groupBy("bucket").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo <> hi")
-        members = cut(marked.join(still.select("bucket"), "bucket"))
+        marked = cut(marked)
+        rest = marked.filter("NOT done").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        members = cut(marked.join(rest.filter("lo <> hi").select("bucket"), "bucket"))
         if members.isEmpty():
-            return labels
+            return smallest_reachable(edges)
         round_ += 1
 
 
@@ -202,12 +243,15 @@ def classes(
     members = cut(bucket_members(nodes, bands))
     wanted = nodes.join(members.select("set").distinct(), "set", "left_semi").select("set", "first_id")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    texts = texts.join(wanted.select(F.col("first_id").alias("_id")), "_id", "left_semi")
+    ids = wanted.select(F.col("first_id").alias("_id"))
+    # Few enough ids go to the texts; otherwise both sides are dealt out by id. The rows are the same.
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    texts = texts.join(ids, "_id", "left_semi")
     # Rows that share an id may hold other texts: keep the wanted sets only, one of each.
     made = full_sets(texts, "_id", "_text", shingle)
     sets = cut(made.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]))
-    labels = set_components(members, sets, threshold)
-    named = nodes.select("set", "first_id").join(labels.withColumnRenamed("node", "set"), "set", "left")
+    found = set_components(members, sets, threshold)
+    named = nodes.select("set", "first_id").join(found.withColumnRenamed("node", "set"), "set", "left")
     named = cut(named.select("set", "first_id", F.coalesce("component", "set").alias("component")))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_set = named.join(smallest, "component").select("set", "component_id")
