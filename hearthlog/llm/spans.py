@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.llm.tokens import Hasher, Words
+from hearthlog.session import cut
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -106,7 +107,8 @@ def repeated_runs(
     found = all_runs(docs, id_col, text_col, min_sentences, min_words, max_sentence)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("first_id"), F.col("first_word").alias("first_at"))
     repeated = found.groupBy("run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = found.join(repeated.select("run", "p"), "run").filter(
+    # Staged, so that both sides of the join are dealt out for it alone and a skewed run can be split.
+    again = found.join(cut(repeated.select("run", "p")), "run").filter(
         ~(F.col("id").eqNullSafe(F.col("p.first_id")) & (F.col("first_word") == F.col("p.first_at")))
     )
     spans = again.select("id", "first_word", (F.col("first_word") + F.col("n_words")).alias("end"), "p.first_id").distinct()
