@@ -107,17 +107,14 @@ def source_plan(
     """One row per source: tokens, weight, budget, number of full blocks, tokens left for the last one."""
     sources = cut(rows.groupBy("mix_source").agg(F.sum("tokens").alias("tokens")))
     exponent = find_exponent(sources, budget_tokens, max_repeats, target_entropy)
-    sums = sources.filter("tokens > 0").agg(F.sum("tokens").alias("all_tokens"))
-    share = F.col("tokens") / F.col("all_tokens")
-    powered = sources.join(F.broadcast(sums)).withColumn(  # one row
-        "power", F.when(F.col("tokens") > 0, F.pow(share, F.lit(exponent))).otherwise(0.0)
-    )
-    whole = powered.filter("tokens > 0").agg(
-        F.sum("power").alias("power_sum"), F.max(F.col("tokens") / F.col("power")).alias("cover")
-    )
-    weighted = powered.join(F.broadcast(whole), how="left").withColumn("weight", F.col("power") / F.col("power_sum"))
+    total = sources.agg(F.sum("tokens")).first()[0] or 0
+    power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(total), F.lit(exponent))).otherwise(0.0)
+    powered = sources.withColumn("power", power)
+    sums = powered.filter("tokens > 0").agg(F.sum("power"), F.max(F.col("tokens") / F.col("power"))).first()
+    power_sum, cover = (F.lit(x or 1.0) for x in sums)
+    weighted = powered.withColumn("weight", F.col("power") / power_sum)
     if budget_tokens is None:
-        own = F.greatest(F.col("tokens"), F.round(F.col("power") * F.col("cover")).cast("long"))
+        own = F.greatest(F.col("tokens"), F.round(F.col("power") * cover).cast("long"))
     else:
         own = F.round(F.col("weight") * budget_tokens).cast("long")
     full = F.when(F.col("tokens") > 0, F.expr("budget DIV tokens")).otherwise(1).cast("long")
@@ -162,7 +159,8 @@ def plan_mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(plan, rows): one row per source, and the narrow row of every document."""
     rows = _narrow(docs, id_col, text_col, source_col)
-    plan = source_plan(rows, budget_tokens, max_repeats, target_entropy)
+    # Staged, so that Spark knows its size when it plans the joins with the documents.
+    plan = cut(source_plan(rows, budget_tokens, max_repeats, target_entropy))
     return cut(_with_last_key(rows, plan)), rows
 
 
