@@ -243,7 +243,7 @@ def unimportant(feature_rows: DataFrame, low: float = LOW, gamma: float = GAMMA,
     """(host, cut): hashes of the paths and texts of low importance on each host."""
     shown = feature_rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("d"))
     # Every page with the path has exactly one child sequence there.
-    pages = shown.filter("kind = 'style'").groupBy("host", "path").agg(F.sum("d").alias("m"))
+    pages = cut(shown.filter("kind = 'style'").groupBy("host", "path").agg(F.sum("d").alias("m")))
     share = F.col("d") / F.col("m")
     known = shown.join(pages.filter(F.col("m") >= min_pages), ["host", "path"]).select(
         "*",
