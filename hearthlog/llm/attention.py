@@ -74,16 +74,20 @@ def bigram_logits(counts: np.ndarray, strength: float = 20.0) -> tuple[np.ndarra
     return np.log(outer).astype(np.float32), np.log(inner).astype(np.float32)
 
 
-def windows(sequence: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(
+    sequence: np.ndarray, borders: np.ndarray, every: int = 1, phase: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """(rows, text): windows of ``2 * CONTEXT`` inputs and one more id, for texts that follow each other.
 
     ``sequence`` holds END, ids, END for every text; text k is ``sequence[borders[k]:borders[k + 1]]``.
-    Places outside the text are ``PAD``. A call's texts have fewer than 2**31 ids.
+    Places outside the text are ``PAD``. With ``every`` only each so-manieth window is made, from the one
+    numbered ``phase`` on. A call's texts have fewer than 2**31 ids.
     """
     lengths = np.diff(borders)
     n = -(-(lengths - 1) // CONTEXT)
     text = np.repeat(np.arange(len(lengths)), n)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    nth = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))[phase::every]
+    text = text[phase::every]
     place = ((nth - 1) * CONTEXT).astype(np.int32)[:, None] + np.arange(2 * CONTEXT + 1, dtype=np.int32)[None, :]
     inside = (place >= 0) & (place < lengths[text][:, None])
     place += borders[text].astype(np.int32)[:, None]

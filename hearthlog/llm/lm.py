@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,15 +121,14 @@ def pair_rows(staged: DataFrame, pieces: list[bytes]) -> DataFrame:
         pairs = np.zeros(SIZE * SIZE, dtype=np.int64)
         phase = 0
         for batch in batches:
-            texts = batch.column("body").filter(pa.compute.invert(batch.column("held_out")))
+            texts = batch.column("body").filter(pc.invert(batch.column("held_out")))
             for lexicon in lexicons(texts, hasher):
                 sequence, borders, _, _ = _sequence(lexicon, cutter)
                 inside = np.ones(len(sequence) - 1, dtype=bool)
                 inside[borders[1:-1] - 1] = False
                 code = sequence[:-1].astype(np.int64) * SIZE + sequence[1:]
                 pairs += np.bincount(code[inside], minlength=SIZE * SIZE)
-                rows, _ = attention.windows(sequence, borders)
-                rows = np.ascontiguousarray(rows[phase::TRAIN_EVERY])
+                rows, _ = attention.windows(sequence, borders, TRAIN_EVERY, phase)
                 phase = (phase + 1) % TRAIN_EVERY
                 nothing = pa.nulls(len(rows), pa.int64())
                 packed = pa.array([r.tobytes() for r in rows], pa.binary())
@@ -164,7 +164,7 @@ def fit(staged: DataFrame, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     flat = attention.start()
     for round_ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(flat)
-        own = shuffled.filter(F.col("round") == round_).select("rows").repartition(tasks, F.xxhash64("rows", F.lit(1)))
+        own = shuffled.filter(F.col("round") == round_).select("rows").repartition(tasks)
         rate = RATE * (1 - round_ / ROUNDS)
         copies = own.mapInArrow(lambda batches, s=sent, r=rate: _train_copy(batches, s, tables, r), "at int, x double")
         mean = copies.groupBy("at").agg(F.avg("x").alias("x")).toArrow()  # one row per parameter
