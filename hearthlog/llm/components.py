@@ -41,7 +41,7 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     Rounds go on until the edges are stars, logarithmically many in practice. Each round's edges are
     written to the shared folder, so a lost executor repeats one round at most. Null ids are not edges.
     """
-    now, before = cut(star_round(ordered(edges))), None
+    now, before = cut(star_round(cut(ordered(edges)))), None
     while True:
         # Order-free fingerprint of the edge set; stars are a fixed point.
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()

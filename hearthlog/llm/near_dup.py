@@ -209,7 +209,8 @@ def set_components(members: DataFrame, sets: DataFrame, threshold: int) -> DataF
         pairs = met.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")).distinct()
         new = _confirmed(pairs, sets, threshold)
         # One round of joining stars per round of pivots; labels that are not final yet cost comparisons.
-        edges = cut(star_round(ordered(new if edges is None else new.union(edges))))
+        # Staged first, since the round reads its edges several times and each would confirm the pairs anew.
+        edges = cut(star_round(cut(ordered(new if edges is None else new.union(edges)))))
         was_pivot = pivots.select("bucket", F.col("pivot").alias("set"), F.lit(True).alias("now")).distinct()
         marked = (
             members.drop("label")
