@@ -7,9 +7,14 @@ over the whole corpus; the first of equal runs (smallest document id, then place
 under any other are removed.
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?`` (closing quotes and brackets aside), at a
-line break, or after ``MAX_SENTENCE`` words, so text without punctuation has runs too. With these values a
-repeated passage of 50 words that begins with a sentence always holds a run. Hashes ignore white space and
-the case of A to Z.
+line break, or after ``MAX_SENTENCE`` words, so text without punctuation has runs too. Hashes ignore white space
+and the case of A to Z. This is the rule of the query's SQL. It finds a repeat without punctuation only where the
+words before it agree modulo ``MAX_SENTENCE``.
+
+With ``by_words`` the sentence marks of other scripts count too, and sentences of more than ``MAX_WHOLE`` words
+are cut where their words say so: of every ``WINDOW`` words running the one with the least hash ends a piece.
+Whether a word does follows from the 7 words on either side of it, and pieces have 8 words at most. So a repeated
+passage of 51 words loses at most 15 words at either end and always holds a run of the others, wherever it starts.
 
 Only (hash, id, place) rows are moved: once to find repeated runs, with counts combined before the
 exchange, and once to join them back, where Spark splits a run that very many documents share. Removals
@@ -35,38 +40,66 @@ from hearthlog.session import cut
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 MAX_SENTENCE = 24
+MAX_WHOLE = 15
+WINDOW = 8
+
+# Sentence marks and closing quotes and brackets of many scripts, by their bytes.
+_ASCII_MARKS, _ASCII_CLOSERS = ".!?", "\"')]}"
+_MARKS = _ASCII_MARKS + "\u2026\u203c\u2047\u2048\u2049\u3002\uff01\uff0e\uff1f\uff61\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u104b\u17d4\u2e2e"
+_CLOSERS = _ASCII_CLOSERS + "\u00bb\u2019\u201d\u203a\u300b\u300d\u300f\u3011\uff09"
+
 
-_MARK = np.zeros(256, dtype=bool)
-_MARK[list(b".!?")] = True
-_CLOSER = np.zeros(256, dtype=bool)
-_CLOSER[list(b"\"')]}")] = True
+def _ends_in(w: Words, ends: np.ndarray, chars: str) -> np.ndarray:
+    """Bytes of the one of ``chars`` that each word, cut at ``ends``, ends in; 0 if it ends in none."""
+    size = np.zeros(len(ends), dtype=np.int64)
+    tail = np.zeros(len(ends), dtype=np.int64)
+    for n in (1, 2, 3):
+        tail |= w.data[np.maximum(ends - n, 0)].astype(np.int64) << (8 * (n - 1))
+        codes = [int.from_bytes(c.encode(), "big") for c in chars if len(c.encode()) == n]
+        size[np.isin(tail, codes) & (ends - w.starts >= n)] = n
+    return size
 
 
-def sentences(w: Words, longest: int = MAX_SENTENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentences(w: Words, longest: int = MAX_SENTENCE, by_words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, end, text) of every sentence in a run of texts."""
     n = len(w.starts)
     if n == 0:
         return (np.zeros(0, dtype=np.int64),) * 3
-    last = w.data[w.ends - 1]
-    before = w.data[np.maximum(w.ends - 2, 0)]
-    done = _MARK[last] | (_CLOSER[last] & _MARK[before] & (w.ends - w.starts > 1))
+    marks, closers = (_MARKS, _CLOSERS) if by_words else (_ASCII_MARKS, _ASCII_CLOSERS)
+    inner = w.ends - _ends_in(w, w.ends, closers)
+    done = (_ends_in(w, w.ends, marks) > 0) | (_ends_in(w, inner, marks) > 0)
     breaks = np.concatenate([[0], np.cumsum(w.data == 10)])
     done[:-1] |= breaks[w.starts[1:]] > breaks[w.ends[:-1]]
     borders = w.bounds[1:]
     done[borders[borders > 0] - 1] = True  # the last word of every text
     stops = np.flatnonzero(done) + 1
-    starts = np.concatenate([[0], stops[:-1]])
-    pieces = -(-(stops - starts) // longest)
-    which = np.repeat(np.arange(len(starts)), pieces)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    first = starts[which] + nth * longest
-    end = np.minimum(first + longest, stops[which])
-    return first, end, np.searchsorted(w.bounds, first, side="right") - 1
-
-
-def runs(w: Words, hasher: Hasher, least: int, least_words: int, longest: int) -> tuple[np.ndarray, ...]:
+    sizes = np.diff(stops, prepend=0)
+    if not by_words:
+        pieces = -(-sizes // longest)
+        which = np.repeat(np.arange(len(stops)), pieces)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = (stops - sizes)[which] + nth * longest
+        return first, np.minimum(first + longest, stops[which]), np.searchsorted(w.bounds, first, side="right") - 1
+    # Winnowing: in long sentences the least hash of every window of words ends a piece.
+    sentence = np.repeat(np.arange(len(stops)), sizes)
+    long = np.flatnonzero(np.repeat(sizes > MAX_WHOLE, sizes))
+    k = len(long) - WINDOW + 1
+    if k > 0:
+        values, sentence = w.hashes[long], sentence[long]
+        least, at = values[:k].copy(), np.arange(k)
+        for step in range(1, WINDOW):
+            less = values[step : step + k] <= least
+            least[less] = values[step : step + k][less]
+            at[less] = np.flatnonzero(less) + step
+        done[long[at[sentence[:k] == sentence[WINDOW - 1 :]]]] = True
+        stops = np.flatnonzero(done) + 1
+    first = np.concatenate([[0], stops[:-1]])
+    return first, stops, np.searchsorted(w.bounds, first, side="right") - 1
+
+
+def runs(w: Words, hasher: Hasher, least: int, least_words: int, longest: int, by_words: bool = False) -> tuple[np.ndarray, ...]:
     """(hash, text, first word in the text, number of words) of every run."""
-    first, end, text = sentences(w, longest)
+    first, end, text = sentences(w, longest, by_words)
     k = np.arange(len(first))
     last = np.maximum(k + least - 1, np.searchsorted(end, first + least_words))
     whole = np.flatnonzero(last < len(first))
@@ -75,14 +108,16 @@ def runs(w: Words, hasher: Hasher, least: int, least_words: int, longest: int) -
     return hasher.span_hashes(w.hashes, a, b), text[whole], a - w.bounds[text[whole]], b - a
 
 
-def all_runs(docs: DataFrame, id_col: str, text_col: str, least: int, least_words: int, longest: int) -> DataFrame:
+def all_runs(
+    docs: DataFrame, id_col: str, text_col: str, least: int, least_words: int, longest: int, by_words: bool = False
+) -> DataFrame:
     """(run, id, first_word, n_words) of every run of every document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for w in hasher.words(batch.column("body")):
-                names, text, at, n = runs(w, hasher, least, least_words, longest)
+                names, text, at, n = runs(w, hasher, least, least_words, longest, by_words)
                 ids = batch.column("id").take(pa.array(text + w.first))
                 columns = [pa.array(names.view(np.int64)), ids, pa.array(at), pa.array(n)]
                 yield pa.record_batch(columns, names=["run", "id", "first_word", "n_words"])
@@ -99,12 +134,13 @@ def repeated_runs(
     min_sentences: int = MIN_SENTENCES,
     min_words: int = MIN_WORDS,
     max_sentence: int = MAX_SENTENCE,
+    by_words: bool = False,
 ) -> DataFrame:
     """What to remove: (id, first_word, n_words, first_id), one row per stretch of repeated sentences.
 
     ``first_id`` is the smallest id among the documents in which the stretch's runs stand first.
     """
-    found = all_runs(docs, id_col, text_col, min_sentences, min_words, max_sentence)
+    found = all_runs(docs, id_col, text_col, min_sentences, min_words, max_sentence, by_words)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("first_id"), F.col("first_word").alias("first_at"))
     repeated = found.groupBy("run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Staged, so that both sides of the join are dealt out for it alone and a skewed run can be split.

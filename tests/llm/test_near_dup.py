@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from hearthlog.llm import components, decontaminate, near_dup, spans
+from hearthlog.llm.tokens import Hasher
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -146,6 +148,30 @@ def test_spans_match_a_plain_version(spark):
     assert spans.repeated_runs(df.limit(0)).count() == 0
 
 
+def held_runs(text, n_prefix):
+    """Runs of a text, by name, that start behind its first words and end before its last 30."""
+    hasher = Hasher()
+    w = next(iter(hasher.words(pa.array([text]))))
+    names, _, at, n = spans.runs(w, hasher, spans.MIN_SENTENCES, spans.MIN_WORDS, spans.MAX_SENTENCE, by_words=True)
+    return {h for h, a, k in zip(names.tolist(), at, n) if a >= n_prefix and a + k <= len(w.starts) - 30}
+
+
+@pytest.mark.parametrize("marked", [0.0, 0.05, 0.2])
+def test_passages_without_marks_are_found_behind_any_prefix(marked):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**6)}" + "." * (rng.random() < marked) for _ in range(n)]
+    for _ in range(20):
+        passage = words(51)
+        texts = [held_runs(" ".join([*words(k), *passage, *words(30)]), k) for k in range(31)]
+        assert set.intersection(*texts)
+
+
+def test_marks_of_other_scripts_end_sentences():
+    w = next(iter(Hasher().words(pa.array(["一 二。 三 四？」 پنج؟ छह। 七 「八！』 nine… ten"]))))
+    _, ends, _ = spans.sentences(w, by_words=True)
+    assert ends.tolist() == [2, 4, 5, 6, 8, 9, 10]
+
+
 def plain_leaks(docs, items):
     weigh = lambda g: sum(len(x.encode()) for x in g)
     out = set()
