@@ -6,13 +6,16 @@ is compared in three steps:
 1. *Anchors.* Similarity is shared shingle weight, so a window without one shingle of the item has
    similarity zero. Only windows over a shared shingle are fingerprinted; this leaves out nothing.
 2. *SimHash in multi-index blocks.* Windows and items get 64-bit fingerprints of their weighted shingles.
-   Two fingerprints within ``RADIUS`` bits differ by at most ``RADIUS // BLOCKS`` bits in one of ``BLOCKS``
-   equal blocks (pigeonhole), so blocks are tried first and the whole distance for their hits: exactly
-   the windows within the radius pass. At similarity 0.8 the expected distance is 13 bits with a
-   deviation of 3.2, so the radius of 28 leaves out a similar window with probability about 2e-6.
+   Two fingerprints within r bits differ by at most ``r // BLOCKS`` bits in one of ``BLOCKS`` equal blocks
+   (pigeonhole), so blocks are tried first and the whole distance for their hits: exactly the windows within
+   the radius pass. The radius is that of the item and the window: shingle weights that the two do not share
+   add up to at most d = window + item - 2 * 0.8 * item at similarity 0.8, and a bit can differ only if the
+   item's sum of signs for it is at most d. So no window of similarity 0.8 or more is turned away, whatever long
+   words stand in it.
 3. *Exact similarity.* The share of the item's shingle weight that the window holds, counting repeated
    shingles as often as both have them; a shingle weighs as many bytes as its words have. 0.8 or more is a
-   leak.
+   leak. The same without the counts is never less, is known for all windows from running sums, and leaves few
+   windows to be counted.
 
 Shingles are five words, lower-cased A to Z; an item with fewer words is one shingle of all its words.
 Documents are scanned once and nothing is shuffled. The items are the stated query set: they go to the
@@ -56,6 +59,7 @@ class Item(NamedTuple):
     counts: np.ndarray
     weights: np.ndarray  # of one occurrence
     fingerprint: np.uint64
+    margins: np.ndarray  # sizes of the fingerprint's 64 sums, sorted: how much weight it takes to turn a bit
 
 
 def _shingled(hashes: np.ndarray, sizes: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +86,23 @@ def make_item(item_id: int | None, words: Words) -> Item | None:
     k = min(SHINGLE, n)
     names, weights = _shingled(words.hashes, words.ends - words.starts, k)
     distinct, where, counts = np.unique(names, return_index=True, return_counts=True)
-    fingerprint = _fingerprints(_sign_sums(names, weights)[-1:])[0]
-    return Item(item_id, n, k, distinct, counts, weights[where], fingerprint)
+    sums = _sign_sums(names, weights)[-1:]
+    return Item(item_id, n, k, distinct, counts, weights[where], _fingerprints(sums)[0], np.sort(np.abs(sums[0])))
 
 
-def within_radius(prints: np.ndarray, target: np.uint64, radius: int = RADIUS, blocks: int = BLOCKS) -> np.ndarray:
-    """Indexes of the fingerprints at most ``radius`` bits from ``target``."""
+def radii(item: Item, window_weights: np.ndarray, threshold: float) -> np.ndarray:
+    """Most bits by which windows of these shingle weights and of similarity ``threshold`` can differ from the item."""
+    own = (item.counts * item.weights).sum()
+    # One more for the rounding of the threshold.
+    unshared = window_weights + own - 2 * threshold * own + 1
+    return np.searchsorted(item.margins, unshared, side="right")
+
+
+def within_radius(
+    prints: np.ndarray, target: np.uint64, radius: int | np.ndarray = RADIUS, blocks: int = BLOCKS
+) -> np.ndarray:
+    """Indexes of the fingerprints at most ``radius`` bits (one for all, or each its own) from ``target``."""
+    radius = np.broadcast_to(radius, prints.shape)
     differ = prints ^ target
     width = 64 // blocks
     mask = np.uint64((1 << width) - 1)
@@ -95,7 +110,7 @@ def within_radius(prints: np.ndarray, target: np.uint64, radius: int = RADIUS, b
     for b in range(blocks):
         hit |= np.bitwise_count((differ >> np.uint64(b * width)) & mask) <= radius // blocks
     candidates = np.flatnonzero(hit)
-    return candidates[np.bitwise_count(differ[candidates]) <= radius]
+    return candidates[np.bitwise_count(differ[candidates]) <= radius[candidates]]
 
 
 def best_window(item: Item, hashes: np.ndarray, sizes: np.ndarray, hits: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
@@ -110,7 +125,7 @@ def best_window(item: Item, hashes: np.ndarray, sizes: np.ndarray, hits: np.ndar
     np.add.at(marks, np.clip(hits - reach, 0, last), 1)
     np.add.at(marks, np.clip(hits, 0, last) + 1, -1)
     starts = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
-    best = None
+    best, own = None, (item.counts * item.weights).sum()
     # Separate stretches of starts, each at most 4,096 windows, bound the memory of the bit sums.
     pieces = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
     for stretch in pieces:
@@ -123,11 +138,17 @@ def best_window(item: Item, hashes: np.ndarray, sizes: np.ndarray, hits: np.ndar
             prints = _fingerprints(sums[rows + reach + 1] - sums[rows])
             where = np.searchsorted(item.names, names).clip(max=len(item.names) - 1)
             shared = np.where(item.names[where] == names, where, len(item.names))
-            for k in within_radius(prints, item.fingerprint):
+            whole = np.concatenate([[0], np.cumsum(weights)])
+            shares = np.concatenate([[0], np.cumsum(np.append(item.weights, 0)[shared])])
+            near = within_radius(prints, item.fingerprint, radii(item, whole[rows + reach + 1] - whole[rows], threshold))
+            most = (shares[rows + reach + 1] - shares[rows]) / own
+            for k in near[most[near] >= threshold]:
+                if best and most[k] <= best[0]:
+                    continue
                 row = rows[k]
                 have = np.bincount(shared[row : row + reach + 1], minlength=len(item.names) + 1)[:-1]
                 common = (np.minimum(have, item.counts) * item.weights).sum()
-                similarity = float(common / (item.counts * item.weights).sum())
+                similarity = float(common / own)
                 if similarity >= threshold and (best is None or similarity > best[0]):
                     best = similarity, int(begin[k]), int(n)
     return best

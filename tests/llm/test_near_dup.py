@@ -226,6 +226,28 @@ def test_leaks_match_all_windows(spark):
     assert decontaminate.find_leaks(d.limit(0), b).count() == 0 == decontaminate.find_leaks(d, b.limit(0)).count()
 
 
+@pytest.mark.parametrize("in_item", [False, True])
+def test_leaks_with_a_long_word_are_found(in_item):
+    rng = random.Random(17)
+    texts = [[f"q{rng.randrange(500)}" for _ in range(40)] for _ in range(40)]
+    url = lambda: "u" * rng.choice([80, 200, 500, 2000]) + str(rng.randrange(10**6))
+    if in_item:
+        texts = [[*t[:30], url(), *t[30:]] for t in texts]
+    # Every document holds an item whole, but for a long word in its middle or for small changes.
+    docs = []
+    for i, t in enumerate(texts):
+        own = [*t[:20], url(), *t[20:]] if not in_item else [*t[:3], "changed", *t[4:10], "again", *t[11:]]
+        docs.append((i, " ".join(["before"] * 30 + own + ["after"] * 30)))
+    items = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = plain_leaks(docs, items)
+    index = decontaminate.Index(pa.array([i for i, _ in items]), pa.array([t for _, t in items]))
+    found = set()
+    for w in Hasher().words(pa.array([t for _, t in docs])):
+        for t, (item, similarity, at, n) in index.leaks(w, decontaminate.THRESHOLD):
+            found.add((w.first + t, item, round(similarity, 9), at, n))
+    assert found == want and len(want) >= 30
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     import numpy as np
 
