@@ -9,7 +9,7 @@ from the others. The job:
    crosses the network once per block, not once per occurrence, and no vocabulary is ever in one place.
 3. *Subwords.* In the same pass all subwords of the training text are counted; the most frequent pieces
    form the vocabulary. A second pass counts id pairs over all training text (the bigram model the
-   network corrects) and cuts one training window in ``TRAIN_EVERY``, evenly over all training text.
+   network corrects) and cuts all training text into windows.
 4. *Training.* In ``ROUNDS`` rounds, each over its own part of the windows, every task trains a copy of the
    network and Spark averages the copies. The number of tasks grows with the corpus.
 5. *Scoring.* Each block meets its words' counts and is scored whole: every word and subword once. A
@@ -42,7 +42,6 @@ from hearthlog.llm.tokens import Hasher
 from hearthlog.session import cut, scratch_dir
 
 BLOCK_BYTES = 8_000_000
-TRAIN_EVERY = 16
 ROUNDS = 3
 BATCH = 64
 WINDOWS_PER_TASK = 20_000
@@ -119,7 +118,6 @@ def pair_rows(staged: DataFrame, pieces: list[bytes]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, cutter = Hasher(), Pieces(pieces)
         pairs = np.zeros(SIZE * SIZE, dtype=np.int64)
-        phase = 0
         for batch in batches:
             texts = batch.column("body").filter(pc.invert(batch.column("held_out")))
             for lexicon in lexicons(texts, hasher):
@@ -128,11 +126,11 @@ def pair_rows(staged: DataFrame, pieces: list[bytes]) -> DataFrame:
                 inside[borders[1:-1] - 1] = False
                 code = sequence[:-1].astype(np.int64) * SIZE + sequence[1:]
                 pairs += np.bincount(code[inside], minlength=SIZE * SIZE)
-                rows, _ = attention.windows(sequence, borders, TRAIN_EVERY, phase)
-                phase = (phase + 1) % TRAIN_EVERY
-                nothing = pa.nulls(len(rows), pa.int64())
-                packed = pa.array([r.tobytes() for r in rows], pa.binary())
-                yield pa.record_batch([nothing, nothing, packed], names=["pair", "n", "rows"])
+                for lo, hi in _stretches(borders, 1 << 16):
+                    rows, _ = attention.windows(sequence[borders[lo] : borders[hi]], borders[lo : hi + 1] - borders[lo])
+                    nothing = pa.nulls(len(rows), pa.int64())
+                    packed = pa.array([r.tobytes() for r in rows], pa.binary())
+                    yield pa.record_batch([nothing, nothing, packed], names=["pair", "n", "rows"])
         used = np.flatnonzero(pairs)
         columns = [pa.array(used), pa.array(pairs[used]), pa.nulls(len(used), pa.binary())]
         yield pa.record_batch(columns, names=["pair", "n", "rows"])

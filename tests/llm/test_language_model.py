@@ -92,6 +92,17 @@ def test_counts_and_held_out_accuracy(spark):
     assert sum(r.score for r in mine) > 0.75 * equal
 
 
+def test_every_training_id_is_in_a_training_window(spark):
+    rows = [(i, f"text{i} " * (40 * i)) for i in range(1, 30)]
+    staged = lm.stage_blocks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = lm.pair_rows(staged, []).filter("rows IS NOT NULL").collect()
+    windows = np.array([np.frombuffer(r["rows"], dtype=np.int16) for r in found])
+    trained = (windows[:, attention.CONTEXT + 1 :] >= 0).sum()
+    # Without pieces an id is a byte of a word; every text has an end.
+    own = [t.replace(" ", "") for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert trained >= sum(map(len, own)) + len(own)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(2)
     # Every third id repeats the one three places before: only attention can know it.
