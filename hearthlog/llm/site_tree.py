@@ -65,6 +65,8 @@ FURNITURE_WORDS = frozenset(
     "skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+SPARES_COMMENTS = frozenset("has with without".split())
+NEVER_FURNITURE = frozenset("html body main".split())
 CONTENT_LEAD = frozenset("with has no without article post entry story main content page".split())
 
 _TOKEN = re.compile(
@@ -104,10 +106,14 @@ def _names_furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool,
         if name in ("class", "id"):
             own_class = value if name == "class" else own_class
             for word in value.split():
+                if tag in NEVER_FURNITURE:
+                    break
                 parts = re.split(r"[-_:]+", word)
-                if COMMENT_WORDS.intersection(parts):
+                first = next((k for k, part in enumerate(parts) if part in COMMENT_WORDS), 0)
+                spared = SPARES_COMMENTS.intersection(parts[:first]) or (tag == "article" and "no" in parts[:first])
+                if COMMENT_WORDS.intersection(parts) and not spared:
                     return True, ""
-                if tag not in ("html", "body", "main", "article") and parts[0] not in CONTENT_LEAD:
+                if tag != "article" and parts[0] not in CONTENT_LEAD:
                     if FURNITURE_WORDS.intersection(parts):
                         return True, ""
     return False, own_class

@@ -123,6 +123,16 @@ def test_copies_of_an_article_are_not_furniture(spark):
     assert {r.text for r in site_tree.extract(df).collect()} == {"Title\nSame story everywhere."}
 
 
+def test_names_that_mention_comments_spare_the_article():
+    text = lambda page: "\n".join(b.text for b in site_tree.candidate_blocks(site_tree.parse(page)))
+    for name in ("post no-comments", "has-comments", "post with-comments", "without-comments"):
+        assert text(f"<body class='single comments-open'><article class='{name}'><p>Story.</p></article>") == "Story."
+    assert text("<html id=comments><body class=comment-page><main class=comments><p>Story.</p></main>") == "Story."
+    assert text("<body><div class='entry has-comments'><p>Story.</p><p class=no-comments>Closed.</p></div>") == "Story."
+    for name in ("comment", "comment-no-parent", "comments-open"):
+        assert text(f"<body><p>Story.</p><article class='{name}'><p>Reply.</p></article>") == "Story."
+
+
 def test_broken_markup():
     text = lambda page: "\n".join(b.text for b in site_tree.candidate_blocks(site_tree.parse(page)))
     assert text("<p><b>one<p>two<ul><li>three<li>four</ul>five") == "one\ntwo\nthree\nfour\nfive"
