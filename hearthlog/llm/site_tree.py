@@ -9,8 +9,8 @@ Two entropies say how much a node matters, both with the number m of pages that
 
 A path's importance is ``(1 - GAMMA) * presentation + GAMMA * content``. Branches of low importance, and
 single texts of low content importance, are cut out of each page. Pages whose candidate texts are equal
-count once, so copies of an article do not turn it into furniture, and paths on fewer than ``MIN_PAGES``
-such pages are left alone. Elements that name themselves furniture (tags, roles, class and id words) are
+count once, so copies of an article do not turn it into furniture. Two such pages are enough: for small m only
+a text on all or nearly all of them has low importance. A path on one page cannot tell and stays. Elements that name themselves furniture (tags, roles, class and id words) are
 low-importance branches whatever their statistics, since adverts and menus may differ on every page.
 Where a page marks its article, only that branch counts.
 
@@ -40,7 +40,6 @@ from hearthlog.session import cut
 
 LOW = 0.1
 GAMMA = 0.9
-MIN_PAGES = 8
 
 # Element kinds and furniture words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -245,13 +244,13 @@ def features(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return rows.mapInArrow(emit, "host string, page long, path long, kind string, feature long").distinct()
 
 
-def unimportant(feature_rows: DataFrame, low: float = LOW, gamma: float = GAMMA, min_pages: int = MIN_PAGES) -> DataFrame:
+def unimportant(feature_rows: DataFrame, low: float = LOW, gamma: float = GAMMA) -> DataFrame:
     """(host, cut): hashes of the paths and texts of low importance on each host."""
     shown = feature_rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("d"))
     # Every page with the path has exactly one child sequence there.
     pages = cut(shown.filter("kind = 'style'").groupBy("host", "path").agg(F.sum("d").alias("m")))
     share = F.col("d") / F.col("m")
-    known = shown.join(pages.filter(F.col("m") >= min_pages), ["host", "path"]).select(
+    known = shown.join(pages.filter("m > 1"), ["host", "path"]).select(
         "*",
         (-share * F.log("d") / F.log("m") + share).alias("entropy_part"),
         (1 - F.log("d") / F.log("m")).alias("content"),
@@ -275,10 +274,9 @@ def extract(
     *,
     low: float = LOW,
     gamma: float = GAMMA,
-    min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """One row per page: id, url, main text and its length in code points."""
-    cuts = unimportant(features(pages, url_col, html_col), low, gamma, min_pages)
+    cuts = unimportant(features(pages, url_col, html_col), low, gamma)
     # Staged, so that Spark knows its size when it plans the join with the pages.
     per_host = cut(cuts.groupBy("host").agg(F.collect_set("cut").alias("cuts")))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST.pattern, 1))

@@ -123,6 +123,19 @@ def test_copies_of_an_article_are_not_furniture(spark):
     assert {r.text for r in site_tree.extract(df).collect()} == {"Title\nSame story everywhere."}
 
 
+@pytest.mark.parametrize("m", [2, 3, 5, 7])
+def test_furniture_without_a_name_goes_from_small_sites(spark, m):
+    page = "<body><ul><li>Start</li><li>About us</li></ul><div class=text><p>{}</p></div><div>All about tea.</div></body>"
+    rows = [(i, "http://small/", page.format(f"Story number {i}, told at length.")) for i in range(m)]
+    # A layout that two pages of a large site share.
+    rows += [(100 + i, "http://large/", f"<body><p>Story number {i}.</p></body>") for i in range(30)]
+    rows += [(200 + i, "http://large/", f"<body><p>Tale {i}.</p><div class=rare>Tea time.</div></body>") for i in range(2)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(m)] == [f"Story number {i}, told at length." for i in range(m)]
+    assert [got[100 + i] for i in range(30)] == [f"Story number {i}." for i in range(30)]
+    assert [got[200 + i] for i in range(2)] == [f"Tale {i}." for i in range(2)]
+
+
 def test_names_that_mention_comments_spare_the_article():
     text = lambda page: "\n".join(b.text for b in site_tree.candidate_blocks(site_tree.parse(page)))
     for name in ("post no-comments", "has-comments", "post with-comments", "without-comments"):
