@@ -4,13 +4,18 @@ All pages of a host are merged into one tree whose nodes are element paths (tag
 Two entropies say how much a node matters, both with the number m of pages that have it as base:
 
 * presentation: the entropy of its child sequences over the pages; furniture always looks the same;
-* content: for each text in it that d of the m pages show, 1 - log(d) / log(m); a text on every page has
-  importance 0, a text on one page 1. A path's content importance is the mean over its texts.
-
-A path's importance is ``(1 - GAMMA) * presentation + GAMMA * content``. Branches of low importance, and
-single texts of low content importance, are cut out of each page. Pages whose candidate texts are equal
-count once, so copies of an article do not turn it into furniture. Two such pages are enough: for small m only
-a text on all or nearly all of them has low importance. A path on one page cannot tell and stays. Elements that name themselves furniture (tags, roles, class and id words) are
+* content: for each text that d of the m pages with its path show, 1 - log(d) / log(m); a text on every page has
+  importance 0, a text on one page 1. A node's content importance is passed up from the leaves: the mean over
+  all texts in and below it, weighted by how often they are shown and how long they are.
+
+A node's composite importance is ``(1 - GAMMA) * presentation + GAMMA * content``. Branches of low importance,
+with all that is below them, and single texts of low content importance are cut out of each page. ``html``,
+``body``, ``main`` and ``article`` are no such branches; and where branches hold most of what would stay of a
+page without them, they are its main text and stay.
+
+Pages whose candidate texts are equal count once, so copies of an article do not turn it into furniture. Two
+such pages are enough: for small m only a text on most or all of them has low importance. A path on one page
+cannot tell and stays. Elements that name themselves furniture (tags, roles, class and id words) are
 low-importance branches whatever their statistics, since adverts and menus may differ on every page.
 Where a page marks its article, only that branch counts.
 
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.session import cut
 
-LOW = 0.1
+LOW = 0.3
 GAMMA = 0.9
 
 # Element kinds and furniture words.
@@ -66,6 +71,7 @@ FURNITURE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
 SPARES_COMMENTS = frozenset("has with without".split())
 NEVER_FURNITURE = frozenset("html body main".split())
+NEVER_BRANCHES = NEVER_FURNITURE | {"article"}
 CONTENT_LEAD = frozenset("with has no without article post entry story main content page".split())
 
 _TOKEN = re.compile(
@@ -125,6 +131,7 @@ class _Page:
         self.open: list[tuple[str, str, bool, bool]] = []  # tag, path, furniture, in article
         self.blocks: list[Block] = []
         self.children: dict[str, list[str]] = {}
+        self.parents: dict[str, str] = {}  # of paths that can be cut as branches
         self.held: list[str] = []
 
     def top(self) -> tuple[str, str, bool, bool]:
@@ -176,8 +183,18 @@ class _Page:
         own = f"{path}/{tag}.{own_class}" if own_class else f"{path}/{tag}"
         if not furniture:
             self.children.setdefault(path, []).append(tag)
+            if tag not in NEVER_BRANCHES:
+                self.parents.setdefault(own, path)
         self.open.append((tag, own, furniture, in_article))
 
+    def branches(self, path: str) -> list[str]:
+        """The branches that a text with this path is in, the innermost first."""
+        found = []
+        while path in self.parents:
+            found.append(path)
+            path = self.parents[path]
+        return found
+
     def end(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
@@ -223,46 +240,71 @@ def _hash(*parts: str) -> int:
 
 
 def features(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, page, path, kind, feature): child sequences (``style``) and texts (``text``) of every page."""
+    """(host, page, path, kind, feature, n): child sequences (``style``) and texts (``text``, with n code points) of
+    every page, and of every path with text the branches it is in (``in``, page 0)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[str, str]] = set()
         for batch in batches:
             out = []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 state = parse(page)
                 blocks = candidate_blocks(state)
                 host, name = host_of(url), _hash(*[b.text for b in blocks])
+                nodes = {}
                 for path in {b.path for b in blocks}:
-                    out.append((host, name, _hash(path), "style", _hash(*state.children.get(path, []))))
-                out += [(host, name, _hash(b.path), "text", _hash(b.path, b.text)) for b in blocks]
-            columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            names = ["host", "page", "path", "kind", "feature"]
+                    above = state.branches(path)
+                    for node in [path, *above]:
+                        if node not in nodes:
+                            nodes[node] = _hash(node)
+                            out.append((host, name, nodes[node], "style", _hash(*state.children.get(node, [])), 0))
+                    if (host, path) not in known:
+                        # Repeats are dropped below; this only saves rows.
+                        known.add((host, path))
+                        out += [(host, 0, nodes[path], "in", nodes[node], 0) for node in above]
+                if len(known) > 100_000:
+                    known.clear()
+                out += [(host, name, nodes[b.path], "text", _hash(b.path, b.text), len(b.text)) for b in blocks]
+            columns = list(zip(*out)) or [()] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            names = ["host", "page", "path", "kind", "feature", "n"]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(emit, "host string, page long, path long, kind string, feature long").distinct()
+    return rows.mapInArrow(emit, "host string, page long, path long, kind string, feature long, n long").distinct()
 
 
 def unimportant(feature_rows: DataFrame, low: float = LOW, gamma: float = GAMMA) -> DataFrame:
-    """(host, cut): hashes of the paths and texts of low importance on each host."""
-    shown = feature_rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("d"))
+    """(host, kind, cut): hashes of the branches (``in``) and texts (``text``) of low importance on each host."""
+    shown = cut(feature_rows.groupBy("host", "path", "kind", "feature", "n").agg(F.count(F.lit(1)).alias("d")))
     # Every page with the path has exactly one child sequence there.
     pages = cut(shown.filter("kind = 'style'").groupBy("host", "path").agg(F.sum("d").alias("m")))
-    share = F.col("d") / F.col("m")
-    known = shown.join(pages.filter("m > 1"), ["host", "path"]).select(
+    share, many = F.col("d") / F.col("m"), F.col("m") > 1
+    known = shown.filter("kind <> 'in'").join(pages, ["host", "path"]).select(
         "*",
-        (-share * F.log("d") / F.log("m") + share).alias("entropy_part"),
-        (1 - F.log("d") / F.log("m")).alias("content"),
+        F.when(many, -share * F.log("d") / F.log("m") + share).otherwise(1.0).alias("entropy_part"),
+        F.when(many, 1 - F.log("d") / F.log("m")).otherwise(1.0).alias("content"),
     )
     style, text = F.col("kind") == "style", F.col("kind") == "text"
-    presentation = F.coalesce(F.sum(F.when(style, F.col("entropy_part"))), F.lit(0.0))
-    content = F.sum(F.when(text, F.col("content") * F.col("d"))) / F.sum(F.when(text, F.col("d")))
-    branches = known.groupBy("host", "path").agg(((1 - gamma) * presentation + gamma * content).alias("importance"))
-    return (
-        branches.filter(F.col("importance") < low)
-        .select("host", F.col("path").alias("cut"))
-        .union(known.filter(text & (F.col("content") < low)).select("host", F.col("feature").alias("cut")))
+    weight = F.when(text, F.col("d") * F.col("n"))
+    nodes = cut(
+        known.groupBy("host", "path").agg(
+            F.sum(F.when(style, F.col("entropy_part"))).alias("presentation"),
+            F.sum(weight * F.col("content")).alias("part"),
+            F.sum(weight).alias("whole"),
+            F.first("m").alias("m"),
+        )
+    )
+    within = shown.filter("kind = 'in'").select("host", "path", F.col("feature").alias("branch"))
+    content = (
+        within.join(nodes.select("host", "path", "part", "whole"), ["host", "path"])
+        .groupBy("host", F.col("branch").alias("path"))
+        .agg((F.sum("part") / F.sum("whole")).alias("content"))
+    )
+    importance = (1 - gamma) * F.col("presentation") + gamma * F.col("content")
+    branches = nodes.filter("m > 1").join(content, ["host", "path"]).filter(importance < low)
+    return branches.select("host", F.lit("in").alias("kind"), F.col("path").alias("cut")).union(
+        known.filter(text & (F.col("content") < low)).select("host", "kind", F.col("feature").alias("cut"))
     )
 
 
@@ -278,26 +320,30 @@ def extract(
     """One row per page: id, url, main text and its length in code points."""
     cuts = unimportant(features(pages, url_col, html_col), low, gamma)
     # Staged, so that Spark knows its size when it plans the join with the pages.
-    per_host = cut(cuts.groupBy("host").agg(F.collect_set("cut").alias("cuts")))
+    per_host = cut(cuts.groupBy("host").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("cut"))).alias(v) for k, v in (("text", "cuts"), ("in", "gone"))]))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST.pattern, 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, cuts in zip(batch.column("html"), batch.column("cuts")):
-                gone = set(cuts.as_py() or ())
-                kept = [
-                    b.text
-                    for b in candidate_blocks(parse(page.as_py()))
-                    if not gone or not ({_hash(b.path), _hash(b.path, b.text)} & gone)
-                ]
+            for page, cuts, gone in zip(batch.column("html"), batch.column("cuts"), batch.column("gone")):
+                state = parse(page.as_py())
+                blocks = candidate_blocks(state)
+                cuts, gone = set(cuts.as_py() or ()), set(gone.as_py() or ())
+                if cuts:
+                    blocks = [b for b in blocks if _hash(b.path, b.text) not in cuts]
+                kept = [b.text for b in blocks]
+                if gone:
+                    low = {p for p in {b.path for b in blocks} if any(_hash(n) in gone for n in state.branches(p))}
+                    main = [b.text for b in blocks if b.path not in low]
+                    kept = main if 2 * sum(map(len, main)) >= sum(map(len, kept)) else kept
                 out.append("\n".join(kept))
             text = pa.array(out, pa.string())
             chars = pa.array([len(t) for t in out], pa.int64())
             yield pa.record_batch([batch.column("id"), batch.column("url"), text, chars], names=["id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)[id_col]
-    found = rows.join(per_host, "host", "left").select("id", "url", "html", "cuts")
+    found = rows.join(per_host, "host", "left").select("id", "url", "html", "cuts", "gone")
     out = found.mapInArrow(texts, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col)

@@ -136,6 +136,28 @@ def test_furniture_without_a_name_goes_from_small_sites(spark, m):
     assert [got[200 + i] for i in range(2)] == [f"Tale {i}." for i in range(2)]
 
 
+def test_branches_go_with_what_varies_in_them(spark):
+    page = (
+        "<body><div class=hint>{hint}</div><div class=box><ul><li>Start</li><li>About us</li><li>Where to find us</li></ul>"
+        "<div><span>All about tea and how to make it.</span><p>Seen {i} times</p></div></div>"
+        "<div class=text><p>Story number {i}, which is told at great length and never twice in the same words.</p>"
+        "<p>Part two of {i}.</p></div></body>"
+    )
+    for n_hints in (2, 3):
+        hints = [f"Hint {k}: drink it while it is hot." for k in range(n_hints)]
+        rows = [(i, "http://h/", page.format(i=i, hint=hints[i % n_hints])) for i in range(100)]
+        got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+        for i in range(100):
+            story = f"Story number {i}, which is told at great length and never twice in the same words."
+            assert got[i] == f"{story}\nPart two of {i}."
+
+
+def test_a_branch_that_is_the_main_text_stays(spark):
+    page = "<body><div class=all><p>" + "A long notice that stands on every page. " * 9 + "</p><p>News {}.</p></div></body>"
+    df = spark.createDataFrame([(i, "http://h/", page.format(i)) for i in range(20)], SCHEMA)
+    assert {r.page_id: r.text for r in site_tree.extract(df).collect()} == {i: f"News {i}." for i in range(20)}
+
+
 def test_names_that_mention_comments_spare_the_article():
     text = lambda page: "\n".join(b.text for b in site_tree.candidate_blocks(site_tree.parse(page)))
     for name in ("post no-comments", "has-comments", "post with-comments", "without-comments"):
