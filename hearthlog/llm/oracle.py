@@ -268,6 +268,91 @@ mixed AS (
 _MIX = f"WITH RECURSIVE {mix_ctes('documents')} SELECT doc_id, source, n_tokens, block, slot FROM mixed"
 
 
+_UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+_INFILL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '{_UNITS}') AS us, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+),
+f AS (
+  SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+),
+p AS (
+  SELECT *, coalesce(array_to_string(us[1:a], ''), '') AS pre, coalesce(array_to_string(us[a + 1:b], ''), '') AS mid,
+         coalesce(array_to_string(us[b + 1:], ''), '') AS suf FROM f
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _counted(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs ``{name}1`` to ``{name}{levels}`` over ``{name}0`` (k, p, h), the runs below them, and every group's end."""
+    parts = []
+    for j in range(levels):
+        parts.append(f"""
+{name}r{j} AS (
+  SELECT k, p // 16 AS r, list(h ORDER BY p) AS hs FROM {name}{j}
+  WHERE k IN (SELECT k FROM {name}{j} GROUP BY k HAVING count(*) > 1) GROUP BY k, p // 16
+),
+{name}{j + 1} AS (SELECT k, r AS p, sha256(array_to_string(hs, '')) AS h FROM {name}r{j})""")
+    ends = " UNION ALL ".join(f"SELECT k, any_value(h) AS h FROM {name}{j} GROUP BY k HAVING count(*) = 1" for j in range(levels + 1))
+    return ",".join(parts) + f",\n{name}end AS ({ends})"
+
+
+def _climb(name: str, tree: str, levels: int) -> str:
+    """CTEs that carry ``{name}0`` (rid, k, p, v, sib) up: the folded value and the siblings met."""
+    parts = []
+    for j in range(levels):
+        left, right = "array_to_string(hs[1:p % 16], '')", "array_to_string(hs[p % 16 + 2:], '')"
+        parts.append(f"""
+{name}{j + 1} AS (
+  SELECT rid, a.k, p // 16 AS p, CASE WHEN hs IS NULL THEN v ELSE sha256(coalesce({left}, '') || v || coalesce({right}, '')) END AS v,
+         sib || coalesce({left}, '') || coalesce({right}, '') AS sib
+  FROM {name}{j} a LEFT JOIN {tree}r{j} b ON a.k = b.k AND b.r = a.p // 16
+)""")
+    return ",".join(parts)
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(doc_id::VARCHAR))), lambda c, j:
+  xor((CASE WHEN j % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, j // 8 + 1, 1))::BIGINT) ELSE c END) >> 1,
+      ((CASE WHEN j % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, j // 8 + 1, 1))::BIGINT) ELSE c END) & 1) * 3988292384::BIGINT)), 4294967295::BIGINT)"""
+
+# Six levels hold sixteen million rows per source, four levels 65,536 sources.
+_MERKLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS k, text, {_CRC} AS crc,
+         {' || '.join(_counted(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} AS head FROM documents
+),
+l AS (
+  SELECT rid, doc_id, k, sha256(head || {_counted('text')}) AS leaf,
+         CASE WHEN crc % 5 = 0 THEN sha256(head || {_counted("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed FROM d
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM l),
+s0 AS (SELECT k, p, leaf AS h FROM o),{_tree('s', 6)},
+t0 AS (SELECT '' AS k, row_number() OVER (ORDER BY encode(k)) - 1 AS p, h FROM send),{_tree('t', 4)},
+a0 AS (SELECT rid, k, p, coalesce(changed, leaf) AS v, '' AS sib FROM o),{_climb('a', 's', 6)},
+b0 AS (
+  SELECT rid, '' AS k, q.p, v, sib FROM a6 JOIN (SELECT k, row_number() OVER (ORDER BY encode(k)) - 1 AS p FROM send) q USING (k)
+),{_climb('b', 't', 4)}
+SELECT o.doc_id, o.leaf, send.h AS subroot, tend.h AS root, sha256(b4.sib) AS proof_sha256, b4.v AS folded_root, b4.v = tend.h AS verified
+FROM o JOIN send USING (k) JOIN b4 USING (rid) CROSS JOIN tend
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     """Query name to SQL."""
     return {
@@ -278,4 +363,6 @@ def llm_oracles() -> dict[str, str]:
         "op6_secret_ownership": _SECRETS,
         "op9_simhash_leaks": _LEAKS,
         "op10_line_rules": _LINE_RULES,
+        "op12_merkle_manifest": _MERKLE,
+        "op13_infill": _INFILL,
     }

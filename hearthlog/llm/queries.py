@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlog.llm import decontaminate, line_rules, lm, mixing, near_dup, secrets, shards, site_tree, spans, warc
+from hearthlog.llm import (
+    decontaminate,
+    infill,
+    line_rules,
+    lm,
+    merkle,
+    mixing,
+    near_dup,
+    secrets,
+    shards,
+    site_tree,
+    spans,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +66,14 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.infill(_table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {
@@ -66,4 +87,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_site_style_tree": op8_site_style_tree,
         "op9_simhash_leaks": op9_simhash_leaks,
         "op10_line_rules": op10_line_rules,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_infill": op13_infill,
     }
