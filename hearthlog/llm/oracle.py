@@ -121,6 +121,27 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.
 FROM w LEFT JOIN size USING (doc_id) LEFT JOIN smallest USING (doc_id)
 """
 
+_SET_JOIN = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws
+  FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 4 THEN ws ELSE ws[i:i + 3] END, ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM pairs JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(doc_id, to_id) AS (SELECT a, a FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.to_id),
+smallest AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN size USING (doc_id) LEFT JOIN smallest USING (doc_id)
+"""
+
 # The response among equal payloads is the one with the smallest page_id; the others revisit it.
 _WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -363,6 +384,7 @@ def llm_oracles() -> dict[str, str]:
         "op6_secret_ownership": _SECRETS,
         "op9_simhash_leaks": _LEAKS,
         "op10_line_rules": _LINE_RULES,
+        "op11_partition_join": _SET_JOIN,
         "op12_merkle_manifest": _MERKLE,
         "op13_infill": _INFILL,
     }

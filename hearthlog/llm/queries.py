@@ -15,6 +15,7 @@ from hearthlog.llm import (
     mixing,
     near_dup,
     secrets,
+    set_join,
     shards,
     site_tree,
     spans,
@@ -66,6 +67,10 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op11_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.classes(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_site_style_tree": op8_site_style_tree,
         "op9_simhash_leaks": op9_simhash_leaks,
         "op10_line_rules": op10_line_rules,
+        "op11_partition_join": op11_partition_join,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_infill": op13_infill,
     }
