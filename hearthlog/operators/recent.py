@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.functions import display, numbers, units, zones
-from hearthlog.schema import RECENT_ROWS
+from hearthlog.schema import READINGS, RECENT_ROWS
+from hearthlog.session import cut
 
 
 def latest(readings: DataFrame, rows: int = RECENT_ROWS) -> DataFrame:
@@ -19,6 +20,39 @@ def latest(readings: DataFrame, rows: int = RECENT_ROWS) -> DataFrame:
     return readings.withColumn("position", F.row_number().over(newest_first)).where(F.col("position") <= rows)
 
 
+def merge_latest(*tops: DataFrame, rows: int = RECENT_ROWS) -> DataFrame:
+    """The newest ``rows`` readings of every sensor in any of ``tops``.
+
+    The operation is associative: tops of disjoint sets of readings merge into the top of all.
+    """
+    merged = tops[0]
+    for other in tops[1:]:
+        merged = merged.unionByName(other)
+    return latest(merged, rows).drop("position")
+
+
+def day_counts(readings: DataFrame) -> DataFrame:
+    """Readings per sensor and stored day; the scan reads the sensor column only."""
+    return readings.groupBy("sensor_id", "recorded_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def latest_of_days(readings: DataFrame, counts: DataFrame, rows: int = RECENT_ROWS) -> DataFrame:
+    """Newest ``rows`` readings of every sensor from a table stored by day, reading needed days only.
+
+    ``counts`` are the table's ``day_counts``. A sensor needs its newest days until they hold enough
+    readings, be they yesterday's or a year old. Only day folders that some sensor needs are scanned, and
+    of these only the sensors that need them go on.
+    """
+    newest_first = Window.partitionBy("sensor_id").orderBy(F.desc("recorded_date"))
+    before = F.coalesce(F.sum("n").over(newest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = counts.withColumn("before", before).where(F.col("before") < rows).select("sensor_id", "recorded_date")
+    needed = cut(needed)
+    # One value per day of history.
+    days = [row[0] for row in needed.select("recorded_date").distinct().collect()]
+    kept = readings.where(F.col("recorded_date").isin(days)).join(needed, ["sensor_id", "recorded_date"], "left_semi")
+    return merge_latest(kept.select(*READINGS.names), rows=rows)
+
+
 def recent_readings(
     readings: DataFrame, sensors: DataFrame, users: DataFrame, rows: int = RECENT_ROWS
 ) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions.zones import utc_date
-from hearthlog.schema import RETENTION_DAYS
+from hearthlog.schema import READINGS, RETENTION_DAYS
 from hearthlog.session import cut
+from hearthlog.sources import files
+from hearthlog.sources.sinks import by_day
+from hearthlog.sources.tables import read_readings
 
 
 def retained(df: DataFrame, time: str, cutoff: dt.datetime, inclusive: bool = False) -> DataFrame:
@@ -66,6 +70,50 @@ def purge_sensor_readings(spark: SparkSession, table: str, deleted: DataFrame) -
         _replace_days(spark, table, days, without_sensors(rows, deleted))
 
 
+def delete_sensor_files(spark: SparkSession, path: str, deleted: DataFrame) -> int:
+    """Delete the readings of the sensors in ``deleted`` (column ``id``) from the fact table at ``path``.
+
+    Only files that hold such readings are rewritten; in the clustered layout a sensor's day lies in one
+    file, so a delete costs about as much as the deleted sensors' own files. Returns their number.
+    """
+    files.recover(spark, path)
+    gone = deleted.select(F.col("id").alias("sensor_id"))
+    places = read_readings(spark, path).select("sensor_id", F.col("_metadata.file_path").alias("file"))
+    hit = places.join(gone, "sensor_id", "left_semi").select("file").distinct()
+    return _rewrite_files(spark, path, hit, lambda rows: without_sensors(rows, deleted))
+
+
+def purge_files(spark: SparkSession, path: str, as_of: dt.datetime, days: int = RETENTION_DAYS) -> int:
+    """Purge the fact table at ``path``; returns the number of files rewritten.
+
+    Files of days before the cutoff are removed unread. On the cutoff's own day, only files that hold
+    readings before it are rewritten; their bounds let the scan skip most others.
+    """
+    files.recover(spark, path)
+    cutoff = as_of - dt.timedelta(days=days)
+    boundary = f"recorded_date={utc_date(cutoff).isoformat()}"
+    names = [name for name in files.children(spark, path) if name.startswith("recorded_date=")]
+    expired = files.files_of(spark, path, [name for name in names if name < boundary])
+    if expired:
+        files.exchange(spark, path, None, expired)
+    if boundary not in names:
+        return 0
+    day = read_readings(spark, path).where(F.col("recorded_date") == F.lit(utc_date(cutoff)))
+    old = day.where(F.col("recorded_at") < F.lit(cutoff).cast("timestamp"))
+    hit = old.select(F.col("_metadata.file_path").alias("file")).distinct()
+    return _rewrite_files(spark, path, hit, lambda rows: retained(rows, "recorded_at", cutoff))
+
+
+def _rewrite_files(spark: SparkSession, path: str, hit: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> int:
+    """Exchange the files named in ``hit`` for files of those of their rows that ``keep`` keeps."""
+    # Names of files only, as in the table's own listing.
+    names = sorted("/".join(row[0].split("/")[-2:]) for row in hit.collect())
+    if names:
+        rows = spark.read.schema(READINGS).option("basePath", path).parquet(*[f"{path}/{name}" for name in names])
+        files.exchange(spark, path, by_day(keep(rows.select(*READINGS.names)).select(*READINGS.names)), names)
+    return len(names)
+
+
 def _drop_days(spark: SparkSession, table: str, days: list[str]) -> None:
     if days:
         specs = ", ".join(f"PARTITION (recorded_date = DATE'{day}')" for day in days)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ from hearthlog.sources import driver_tables as tables
 from hearthlog.sources import sinks
 from hearthlog.sources.tables import for_owner, in_range, read_readings, read_rules, read_sensors, read_users
 from hearthlog.sources.templates import default_templates
-from hearthlog.streaming import jobs
+from hearthlog.streaming import jobs, keyed, windows
 
 AS_OF = tables.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +160,17 @@ def recent_readings(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(shown, "numeric_value")
 
 
+@query
+def recent_from_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest readings from the stored table, of which only the days that some sensor needs are read."""
+    path = f"{scratch_dir(spark)}/days-{uuid.uuid4().hex}"
+    sinks.write_readings(tables.readings(spark, sf), path)
+    stored = read_readings(spark, path)
+    newest = recent.latest_of_days(stored, recent.day_counts(stored))
+    shown = recent.recent_readings(newest, tables.sensors(spark, sf), tables.users(spark, sf))
+    return _rounded(shown, "numeric_value")
+
+
 @query
 def sensor_list(spark: SparkSession, sf: str) -> DataFrame:
     return recent.sensor_list(tables.sensors(spark, sf))
@@ -527,6 +538,24 @@ def after_sensor_delete(spark: SparkSession, sf: str) -> DataFrame:
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+@query
+def readings_after_file_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored fact table after every fifth sensor's readings were deleted file by file."""
+    path = f"{scratch_dir(spark)}/deleted-{uuid.uuid4().hex}"
+    sinks.write_readings(tables.readings(spark, sf), path)
+    retention.delete_sensor_files(spark, path, tables.sensors(spark, sf).where("id % 5 = 1"))
+    return read_readings(spark, path).drop("recorded_date")
+
+
+@query
+def retained_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored fact table after the purge, which removes files of old days and rewrites those of one day."""
+    path = f"{scratch_dir(spark)}/purged-{uuid.uuid4().hex}"
+    sinks.write_readings(tables.readings(spark, sf), path)
+    retention.purge_files(spark, path, AS_OF)
+    return read_readings(spark, path).drop("recorded_date")
+
+
 @query
 def after_user_delete(spark: SparkSession, sf: str) -> DataFrame:
     """What is left once all users without a verified address are deleted, with all that is theirs."""
@@ -597,6 +626,86 @@ def _stream_readings(spark: SparkSession, sf: str) -> DataFrame:
     return tables.as_readings(tables.stream_events(spark, sf))
 
 
+def _arriving(spark: SparkSession, df: DataFrame, parts: list[Column]) -> Iterator[DataFrame]:
+    """The feed as a stream, each time after one more part of ``df`` has arrived."""
+    feed = f"{scratch_dir(spark)}/feed-{uuid.uuid4().hex}"
+    for part in parts:
+        df.where(part).write.mode("append").parquet(feed)
+        yield spark.readStream.schema(df.schema).parquet(feed)
+
+
+def _thirds(time: str) -> list[Column]:
+    """The first ten days of January, the next ten and the rest."""
+    at = [F.col(time) < F.lit(day).cast("timestamp") for day in ("2024-01-11", "2024-01-21")]
+    return [at[0], ~at[0] & at[1], ~at[1]]
+
+
+@query
+def stream_cooldown_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts by keyed state; the query is stopped and resumed from its checkpoint twice."""
+    out, checkpoint = _run_folder(spark, "keyed")
+    for stream in _arriving(spark, tables.readings(spark, sf), _thirds("recorded_at")):
+        rules, users = tables.rules(spark, sf), tables.users(spark, sf)
+        keyed.stream_cooldown(stream, rules, users, out, checkpoint, available_now=True).awaitTermination()
+    return jobs.read_outbox(spark, out)
+
+
+@query
+def stream_cap_two_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The two caps over an arriving feed, stopped and resumed twice; windows that ended leave the state."""
+    out, checkpoint = _run_folder(spark, "caps")
+    for stream in _arriving(spark, tables.code_requests(spark, sf), _thirds("requested_at")):
+        keyed.stream_caps(
+            stream, out, checkpoint, address_limit=2, client_limit=20, width_minutes=1440, available_now=True
+        ).awaitTermination()
+    return keyed.read_verdicts(spark, out).drop("requested_at")
+
+
+def _late_thirds() -> list[Column]:
+    """Every fifth reading of the first third arrives with the last one, ten days late."""
+    late = F.col("id") % 5 == 0
+    first, second, third = _thirds("recorded_at")
+    return [first & ~late, second, third | (first & late)]
+
+
+@query
+def stream_slots_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Event-time slots of a feed with late readings: closed slots, corrections and what is still open."""
+    out, checkpoint = _run_folder(spark, "slots")
+    for stream in _arriving(spark, tables.readings(spark, sf), _late_thirds()):
+        windows.stream_windows(stream, out, checkpoint, available_now=True).awaitTermination()
+    return _rounded(windows.slots_so_far(spark, out, checkpoint), "sum_value")
+
+
+@query
+def stream_recent(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest readings kept by a stream over the first two thirds, merged with a batch of the rest."""
+    out, checkpoint = _run_folder(spark, "latest")
+    first, second, third = _thirds("recorded_at")
+    for stream in _arriving(spark, tables.readings(spark, sf), [second, first]):
+        jobs.stream_latest(stream, out, checkpoint, available_now=True).awaitTermination()
+    rest = recent.merge_latest(tables.readings(spark, sf).where(third))
+    newest = recent.merge_latest(jobs.read_latest(spark, out), rest)
+    shown = recent.recent_readings(newest, tables.sensors(spark, sf), tables.users(spark, sf))
+    return _rounded(shown, "numeric_value")
+
+
+@query
+def compacted_with_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Compaction into a fact table that holds every other reading of the same days, less a few deleted sensors."""
+    out, checkpoint = _run_folder(spark, "merged")
+    sensors, gone = tables.sensors(spark, sf), tables.sensors(spark, sf).where("id % 5 = 1")
+    sinks.write_readings(tables.readings(spark, sf).where("id % 2 = 0"), f"{out}/fact")
+    retention.delete_sensor_files(spark, f"{out}/fact", gone)
+    requests = tables.as_requests(tables.stream_events(spark, sf))
+    # The feed brings two thirds of all readings, some of them stored already, deleted sensors included.
+    part = requests.where("request_id % 3 <> 0")
+    jobs.stream_ingest(part, lambda: sensors, out, checkpoint, available_now=True).awaitTermination()
+    for _ in range(2):
+        jobs.compact_readings(spark, out, f"{out}/fact", dt.date(2023, 12, 1), dt.date(2024, 3, 1), gone)
+    return read_readings(spark, f"{out}/fact").drop("recorded_date")
+
+
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Readings written by the streaming ingestion."""

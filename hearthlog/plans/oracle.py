@@ -475,7 +475,7 @@ FROM readings WHERE numeric_value IS NOT NULL OR boolean_value GROUP BY ALL""",
     )
     kept_sensors = "SELECT id FROM sensors WHERE active"
     labels_value = _shown("d.sensor_type", "round(d.value, 6)", "u.tunit")
-    return {
+    texts = {
         "daily_stats_7d": _with(
             "daily", "SELECT sensor_id, sensor_type, local_date, round(value, 6) AS value FROM daily"
         ),
@@ -809,6 +809,10 @@ SELECT event_id AS id,
 FROM events""",
         "stream_ingest": ingest_rows,
         "stream_compacted": ingest_rows,
+        "stream_cooldown_state": fired,
+        "readings_after_file_delete": f"SELECT * FROM ({ingest_rows}) WHERE sensor_id % 5 <> 1",
+        "compacted_with_batch": f"SELECT * FROM ({ingest_rows}) WHERE sensor_id % 5 <> 1 AND (id % 2 = 0 OR id % 3 <> 0)",
+        "stream_slots_late": rollup,
         "stream_alerts": fired,
         "stream_alerts_resumed": fired,
         "stored_rejects": _with(
@@ -857,3 +861,11 @@ UNION ALL SELECT 'password_reset_challenges', id FROM resets WHERE user_id NOT I
         ),
         "stream_rollup": rollup,
     }
+    # The same rows by other means.
+    same = {
+        "stream_cap_two_keys": "cap_two_keys",
+        "stream_recent": "recent_readings",
+        "recent_from_days": "recent_readings",
+        "retained_files": "retained_readings",
+    }
+    return {**texts, **{name: texts[other] for name, other in same.items()}}

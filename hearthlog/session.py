@@ -22,6 +22,13 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# What queries with keyed state need; they set it when they start.
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 # Settings a session can only be started with.
 _AT_START = {
     # Recording the Python call site of every column costs more than building the plans here.
@@ -36,6 +43,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bound the bytes of the Arrow batches that Python tasks get; a row is never cut.
+
+    Spark bounds rows only, and ten thousand long texts or sets are more than a task should hold.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def build_session(app_name: str = "hearthlog", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or get) a session; ``conf`` takes Spark settings with dots written as ``__``."""
     builder = SparkSession.builder.appName(app_name)

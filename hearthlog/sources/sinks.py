@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
-def write_readings(accepted: DataFrame, path: str, clustered: bool = True, replace_days: bool = False) -> None:
-    """Append accepted readings to the fact table, one folder per UTC day.
+def by_day(readings: DataFrame, clustered: bool = True) -> DataFrameWriter:
+    """A writer of readings in the layout of the fact table, see ``write_readings``."""
+    dated = readings.withColumn("recorded_date", F.to_date("recorded_at"))
+    if clustered:
+        dated = dated.hint("rebalance", "recorded_date", "sensor_id").sortWithinPartitions(
+            "recorded_date", "sensor_id", "recorded_at"
+        )
+    return (
+        dated.write.partitionBy("recorded_date")
+        .option("parquet.bloom.filter.enabled#sensor_id", "true")
+        .option("parquet.bloom.filter.expected.ndv#sensor_id", "10000")
+    )
 
-    With ``replace_days`` the rows become the whole content of the days they fall in.
+
+def write_readings(accepted: DataFrame, path: str, clustered: bool = True) -> None:
+    """Append accepted readings to the fact table, one folder per UTC day.
 
     ``clustered`` gathers each sensor's day into one file, sorted by sensor and time. Later jobs then
     meet a sensor in one task per day: their map-side aggregates and per-sensor limits shrink the data
@@ -17,20 +29,7 @@ def write_readings(accepted: DataFrame, path: str, clustered: bool = True, repla
     a rebalancing one, so AQE cuts a sensor of any weight into files of the advisory size and merges
     light ones; unlike a range partitioning it does not compute the rows twice to sample them.
     """
-    dated = accepted.withColumn("recorded_date", F.to_date("recorded_at"))
-    if clustered:
-        dated = dated.hint("rebalance", "recorded_date", "sensor_id").sortWithinPartitions(
-            "recorded_date", "sensor_id", "recorded_at"
-        )
-    writer = dated.write.mode("append")
-    if replace_days:
-        writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (
-        writer.partitionBy("recorded_date")
-        .option("parquet.bloom.filter.enabled#sensor_id", "true")
-        .option("parquet.bloom.filter.expected.ndv#sensor_id", "10000")
-        .parquet(path)
-    )
+    by_day(accepted, clustered).mode("append").parquet(path)
 
 
 def write_rejects(rejected: DataFrame, path: str) -> None:
