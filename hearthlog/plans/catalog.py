@@ -26,7 +26,7 @@ from hearthlog.operators import (
 )
 from hearthlog.session import configure, scratch_dir
 from hearthlog.sources import driver_tables as tables
-from hearthlog.sources import sinks
+from hearthlog.sources import alert_sink, request_log, sinks
 from hearthlog.sources.tables import for_owner, in_range, read_readings, read_rules, read_sensors, read_users
 from hearthlog.sources.templates import default_templates
 from hearthlog.streaming import jobs, keyed, windows
@@ -650,6 +650,34 @@ def stream_cooldown_state(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.read_outbox(spark, out)
 
 
+def _write_logs(requests: DataFrame, path: str) -> None:
+    """Append ``requests`` to the folder ``path`` as log files of lines."""
+    line = request_log.log_line(*[F.col(c) for c in ("request_id", "received_at", "path", "body")])
+    requests.select(line.alias("value")).write.mode("append").text(path)
+
+
+@query
+def outcomes_from_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of the requests of a text log, read in byte ranges."""
+    path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
+    _write_logs(tables.requests(spark, sf), path)
+    read = request_log.read_request_log(spark, path, range_bytes=1 << 18)
+    return ingest.outcome_counts(ingest.classify(read, tables.sensors(spark, sf)))
+
+
+@query
+def stream_log_to_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """From the text log to the alert sink in one stream: parse, classify, match, cool down, commit."""
+    path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
+    out, checkpoint = _run_folder(spark, "sink")
+    _write_logs(tables.requests(spark, sf), path)
+    sensors, rules, users = tables.sensors(spark, sf), tables.rules(spark, sf), tables.users(spark, sf)
+    classified = ingest.classify(request_log.stream_request_log(spark, path), sensors)
+    evaluated = keyed.cooldown(ingest.accepted_readings(classified), rules, users)
+    alert_sink.write_alert_stream(alerts.fired(evaluated), out, checkpoint, available_now=True).awaitTermination()
+    return alert_sink.read_alert_sink(spark, out)
+
+
 @query
 def stream_cap_two_keys(spark: SparkSession, sf: str) -> DataFrame:
     """The two caps over an arriving feed, stopped and resumed twice; windows that ended leave the state."""

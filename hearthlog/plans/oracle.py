@@ -810,6 +810,7 @@ FROM events""",
         "stream_ingest": ingest_rows,
         "stream_compacted": ingest_rows,
         "stream_cooldown_state": fired,
+        "stream_log_to_alerts": fired,
         "readings_after_file_delete": f"SELECT * FROM ({ingest_rows}) WHERE sensor_id % 5 <> 1",
         "compacted_with_batch": f"SELECT * FROM ({ingest_rows}) WHERE sensor_id % 5 <> 1 AND (id % 2 = 0 OR id % 3 <> 0)",
         "stream_slots_late": rollup,
@@ -863,6 +864,7 @@ UNION ALL SELECT 'password_reset_challenges', id FROM resets WHERE user_id NOT I
     }
     # The same rows by other means.
     same = {
+        "outcomes_from_log": "ingest_outcomes",
         "stream_cap_two_keys": "cap_two_keys",
         "stream_recent": "recent_readings",
         "recent_from_days": "recent_readings",

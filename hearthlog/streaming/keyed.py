@@ -148,19 +148,11 @@ def _needs_keyed_state(df: DataFrame) -> None:
         df.sparkSession.conf.set(name, value)
 
 
-def stream_cooldown(
-    readings: DataFrame, rules: DataFrame, users: DataFrame, out: str, checkpoint: str, available_now: bool = False
-) -> StreamingQuery:
-    """Evaluate rules on arriving readings with each rule's last firing as keyed state.
-
-    Fired alerts go to ``alerts`` and the number of suppressed matches per rule to ``suppressed``, a folder
-    per micro-batch. A rule without state starts from its ``last_triggered_at``, rules added later
-    included. ``rules`` and ``users`` are read with the query's plan: restart it to see edits; the state stays.
-    """
+def cooldown(readings: DataFrame, rules: DataFrame, users: DataFrame) -> DataFrame:
+    """The streaming twin of ``alerts.evaluate_alerts``: matches of arriving readings with ``fired``."""
     _needs_keyed_state(readings)
-    matches = alerts.alert_matches(readings, rules, users)
-    evaluated = cap_per_window(
-        matches,
+    return cap_per_window(
+        alerts.alert_matches(readings, rules, users),
         "rule_id",
         "recorded_at",
         "reading_id",
@@ -171,6 +163,18 @@ def stream_cooldown(
         expires=False,
     )
 
+
+def stream_cooldown(
+    readings: DataFrame, rules: DataFrame, users: DataFrame, out: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Evaluate rules on arriving readings with each rule's last firing as keyed state.
+
+    Fired alerts go to ``alerts`` and the number of suppressed matches per rule to ``suppressed``, a folder
+    per micro-batch. A rule without state starts from its ``last_triggered_at``, rules added later
+    included. ``rules`` and ``users`` are read with the query's plan: restart it to see edits; the state stays.
+    """
+    evaluated = cooldown(readings, rules, users)
+
     def body(batch: DataFrame, run: str, epoch: int) -> None:
         batch.persist()
         write_epoch(alerts.fired(batch), f"{out}/alerts", run, epoch)
