@@ -177,39 +177,47 @@ def rule_owner_mismatch(rules: DataFrame, sensors: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_keys(df: DataFrame, table: str, rule: str, *key: Column) -> DataFrame:
-    """Key values held by more than one row; rows with a NULL in the key are exempt.
+Keys = dict[str, tuple[Column, ...]]
+
+
+def unique_keys() -> dict[str, Keys]:
+    """The unique keys of every table of the data model, by rule; ``primary_key`` included."""
+    user = {"user_id": (F.col("user_id"),)}
+    own: dict[str, Keys] = {
+        "app_users": {"email": (F.lower("email"),)},
+        "sensors": {"owner_name": (F.col("owner_id"), F.lower("name")), "token_hash": (F.col("ingestion_token_hash"),)},
+        "alert_rules": {},
+        "sensor_readings": {},
+        "email_verification_challenges": user,
+        "password_reset_challenges": user,
+    }
+    return {table: {**keys, "primary_key": (F.col("id"),)} for table, keys in own.items()}
 
-    Counting combines on the map side, so a very frequent key costs one partial row per task.
-    """
-    parts = [part.cast("string") for part in key]
-    return (
-        df.where(functools.reduce(operator.and_, [part.isNotNull() for part in parts]))
-        .groupBy(F.concat_ws("|", *parts).alias("key_value") if len(parts) > 1 else parts[0].alias("key_value"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .where(F.col("n_rows") > 1)
-        .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "key_value", "n_rows")
-    )
 
+def key_values(df: DataFrame, keys: Keys) -> DataFrame:
+    """(rule, key_value) of every row and key in one pass; keys with a NULL part are left out."""
+    entries = []
+    for rule, parts in keys.items():
+        text_parts = [part.cast("string") for part in parts]
+        whole = functools.reduce(operator.and_, [part.isNotNull() for part in text_parts])
+        value = F.when(whole, F.concat_ws("|", *text_parts))
+        entries.append(F.struct(F.lit(rule).alias("rule"), value.alias("key_value")))
+    return df.select(F.inline(F.array(*entries))).where(F.col("key_value").isNotNull())
 
-def table_duplicates(
-    users: DataFrame, sensors: DataFrame, verifications: DataFrame, resets: DataFrame
-) -> DataFrame:
-    """All unique keys of the data model."""
-    found = [
-        duplicate_keys(users, "app_users", "email", F.lower("email")),
-        duplicate_keys(sensors, "sensors", "owner_name", F.col("owner_id"), F.lower("name")),
-        duplicate_keys(sensors, "sensors", "token_hash", F.col("ingestion_token_hash")),
-        duplicate_keys(verifications, "email_verification_challenges", "user_id", F.col("user_id")),
-        duplicate_keys(resets, "password_reset_challenges", "user_id", F.col("user_id")),
-    ]
-    return functools.reduce(DataFrame.unionByName, found)
 
+def duplicate_keys(stored: dict[str, DataFrame], keys: dict[str, Keys] | None = None) -> DataFrame:
+    """Key values held by more than one row of the named tables, a batch appended twice for example.
 
-def primary_key_duplicates(stored: dict[str, DataFrame], key: str = "id") -> DataFrame:
-    """Rows of the named tables that share their primary key, a batch appended twice for example."""
-    found = [duplicate_keys(df, name, "primary_key", F.col(key)) for name, df in stored.items()]
-    return functools.reduce(DataFrame.unionByName, found)
+    Each table is scanned once for all of its keys, and all tables share one exchange. Counting combines on
+    the map side, so a very frequent key costs one partial row per task.
+    """
+    keys = keys or unique_keys()
+    found = [
+        key_values(df, keys[table]).select(F.lit(table).alias("table_name"), "rule", "key_value")
+        for table, df in stored.items()
+    ]
+    counted = functools.reduce(DataFrame.unionByName, found).groupBy("table_name", "rule", "key_value")
+    return counted.agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
 
 
 def name_taken(candidates: DataFrame, sensors: DataFrame) -> DataFrame:

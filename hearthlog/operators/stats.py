@@ -131,6 +131,10 @@ def daily_from_rollup(rollup: DataFrame, sensors: DataFrame, as_of: dt.datetime,
         .groupBy("sensor_id", "local_date")
         .agg(*_partials())
     )
+    return _daily_series(found, sensors, today, days)
+
+
+def _daily_series(found: DataFrame, sensors: DataFrame, today: Column, days: int) -> DataFrame:
     spine = zoned(sensors).withColumn("today", today).select(
         "sensor_id",
         "sensor_type",
@@ -155,6 +159,10 @@ def hourly_from_rollup(
         .groupBy("sensor_id", "local_hour")
         .agg(*_partials())
     )
+    return _hourly_series(found, sensors, day)
+
+
+def _hourly_series(found: DataFrame, sensors: DataFrame, day: Column) -> DataFrame:
     spine = zoned(sensors).select(
         "sensor_id",
         "sensor_type",
@@ -167,6 +175,40 @@ def hourly_from_rollup(
     )
 
 
+def hour_cells(readings: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Mergeable partials per sensor, local date and hour of the day."""
+    localized = _localized(rollup_15m(readings, off_grid_sensors(sensors)), sensors)
+    return localized.groupBy("sensor_id", "local_date", "local_hour").agg(*_partials())
+
+
+def merge_cells(*cells: DataFrame) -> DataFrame:
+    """Combine the cells of disjoint sets of readings."""
+    merged = cells[0]
+    for other in cells[1:]:
+        merged = merged.unionByName(other)
+    return merged.groupBy("sensor_id", "local_date", "local_hour").agg(*_partials())
+
+
+def daily_from_cells(cells: DataFrame, sensors: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
+    """``daily_from_rollup`` from stored cells."""
+    # Literal bounds around the dates of every zone, for the scan.
+    first, last = (zones.utc_date(instant) for instant in _days_around(as_of, days))
+    found = cells.where(F.col("local_date").between(F.lit(first), F.lit(last)))
+    found = found.groupBy("sensor_id", "local_date").agg(*_partials())
+    return _daily_series(found, sensors, zones.local_date(_us(as_of), F.col("zone")), days)
+
+
+def hourly_from_cells(
+    cells: DataFrame, sensors: DataFrame, as_of: dt.datetime, date: dt.date | None = None
+) -> DataFrame:
+    """``hourly_from_rollup`` from stored cells."""
+    day = F.lit(date) if date else zones.local_date(_us(as_of), F.col("zone"))
+    first, last = (date, date) if date else (zones.utc_date(instant) for instant in _days_around(as_of, 1))
+    near = cells.where(F.col("local_date").between(F.lit(first), F.lit(last)))
+    own = near.join(zoned(sensors).select("sensor_id", day.alias("day")), "sensor_id").where("local_date = day")
+    return _hourly_series(own.drop("local_date", "day"), sensors, day)
+
+
 def _days_around(as_of: dt.datetime, days: int) -> tuple[dt.datetime, dt.datetime]:
     """Instants that enclose the last ``days`` local days in every zone."""
     return as_of - dt.timedelta(days=days + 1), as_of + dt.timedelta(days=2)

@@ -17,6 +17,7 @@ from hearthlog.operators import (
     alerts,
     feeds,
     ingest,
+    key_filter,
     labels,
     quality,
     recent,
@@ -29,7 +30,7 @@ from hearthlog.sources import driver_tables as tables
 from hearthlog.sources import alert_sink, request_log, sinks
 from hearthlog.sources.tables import for_owner, in_range, read_readings, read_rules, read_sensors, read_users
 from hearthlog.sources.templates import default_templates
-from hearthlog.streaming import jobs, keyed, windows
+from hearthlog.streaming import jobs, keyed, series, windows
 
 AS_OF = tables.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,8 +471,27 @@ def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
         "email_verification_challenges": verifications,
         "password_reset_challenges": resets,
     }
-    unique = quality.table_duplicates(users, sensors, verifications, resets)
-    return unique.unionByName(quality.primary_key_duplicates(stored))
+    return quality.duplicate_keys(stored)
+
+
+@query
+def taken_on_write(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third sensor as a new batch: whose token is in use already, in the table or in the batch."""
+    token, bits = F.col("ingestion_token_hash"), 1 << 20
+    registry = tables.raw_sensors(spark, sf).select("id", "ingestion_token_hash")
+    stored, batch = registry.where("id % 3 <> 0"), registry.where("id % 3 = 0")
+    known = key_filter.build(stored, token, bits)
+    return key_filter.taken_keys(batch, stored, token, known, bits).select("id", "key_value")
+
+
+@query
+def missing_on_write(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of a new batch that refer to no stored sensor."""
+    sensors, bits = tables.sensors(spark, sf), 1 << 20
+    known = key_filter.merge(*[key_filter.build(sensors.where(half), F.col("id"), bits) for half in ("active", "NOT active")])
+    rules = tables.raw_rules(spark, sf).select("id", "sensor_id")
+    missing = key_filter.missing_references(rules, sensors, "sensor_id", known, bits)
+    return missing.select(F.col("id").alias("rule_id"), "sensor_id")
 
 
 @query
@@ -705,6 +725,26 @@ def stream_slots_late(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(windows.slots_so_far(spark, out, checkpoint), "sum_value")
 
 
+@query
+def stream_daily_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven-day statistics from the cells that a stream keeps, late readings included."""
+    out, checkpoint = _run_folder(spark, "series")
+    sensors = tables.sensors(spark, sf)
+    for stream in _arriving(spark, tables.readings(spark, sf), _late_thirds()):
+        series.stream_series(stream, lambda: sensors, out, checkpoint, available_now=True).awaitTermination()
+    return _rounded(series.daily_series(spark, out, sensors, AS_OF), "value")
+
+
+@query
+def stream_hourly_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of the current day from the cells that a stream keeps."""
+    out, checkpoint = _run_folder(spark, "series")
+    sensors = tables.sensors(spark, sf)
+    stream = _stream_readings(spark, sf)
+    series.stream_series(stream, lambda: sensors, out, checkpoint, available_now=True).awaitTermination()
+    return _rounded(series.hourly_series(spark, out, sensors, AS_OF), "value")
+
+
 @query
 def stream_recent(spark: SparkSession, sf: str) -> DataFrame:
     """The latest readings kept by a stream over the first two thirds, merged with a batch of the rest."""

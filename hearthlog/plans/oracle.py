@@ -809,6 +809,16 @@ SELECT event_id AS id,
 FROM events""",
         "stream_ingest": ingest_rows,
         "stream_compacted": ingest_rows,
+        "taken_on_write": _with(
+            "raw_sensors",
+            """
+SELECT id, token_hash AS key_value FROM raw_sensors b
+WHERE id % 3 = 0 AND EXISTS (SELECT 1 FROM raw_sensors h WHERE h.token_hash = b.token_hash AND h.id <> b.id)""",
+        ),
+        "missing_on_write": _with(
+            "raw_rules sensors",
+            "SELECT id AS rule_id, sensor_id FROM raw_rules WHERE sensor_id NOT IN (SELECT id FROM sensors)",
+        ),
         "stream_cooldown_state": fired,
         "stream_log_to_alerts": fired,
         "readings_after_file_delete": f"SELECT * FROM ({ingest_rows}) WHERE sensor_id % 5 <> 1",
@@ -866,6 +876,8 @@ UNION ALL SELECT 'password_reset_challenges', id FROM resets WHERE user_id NOT I
     same = {
         "outcomes_from_log": "ingest_outcomes",
         "stream_cap_two_keys": "cap_two_keys",
+        "stream_daily_series": "daily_stats_7d",
+        "stream_hourly_series": "hourly_stats",
         "stream_recent": "recent_readings",
         "recent_from_days": "recent_readings",
         "retained_files": "retained_readings",

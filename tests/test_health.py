@@ -65,7 +65,7 @@ def test_clean_tables_have_no_violations(spark):
 
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "A@x"), (2, "a@X"), (3, None), (4, None), (5, "b")], "id bigint, email string")
-    got = quality.duplicate_keys(df, "app_users", "email", F.lower("email")).collect()
+    got = quality.duplicate_keys({"app_users": df}, {"app_users": {"email": (F.lower("email"),)}}).collect()
     assert [(r.key_value, r.n_rows) for r in got] == [("a@x", 2)]
 
 
@@ -162,5 +162,5 @@ def test_required_columns_and_primary_keys(spark):
     assert sorted(found) == [
         ("recorded_at_required", 1), ("recorded_at_required", 2), ("recorded_at_required", 2), ("sensor_id_required", 1)
     ]
-    twice = quality.primary_key_duplicates({"sensor_readings": df}).collect()
+    twice = quality.duplicate_keys({"sensor_readings": df}).collect()
     assert [(r.table_name, r.rule, r.key_value, r.n_rows) for r in twice] == [("sensor_readings", "primary_key", "2", 2)]
