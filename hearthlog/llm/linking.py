@@ -6,12 +6,14 @@ own from then on. Any scheme that puts linked sets into common buckets can use `
 * A bucket of n sets is not n*n pairs. In each round every open bucket picks pivots among the members that have
   not been one and compares them with its members of other components. Components are brought to their fixed
   point before the next round, and a bucket closes once the members that were no pivots share one component. A
-  bucket of near copies closes after a few pivots; the number of pivots grows fourfold each round, so that a
-  bucket of unrelated sets, where every pair must be tried, closes after logarithmically many rounds. No link is
+  bucket of near copies closes after a few pivots; the number of pivots grows ``GROWTH``-fold from the third round on, so that
+  a bucket of unrelated sets, where every pair must be tried, closes after logarithmically many rounds. No link is
   lost to a cap.
 * Buckets rank their members by one hash, so near copies, which share most buckets, meet the same few pivots.
-* Members and pivots are compared by size and by a bitmap of hash-class parities inside the bucket join; only
-  pairs that these exact bounds let through are emitted, and only those move full sets.
+* The parities of the number of elements per hash class bound the difference of two sets from below. Pairs that
+  these exact bounds turn away never move full sets. While a bucket has one pivot, sketches of two classes an element
+  are fetched for the pairs met; once it has many, a bitmap of fixed size is tried inside the bucket join first, so that
+  unrelated pairs are never emitted.
 * Confirmed links enter the components as links between the labels of their ends, each once.
 * A bucket's members are never gathered: pivots are minima with map-side combine, and the comparison is a join
   on the bucket whose skewed side Spark splits.
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.components import ordered, smallest_reachable
+from hearthlog.llm.components import smallest_reachable
 from hearthlog.llm.tokens import Hasher, mix, shingles
 from hearthlog.session import cut
 
-FIRST = 10
+FIRST = 4
 WORDS = 16
-GROWTH = 4
+GROWTH = 256
 _CLASS_BITS = 10  # of 64 * WORDS classes
 BROADCAST_IDS = 1_000_000
 _BITS = [f"w{k}" for k in range(WORDS)]
@@ -62,11 +64,14 @@ def bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fold(prints: DataFrame, *carried: str) -> DataFrame:
-    """One row (hi, lo, node, first_id, carried) per distinct set of the rows that can link, staged."""
+    """One row (hi, lo, node, first_id, carried) per distinct set of the rows that can link, staged.
+
+    ``node`` is a number given here, unless it is carried.
+    """
     filled = prints.filter("n_shingles > 0 AND id IS NOT NULL")
     # Equal sets have equal sizes and keys.
     grouped = filled.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), *[F.max(c).alias(c) for c in carried])
-    return cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+    return cut(grouped if "node" in carried else grouped.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _bitmap(elements: np.ndarray) -> np.ndarray:
@@ -75,30 +80,47 @@ def _bitmap(elements: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the number of elements per hash class, two classes or more per element, packed to bytes."""
+    bits = max(64 * WORDS, 1 << (2 * len(elements) - 1).bit_length())
+    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def least_difference(p: np.ndarray, q: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets, from their sketches."""
+    small, large = sorted((p, q), key=len)
+    while len(large) > len(small):
+        half = len(large) // 2
+        large = large[:half] ^ large[half:]
+    return int(np.bitwise_count(small ^ large).sum())
+
+
 def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(hi, lo, n, w0, w1, ..., elements): name, size, bitmap and elements (int64 bytes in order) of every row."""
+    """(hi, lo, n, w0, w1, ..., sketch, elements) of every row: name, size, bitmap, sketch, elements (int64, in order)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            names, sizes, maps, sets = [], [], [], []
+            names, sizes, maps, sketches, sets = [], [], [], [], []
             for e in element_sets(batch, hasher, shingle):
                 names.append(name(e))
                 sizes.append(len(e))
                 maps.append(_bitmap(e))
+                sketches.append(sketch(e).tobytes() if len(e) else None)
                 sets.append(e.tobytes())
             maps = np.array(maps, dtype=np.int64).reshape(-1, WORDS)
             hi, lo = zip(*names) if names else ((), ())
             columns = [pa.array(c, pa.int64()) for c in (hi, lo, sizes)]
-            columns += [*(pa.array(m) for m in maps.T), pa.array(sets, pa.binary())]
-            yield pa.record_batch(columns, names=["hi", "lo", "n", *_BITS, "elements"])
+            columns += [*(pa.array(m) for m in maps.T), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.record_batch(columns, names=["hi", "lo", "n", *_BITS, "sketch", "elements"])
 
-    schema = ", ".join(["hi long, lo long, n long", *(f"{b} long" for b in _BITS), "elements binary"])
+    schema = ", ".join(["hi long, lo long, n long", *(f"{b} long" for b in _BITS), "sketch binary", "elements binary"])
     return bodies(docs, id_col, text_col).mapInArrow(build, schema)
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, n, bitmap, elements) of ``nodes``, made again from one text of each, staged."""
+    """(node, n, bitmap, sketch, elements) of ``nodes``, made again from one text of each, staged."""
     wanted = cut(nodes.select("hi", "lo", "node", "first_id"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ids = wanted.select(F.col("first_id").alias("_id"))
@@ -116,8 +138,32 @@ def crowded(members: DataFrame) -> DataFrame:
     return members.join(cut(buckets.select("bucket")), "bucket")
 
 
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The staged ``pairs`` (a, b, x, y) with sizes m, n and the ``column`` of their sets as p, q.
+
+    Only sets that are in a pair are moved; Spark sends few pairs to the sets rather than sets to the pairs.
+    """
+    of = lambda end, size, value: sets.select(F.col("node").alias(end), F.col("n").alias(size), F.col(column).alias(value))
+    right = of("b", "n", "q").join(pairs.select("b").distinct(), "b", "left_semi")
+    return pairs.join(of("a", "m", "p"), "a").join(right, "b").select("a", "b", "x", "y", "m", "n", "p", "q")
+
+
+def _screened(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that may link by the sketches of their sets, staged; no pair that links is turned away."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, p, q in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "p", "q"))):
+                differ = least_difference(np.frombuffer(p, dtype=np.uint8), np.frombuffer(q, dtype=np.uint8))
+                keep.append((100 + threshold) * differ <= (100 - threshold) * (m + n))
+            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(_with_both(pairs, sets, "sketch").mapInArrow(screen, "a long, b long, x long, y long"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(x, y), the labels of the pairs (a, b, x, y) whose sets share ``threshold`` percent of their union."""
+    """(a, b), the labels x and y of the pairs (a, b, x, y) whose sets share ``threshold`` percent of their union, staged."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,11 +172,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 p, q = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (p, q))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 linked.append(100 * both >= threshold * (len(p) + len(q) - both))
-            yield batch.select(["x", "y"]).filter(pa.array(linked, pa.bool_()))
+            labels = batch.select(["x", "y"]).filter(pa.array(linked, pa.bool_()))
+            yield pa.record_batch(labels.columns, names=["a", "b"])
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("p")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("q")), "b")
-    return both.select("x", "y", "p", "q").mapInArrow(compare, "x long, y long")
+    return cut(_with_both(pairs, sets, "elements").mapInArrow(compare, "a long, b long"))
 
 
 def _may_link(threshold: int) -> Column:
@@ -152,32 +197,38 @@ def set_components(members: DataFrame, sets: DataFrame, threshold: int) -> DataF
     Round 0 tries one pivot in every ``FIRST``-th bucket only. Near copies share many buckets, so this already
     joins most of them, and a pair inside one component is never compared again.
     """
-    sketches = sets.drop("elements")
+    sketches = sets.select("node", "n", *_BITS)
     labels = sets.select("node", F.col("node").alias("label"))
     members = cut(members.select("bucket", "node", F.lit(False).alias("done"), F.col("node").alias("label")))
     round_ = 0
     while True:
         active = members.filter(F.pmod("bucket", F.lit(FIRST)) == 0) if round_ == 0 else members
         salt = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(GROWTH ** max(round_ - 1, 0)))
-        lot = F.min(F.struct(F.xxhash64("node", F.lit(-round_)).alias("h"), F.col("node").alias("pivot"), F.col("label").alias("pivot_label")))
-        pivots = active.filter("NOT done").groupBy("bucket", salt.alias("salt")).agg(lot.alias("lot"))
+        chosen = F.struct(F.xxhash64("node", F.lit(-round_)).alias("h"), F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+        pivots = active.filter("NOT done").groupBy("bucket", salt.alias("salt")).agg(F.min(chosen).alias("lot"))
         pivots = cut(pivots.select("bucket", "lot.pivot", "lot.pivot_label"))
-        sketched = pivots.join(
-            sketches.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in ("n", *_BITS)]), "pivot"
-        )
-        met = active.join(sketches, "node").join(sketched, "bucket").filter(F.expr("label <> pivot_label") & _may_link(threshold))
-        pairs = met.select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("label").alias("x"), F.col("pivot_label").alias("y"))
-        links = cut(ordered(_confirmed(pairs.distinct(), sets, threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        cross = F.col("label") != F.col("pivot_label")
+        if round_ < 2:
+            # One pivot a bucket: at most one narrow row per member, and few once labels are known.
+            met = active.join(pivots, "bucket").filter(cross)
+        else:
+            # Many pivots for the few buckets left: bounds hold inside the join, before a row is made.
+            bounds = ["n", *_BITS]
+            of_pivot = sketches.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in bounds])
+            met = active.join(sketches, "node").join(pivots.join(of_pivot, "pivot"), "bucket").filter(cross & _may_link(threshold))
+        ends = [F.col(c).alias(k) for c, k in (("node", "a"), ("pivot", "b"), ("label", "x"), ("pivot_label", "y"))]
+        pairs = _screened(cut(met.select(*ends).distinct()), sets, threshold)
+        links = _confirmed(pairs, sets, threshold)
         moved = not links.isEmpty()
         if moved:
             reached = smallest_reachable(links).withColumnRenamed("node", "label")
             new = labels.join(reached, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
             labels = cut(new)
-        was_pivot = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now")).distinct()
+        was_pivot = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
         marked = members.join(was_pivot, ["bucket", "node"], "left")
         if moved:
             marked = marked.drop("label").join(labels, "node")
-        marked = cut(marked.select("bucket", "node", F.expr("done OR now IS NOT NULL").alias("done"), "label"))
+        marked = marked.select("bucket", "node", F.expr("done OR now IS NOT NULL").alias("done"), "label")
         # Only pairs of members that were no pivots are uncompared; they matter across components.
         rest = marked.filter("NOT done").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         members = cut(marked.join(rest.filter("lo <> hi").select("bucket"), "bucket"))

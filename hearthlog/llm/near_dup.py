@@ -10,16 +10,7 @@ confirmed on their full sets.
 * Equal sets are folded first and stand as one node, so copies cost a line each.
 * With ``ROWS`` values a band and ``BANDS`` bands a pair at exactly the threshold is missed with
   probability (1 - 0.8**6)**40 = 5e-6, a pair at 0.9 with 3e-14.
-* A bucket of n sets is not n*n pairs. In each round every open bucket picks pivots among the members that
-  have not been one, compares them with its members of other components, and closes once those left share
-  one component. A bucket of near copies closes after a
-  few pivots; the number of pivots grows 64-fold each round, so even a bucket of unrelated texts, where every
-  pair must be tried, closes after logarithmically many rounds. No link is lost to a cap.
-* Members and pivots are compared by size and by a bitmap of hash-class parities inside that join; only
-  pairs that these exact bounds let through are emitted, and only those move full sets.
-* A bucket's members are never gathered: pivots are minima with map-side combine, and the comparison is
-  a join on the bucket whose skewed side Spark splits.
-
+* Candidates of a bucket are tried against pivots, see ``linking``; no link is lost to a cap.
 * Sets are not stored. One pass over the texts leaves a line of band keys per document; the sets of those
   that share a bucket with another are made again from their texts when links are confirmed.
 
@@ -31,26 +22,20 @@ empty results. Other columns are ignored by ``classes`` and passed through by ``
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.components import labels, ordered, smallest_reachable, star_round
-from hearthlog.llm.tokens import Hasher, mix, shingles
-from hearthlog.session import cut
+from hearthlog.llm.linking import bodies, crowded, document_classes, element_sets, fold, name, set_components, sets_of
+from hearthlog.llm.tokens import Hasher, mix
+from hearthlog.session import bound_batches, cut
 
 SHINGLE = 5
 THRESHOLD = 80
 ROWS = 6
 BANDS = 40
-FIRST = 10
-WORDS = 16
-_CLASS_BITS = 10  # of 64 * WORDS classes
-BROADCAST_IDS = 1_000_000
 _PIECE = 4096
 
 
@@ -80,151 +65,34 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def _element_sets(batch: pa.RecordBatch, hasher: Hasher, shingle: int) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each text, in order; with fewer words, the whole text's as one."""
-    for w in hasher.words(batch.column("body")):
-        for lo, hi in zip(w.bounds[:-1], w.bounds[1:]):
-            own = w.hashes[lo:hi]
-            yield np.unique(shingles(own, min(shingle, len(own)))) if len(own) else own
-
-
-def _digest(elements: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = mix(elements).sum(dtype=np.uint64) ^ np.uint64(len(elements))
-    return int(total.view(np.int64))
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-
-
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int, bands: int) -> DataFrame:
-    """(id, n_shingles, set, bands): set size, set name and band keys (int64 bytes) of every row."""
+    """(id, n_shingles, hi, lo, bands): set size, set name and band keys (int64 bytes) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, multipliers = Hasher(), _multipliers(rows * bands // 2)
         for batch in batches:
             out = [
-                (len(e), _digest(e), band_keys(min_max(e, multipliers), bands).tobytes() if len(e) else None)
-                for e in _element_sets(batch, hasher, shingle)
+                (len(e), *name(e), band_keys(min_max(e, multipliers), bands).tobytes() if len(e) else None)
+                for e in element_sets(batch, hasher, shingle)
             ]
-            sizes, names, keys = zip(*out) if out else ((), (), ())
-            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.binary())]
-            yield pa.record_batch(columns, names=["id", "n_shingles", "set", "bands"])
-
-    return _rows(docs, id_col, text_col).mapInArrow(sign, "id long, n_shingles long, set long, bands binary")
-
-
-def _bitmap(elements: np.ndarray) -> np.ndarray:
-    """Parities of the number of elements in ``64 * WORDS`` hash classes, as ``WORDS`` int64."""
-    counts = np.bincount((elements >> np.uint64(64 - _CLASS_BITS)).astype(np.int64), minlength=64 * WORDS)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
-
-
-def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(set, n, w0, w1, ..., elements): the size, bitmap and elements (int64 bytes in order) of every row."""
-    bits = [f"w{k}" for k in range(WORDS)]
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            names, sizes, maps, sets = [], [], [], []
-            for e in _element_sets(batch, hasher, shingle):
-                names.append(_digest(e))
-                sizes.append(len(e))
-                maps.append(_bitmap(e))
-                sets.append(e.tobytes())
-            maps = np.array(maps, dtype=np.int64).reshape(-1, WORDS)
-            columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(m) for m in maps.T)]
-            yield pa.record_batch([*columns, pa.array(sets, pa.binary())], names=["set", "n", *bits, "elements"])
+            sizes, hi, lo, keys = zip(*out) if out else ((), (), (), ())
+            columns = [batch.column("id"), *(pa.array(c, pa.int64()) for c in (sizes, hi, lo)), pa.array(keys, pa.binary())]
+            yield pa.record_batch(columns, names=["id", "n_shingles", "hi", "lo", "bands"])
 
-    schema = ", ".join(["set long", "n long", *(f"{b} long" for b in bits), "elements binary"])
-    return _rows(docs, id_col, text_col).mapInArrow(build, schema)
+    return bodies(docs, id_col, text_col).mapInArrow(sign, "id long, n_shingles long, hi long, lo long, bands binary")
 
 
 def bucket_members(nodes: DataFrame, bands: int) -> DataFrame:
-    """(bucket, set) of every node and band, for buckets of two nodes or more."""
+    """(bucket, node) of every node and band, for buckets of two nodes or more."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.frombuffer(k.as_buffer(), dtype=np.int64) for k in batch.column("bands")]
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            names = np.repeat(batch.column("set").to_numpy(zero_copy_only=False), bands)
-            yield pa.record_batch([pa.array(flat), pa.array(names)], names=["bucket", "set"])
+            own = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands)
+            yield pa.record_batch([pa.array(flat), pa.array(own)], names=["bucket", "node"])
 
-    members = cut(nodes.select("set", "bands").mapInArrow(spread, "bucket long, set long"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    return members.join(crowded, "bucket")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets share ``threshold`` percent of their union."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("set").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(sets.select(F.col("set").alias("b"), F.col("elements").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-
-
-def _may_link(threshold: int) -> Column:
-    """Whether a member and a pivot can link, by what their sizes and bitmaps allow.
-
-    A class whose parity differs holds an element that only one of the two sets has, so the number of
-    differing bits bounds the symmetric difference from below, and the common part from above. No pair that
-    links is turned away.
-    """
-    total = F.col("n") + F.col("pivot_n")
-    differ = reduce(add, [F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"pivot_w{k}"))) for k in range(WORDS)])
-    sizes = 100 * F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n")
-    return sizes & ((100 + threshold) * (total - differ) >= 2 * threshold * total)
-
-
-def set_components(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, component) over the sets that have a confirmed link, from the buckets they share.
-
-    Round 0 tries one pivot in every ``FIRST``-th bucket only. Near copies share many buckets, so this
-    already joins most of them, and a pair inside one component is never compared again.
-    """
-    sketches = sets.drop("elements")
-    bits = ["n", *(f"w{k}" for k in range(WORDS))]
-    members = cut(members.select("bucket", "set", F.lit(False).alias("done"), F.col("set").alias("label")))
-    edges, round_ = None, 0
-    while True:
-        active = members.filter(F.pmod("bucket", F.lit(FIRST)) == 0) if round_ == 0 else members
-        # Pivots: random members that have not been one, per bucket and salt.
-        salt = F.pmod(F.xxhash64("set", F.lit(round_)), F.lit(64**round_))
-        lot = F.min(F.struct(F.xxhash64("set", F.lit(-round_)).alias("h"), F.col("set").alias("pivot"), F.col("label").alias("pivot_label")))
-        pivots = active.filter("NOT done").groupBy("bucket", salt.alias("salt")).agg(lot.alias("lot"))
-        pivots = cut(pivots.select("bucket", "lot.pivot", "lot.pivot_label"))
-        sketched = pivots.join(sketches.select(F.col("set").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in bits]), "pivot")
-        met = active.join(sketches, "set").join(sketched, "bucket").filter(F.expr("label <> pivot_label") & _may_link(threshold))
-        pairs = met.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")).distinct()
-        new = _confirmed(pairs, sets, threshold)
-        # One round of joining stars per round of pivots; labels that are not final yet cost comparisons.
-        # Staged first, since the round reads its edges several times and each would confirm the pairs anew.
-        edges = cut(star_round(cut(ordered(new if edges is None else new.union(edges)))))
-        was_pivot = pivots.select("bucket", F.col("pivot").alias("set"), F.lit(True).alias("now")).distinct()
-        marked = (
-            members.drop("label")
-            .join(was_pivot, ["bucket", "set"], "left")
-            .join(labels(edges).withColumnRenamed("node", "set"), "set", "left")
-            .select("bucket", "set", F.expr("done OR now IS NOT NULL").alias("done"), F.coalesce("component", "set").alias("label"))
-        )
-        # Only pairs of members that were no pivots are uncompared; they matter across components.
-        marked = cut(marked)
-        rest = marked.filter("NOT done").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        members = cut(marked.join(rest.filter("lo <> hi").select("bucket"), "bucket"))
-        if members.isEmpty():
-            return smallest_reachable(edges)
-        round_ += 1
+    return crowded(cut(nodes.select("node", "bands").mapInArrow(spread, "bucket long, node long")))
 
 
 def classes(
@@ -238,33 +106,15 @@ def classes(
     bands: int = BANDS,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept): each document's class, named after its smallest id."""
+    bound_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, shingle, rows, bands))
-    filled = prints.filter("n_shingles > 0 AND id IS NOT NULL")
-    nodes = cut(filled.groupBy("set").agg(F.min("id").alias("first_id"), F.max("bands").alias("bands")))
+    nodes = fold(prints, "bands")
     members = cut(bucket_members(nodes, bands))
-    wanted = nodes.join(members.select("set").distinct(), "set", "left_semi").select("set", "first_id")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ids = wanted.select(F.col("first_id").alias("_id"))
-    # Few enough ids go to the texts; otherwise both sides are dealt out by id. The rows are the same.
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    texts = texts.join(ids, "_id", "left_semi")
-    # Rows that share an id may hold other texts: keep the wanted sets only, one of each.
-    made = full_sets(texts, "_id", "_text", shingle)
-    sets = cut(made.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]))
-    found = set_components(members, sets, threshold)
-    named = nodes.select("set", "first_id").join(found.withColumnRenamed("node", "set"), "set", "left")
-    named = cut(named.select("set", "first_id", F.coalesce("component", "set").alias("component")))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_set = named.join(smallest, "component").select("set", "component_id")
-    linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
-    of_doc = prints.select("id", "n_shingles", F.when(linked, F.col("set")).alias("set")).join(of_set, "set", "left")
-    component = F.coalesce("component_id", "id")
-    return of_doc.select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
-    )
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    sets = sets_of(wanted, docs, id_col, text_col, shingle)
+    found = document_classes(prints, nodes, set_components(members, sets, threshold))
+    kept = F.col("component_id").eqNullSafe(F.col("id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
