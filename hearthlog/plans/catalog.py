@@ -27,7 +27,7 @@ from hearthlog.operators import (
 )
 from hearthlog.session import configure, scratch_dir
 from hearthlog.sources import driver_tables as tables
-from hearthlog.sources import alert_sink, request_log, sinks
+from hearthlog.sources import alert_sink, bucketed, request_log, sinks
 from hearthlog.sources.tables import for_owner, in_range, read_readings, read_rules, read_sensors, read_users
 from hearthlog.sources.templates import default_templates
 from hearthlog.streaming import jobs, keyed, series, windows
@@ -172,6 +172,27 @@ def recent_from_days(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(shown, "numeric_value")
 
 
+def _bucketed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Readings and sensors, stored in buckets by sensor."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    readings = bucketed.write_readings(tables.readings(spark, sf), f"{name}_readings", f"{path}/readings", 8)
+    return readings, bucketed.write_sensors(tables.sensors(spark, sf), f"{name}_sensors", f"{path}/sensors", 8)
+
+
+@query
+def bucketed_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The rollup of bucketed readings."""
+    return _rounded(stats.rollup_15m(_bucketed(spark, sf)[0]), "sum_value")
+
+
+@query
+def bucketed_recent(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest readings of bucketed tables."""
+    shown = recent.recent_readings(*_bucketed(spark, sf), tables.users(spark, sf))
+    return _rounded(shown, "numeric_value")
+
+
 @query
 def sensor_list(spark: SparkSession, sf: str) -> DataFrame:
     return recent.sensor_list(tables.sensors(spark, sf))

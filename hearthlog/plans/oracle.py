@@ -874,6 +874,8 @@ UNION ALL SELECT 'password_reset_challenges', id FROM resets WHERE user_id NOT I
     }
     # The same rows by other means.
     same = {
+        "bucketed_recent": "recent_readings",
+        "bucketed_rollup": "rollup_15m",
         "outcomes_from_log": "ingest_outcomes",
         "stream_cap_two_keys": "cap_two_keys",
         "stream_daily_series": "daily_stats_7d",

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.operators import key_filter, stats
+from hearthlog.operators import key_filter, recent, stats
 from hearthlog.schema import READINGS
-from hearthlog.sources import driver_tables
+from hearthlog.sources import bucketed, driver_tables
 from hearthlog.streaming import series
 from tests.conftest import SMALL, at
 from tests.test_streaming import same, stream_of
@@ -59,3 +59,30 @@ def test_stored_series_follow_late_readings(spark, tmp_path):
     date = at("2024-01-20 00:00:00").date()
     cells = stats.hourly_from_cells(series.read_cells(spark, out), sensors, driver_tables.AS_OF, date)
     assert same(rounded(stats.hourly_statistics(readings, sensors, driver_tables.AS_OF, date)), rounded(cells))
+
+
+def test_bucketed_tables_need_no_exchange(spark, tmp_path):
+    readings = bucketed.write_readings(driver_tables.readings(spark, SMALL), "bucketed_r", str(tmp_path / "r"), 4)
+    sensors = bucketed.write_sensors(driver_tables.sensors(spark, SMALL), "bucketed_s", str(tmp_path / "s"), 4)
+    of_sensor = sensors.select(F.col("id").alias("sensor_id"), "owner_id", "type")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for setting in names:
+        spark.conf.set(setting, "-1")
+    try:
+        for df in (stats.rollup_15m(readings), recent.latest(readings).join(of_sensor, "sensor_id"), readings.join(of_sensor, "sensor_id")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+        rollup = stats.rollup_15m(driver_tables.readings(spark, SMALL))
+        assert same(rollup.select("sensor_id", "slot_start", "n_values"), stats.rollup_15m(readings).select("sensor_id", "slot_start", "n_values"))
+    finally:
+        for setting in names:
+            spark.conf.unset(setting)
+        spark.sql("DROP TABLE bucketed_r")
+        spark.sql("DROP TABLE bucketed_s")
+
+
+def test_a_sensor_too_heavy_for_a_bucket_is_refused(spark, tmp_path):
+    readings = driver_tables.readings(spark, SMALL)
+    assert bucketed.heaviest_sensor(readings) > 50 and bucketed.heaviest_sensor(readings.limit(0)) == 0
+    with pytest.raises(ValueError, match="more than one bucket"):
+        bucketed.write_readings(readings, "bucketed_x", str(tmp_path / "x"), 4, most=50)
