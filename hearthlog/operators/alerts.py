@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.functions import display, text, units, zones
@@ -82,6 +82,12 @@ def alert_matches(readings: DataFrame, rules: DataFrame, users: DataFrame) -> Da
     )
 
 
+def in_rule_order(matches: DataFrame) -> DataFrame:
+    """Matches with ``place``: the order in which a reading's rules are evaluated, by rule id from 1 on."""
+    by_rule = Window.partitionBy("reading_id").orderBy("rule_id")
+    return matches.withColumn("place", F.row_number().over(by_rule))
+
+
 def cooldown(matches: DataFrame, **sizes: int) -> DataFrame:
     """Matches with ``fired``: a rule fires unless it fired less than its cooldown ago.
 

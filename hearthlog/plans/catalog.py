@@ -362,6 +362,16 @@ def alert_matches(spark: SparkSession, sf: str) -> DataFrame:
     return matches.drop("last_triggered_at")
 
 
+@query
+def rule_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Every match of a fleet with two rules per sensor, in the order in which a reading's rules are evaluated."""
+    rules = tables.rules(spark, sf)
+    second = rules.withColumns({"id": F.col("id") + 1, "threshold_value": F.lit(35.0)})
+    both = rules.unionByName(second)
+    matches = alerts.alert_matches(tables.readings(spark, sf), both, tables.users(spark, sf))
+    return alerts.in_rule_order(matches).select("reading_id", "rule_id", "place")
+
+
 @query
 def alerts_fired(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.fired(_evaluated(spark, sf))

@@ -809,6 +809,19 @@ SELECT event_id AS id,
 FROM events""",
         "stream_ingest": ingest_rows,
         "stream_compacted": ingest_rows,
+        "rule_order": _with(
+            "readings rules users",
+            """
+SELECT r.id AS reading_id, ru.id AS rule_id, CAST(row_number() OVER (PARTITION BY r.id ORDER BY ru.id) AS INTEGER) AS place
+FROM readings r JOIN (
+  SELECT id, owner_id, sensor_id, rule_type, op, threshold, unit, enabled FROM rules
+  UNION ALL SELECT id + 1, owner_id, sensor_id, rule_type, op, 35.0::DOUBLE, unit, enabled FROM rules
+) ru ON ru.sensor_id = r.sensor_id JOIN users us ON us.id = ru.owner_id
+WHERE ru.enabled AND us.verified
+  AND CASE WHEN ru.rule_type = 'EVENT_DETECTED' THEN coalesce(r.boolean_value, false)
+           WHEN ru.op = 'ABOVE' THEN r.unit = ru.unit AND r.numeric_value > ru.threshold
+           ELSE r.unit = ru.unit AND r.numeric_value < ru.threshold END""",
+        ),
         "taken_on_write": _with(
             "raw_sensors",
             """

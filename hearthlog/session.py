@@ -101,6 +101,23 @@ def staging(spark: SparkSession, name: str) -> Iterator[None]:
         _AREA.reset(token)
 
 
+# Folders that ``cut`` has written outside ``staging``, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
+def discard_staged(spark: SparkSession) -> int:
+    """Delete what batch jobs of this session have staged; returns the number of folders.
+
+    Call it when the jobs' results have been written: a result that has not been computed yet may still read
+    from them.
+    """
+    folders = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -112,6 +129,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark, area = df.sparkSession, _AREA.get()
     if area is None:
         path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
+        _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     else:
         path = f"{area[0]}/staged-{next(area[1])}"
     df.write.mode("overwrite").parquet(path)
