@@ -5,9 +5,10 @@ on the Hilbert curve through that grid. Rows are put in curve order and the orde
 equal row counts (at most one apart). A run is a connected piece of the curve, hence a compact region of
 the grid, and minimum and maximum of each column prune files in all dimensions at once.
 
-Quantisation: numbers go by the position of their value among ``2**BITS`` approximate quantiles of the
-whole table (a sketch, one small row per dimension); text goes by a hash, which keeps equal values
-together. Null is cell 0.
+Quantisation: a value goes by its position among ``2**BITS`` approximate quantiles of its column over the
+whole table (a sketch, one small row per dimension), so cells follow the order of the values and hold about as
+many rows each. Text is ordered by the six bytes behind what all of a column's values begin with; values that agree in
+these share a cell. Null is cell 0.
 
 The order is total: curve index, then a hash of the row's metadata and id, then the id, then the text's
 checksum. A cell that a third of all rows share is therefore spread over many range partitions. Ranks
@@ -33,6 +34,7 @@ from hearthlog.session import cut
 
 BITS = 6
 QUANTILE_ACCURACY = 2000
+_TEXT_BYTES = 6  # a double holds them exactly
 
 
 def hilbert_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
@@ -63,24 +65,34 @@ def hilbert_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
+def _in_order(df: DataFrame, d: str) -> Column:
+    """A number that grows with the value of a dimension."""
+    kind = df.schema[d].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(d).cast("double")
+    text = F.encode(F.col(d).cast("string"), "UTF-8")
+    ends = df.agg(F.min(text), F.max(text)).first()
+    low, high = (bytes(end or b"") for end in ends)
+    shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    behind = F.rpad(F.hex(F.substring(text, shared + 1, _TEXT_BYTES)), 2 * _TEXT_BYTES, "0")
+    return F.conv(behind, 16, 10).cast("double")
+
+
 def _cells(df: DataFrame, dimensions: Sequence[str], bits: int) -> list[Column]:
-    """The quantised coordinate of each dimension; numeric dimensions cost one pass for their quantiles."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    numeric = [d for d in dimensions if isinstance(kinds[d], T.NumericType)]
+    """The quantised coordinate of each dimension; all dimensions share one pass for their quantiles."""
     side = 1 << bits
-    cuts: dict[str, list[float]] = {}
-    if numeric:
-        levels = [i / side for i in range(1, side)]
-        row = df.agg(*[F.percentile_approx(d, levels, QUANTILE_ACCURACY).alias(d) for d in numeric]).first()
-        cuts = {d: sorted(set(row[d] or [])) for d in numeric}
+    levels = [i / side for i in range(1, side)]
+    values = {d: _in_order(df, d) for d in dimensions}
+    found = [F.percentile_approx(value, levels, QUANTILE_ACCURACY).alias(d) for d, value in values.items()]
+    row = df.agg(*found).first()
 
     def cell(d: str) -> Column:
-        if d not in numeric:
-            return F.when(F.col(d).isNull(), 0).otherwise(F.pmod(F.xxhash64(d), F.lit(side)))
-        if not cuts[d]:
+        cuts = row[d] or []
+        if not cuts:
             return F.lit(0)
-        above = F.filter(F.array(*[F.lit(c) for c in cuts[d]]), lambda c: c < F.col(d))
-        return F.when(F.col(d).isNull(), 0).otherwise(F.size(above))
+        # A quantile counts as often as it is one, so few values spread over the whole axis by their shares.
+        above = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < values[d])
+        return F.when(values[d].isNull(), 0).otherwise(F.size(above))
 
     return [cell(d).cast("long") for d in dimensions]
 
