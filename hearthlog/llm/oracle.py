@@ -79,10 +79,13 @@ cand AS (
   SELECT * FROM ok o WHERE rank < 3 OR NOT EXISTS (
     SELECT 1 FROM ok p WHERE p.rid = o.rid AND p.rank < 3 AND p.b < o.e AND o.b < p.e)
 ),
-own AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n_owners FROM cand GROUP BY value),
+own AS (
+  SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n_owners,
+         count(DISTINCT struct_pack(o := coalesce(owner, chr(0)), r := coalesce(repo::VARCHAR, ''))) AS n_repos FROM cand GROUP BY value
+),
 classed AS (
-  SELECT c.*, n_owners >= 2 AS copied,
-         n_owners < 2 AND length(value) >= 20 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+  SELECT c.*, n_repos, n_owners >= 2 OR n_repos >= 5 AS copied,
+         n_owners < 2 AND n_repos < 5 AND length(value) >= 20 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
          AND NOT regexp_matches(value, '(?i)example|sample|changeme|placeholder|your|dummy|xxxx|0000|1234') AS live
   FROM cand c JOIN own USING (value)
 ),
@@ -90,12 +93,13 @@ reported AS (
   SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
          string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3) AS base,
          string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS spans,
-         count(*) FILTER (copied) AS n_copied, count(*) FILTER (live) AS n_live
+         count(*) FILTER (copied) AS n_copied, count(*) FILTER (live) AS n_live, max(n_repos) AS n_repos
   FROM classed JOIN kinds USING (rank) WHERE rank < 3 OR live GROUP BY rid
 )
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_live, 0)::BIGINT AS n_live
+       coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_live, 0)::BIGINT AS n_live,
+       coalesce(n_repos, 0)::BIGINT AS n_repos
 FROM d LEFT JOIN reported USING (rid)
 """
 
@@ -162,6 +166,32 @@ FROM bits
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_MARKS = "[.!?…‼⁇⁈⁉。！．？｡؟۔।॥։።፧။។⸮]"
+_CLOSERS = "[\"'')\\]}»’”›》」』】）]"
+
+
+def _wrapped(value: str) -> str:
+    return f"(({value}) % 18446744073709551616::UHUGEINT)"
+
+
+def _scrambled(value: str, factor: int) -> str:
+    """One step of ``tokens.mix``: fold the upper half in, then multiply."""
+    return _wrapped(f"xor({value}, ({value}) >> 33) * {factor}::UHUGEINT")
+
+
+# The hash of a word, of which only the order matters here: a polynomial in its bytes modulo 2**64, scrambled.
+_WORD_HASHES = f"""
+words AS (SELECT DISTINCT w FROM tok),
+poly AS (
+  SELECT w, list_reduce(list_prepend(0::UHUGEINT, list_reverse(list_transform(range(0, octet_length(encode(w))),
+           lambda i: (('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::INT + 1)::UHUGEINT))),
+         lambda h, byte: {_wrapped(f'h * {0x9E3779B97F4A7C15}::UHUGEINT + byte')}) AS h FROM words
+),
+long0 AS (SELECT w, {_wrapped(f'h + octet_length(encode(w))::UHUGEINT * {0xD6E8FEB86659FD93}::UHUGEINT')} AS h FROM poly),
+long1 AS (SELECT w, {_scrambled('h', 0xFF51AFD7ED558CCD)} AS h FROM long0),
+long2 AS (SELECT w, {_scrambled('h', 0xC4CEB9FE1A85EC53)} AS h FROM long1),
+hashed AS (SELECT w, xor(h, h >> 33) AS h FROM long2)"""
+
 _SPANS = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_FOLD} AS t FROM documents),
 lines AS (
@@ -169,16 +199,28 @@ lines AS (
   FROM (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS li FROM d)
 ),
 tok AS (SELECT rid, doc_id, li, unnest(ws) AS w, generate_subscripts(ws, 1) AS wi FROM lines WHERE len(ws) > 0),
+{_WORD_HASHES},
 flag AS (
   SELECT *, row_number() OVER (PARTITION BY rid ORDER BY li, wi) - 1 AS g,
-         (regexp_matches(w, '[.!?]$') OR regexp_matches(w, '[.!?]["'')\]\}}]$'))::INT AS done
-  FROM tok
+         (regexp_matches(w, '{_MARKS}$') OR regexp_matches(w, '{_MARKS}{_CLOSERS}$'))::INT AS done
+  FROM tok JOIN hashed USING (w)
 ),
 sent AS (
   SELECT *, coalesce(sum(done) OVER (PARTITION BY rid, li ORDER BY wi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sn
   FROM flag
 ),
-piece AS (SELECT *, (row_number() OVER (PARTITION BY rid, li, sn ORDER BY wi) - 1) // 24 AS pc FROM sent),
+sized AS (SELECT *, count(*) OVER (PARTITION BY rid, li, sn) AS size FROM sent),
+-- Of every eight words running in a long sentence the one with the least hash, the last of equals, ends a piece.
+least AS (
+  SELECT rid, min(struct_pack(h := h, back := -g)) OVER win AS m, count(*) OVER win AS n FROM sized WHERE size > 15
+  WINDOW win AS (PARTITION BY rid, li, sn ORDER BY wi ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+),
+ends AS (SELECT DISTINCT rid, -m.back AS g FROM least WHERE n = 8),
+piece AS (
+  SELECT z.*, coalesce(sum((e.g IS NOT NULL)::INT) OVER (
+           PARTITION BY z.rid, z.li, z.sn ORDER BY z.wi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pc
+  FROM sized z LEFT JOIN ends e ON e.rid = z.rid AND e.g = z.g
+),
 s AS (
   SELECT rid, doc_id, a, b, row_number() OVER (PARTITION BY rid ORDER BY a) AS k
   FROM (SELECT rid, doc_id, min(g) AS a, max(g) + 1 AS b FROM piece GROUP BY rid, doc_id, li, sn, pc)

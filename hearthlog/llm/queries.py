@@ -56,7 +56,8 @@ def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.repeated_runs(_table(spark, sf_dir, "documents")).withColumnRenamed("first_id", "first_doc_id")
+    found = spans.repeated_runs(_table(spark, sf_dir, "documents"), by_words=True)
+    return found.withColumnRenamed("first_id", "first_doc_id")
 
 
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ tell a live key from the sample key of a manual, but the corpus can: the sample
 owners, a live key stays with one. So every candidate's value is hashed and counted by distinct owners
 and repositories over the whole corpus, and a candidate is
 
-* ``copied`` when its value occurs under ``copied_owners`` owners or more;
+* ``copied`` when its value occurs under ``copied_owners`` owners or more, or in ``copied_repos`` repositories or
+  more, be they of one owner: a value that an owner has in many places is a sample of theirs;
 * ``live`` when it is not copied, and looks live: ``live_length`` characters or more, letters and
   digits both, none of the fixed placeholder words.
 
@@ -38,8 +39,11 @@ KINDS = ("assign", "access", "hex", "bare")
 PLACEHOLDERS = "(?i)example|sample|changeme|placeholder|your|dummy|xxxx|0000|1234"
 
 COPIED_OWNERS = 2
+COPIED_REPOS = 5
 LIVE_LENGTH = 20
 
+# Matches whose positions are summed in one go, so that lists of matches are not copied once per match.
+_CHUNK = 128
 _SPAN = "struct<begin:bigint,rank:int,finish:bigint,value:string>"
 
 
@@ -62,9 +66,16 @@ def _spans(text: Column, rank: int, pattern: str, value_group: int, min_value: i
             )
             return F.struct(finish.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
-        order = F.sequence(F.lit(0), F.size(parts["hits"]) - 1)
-        return F.aggregate(order, start, step, lambda acc: acc["out"])
+        n = F.size(parts["hits"])
+
+        def chunk(acc: Column, j: Column) -> Column:
+            order = F.sequence(j * _CHUNK, F.least(j * _CHUNK + _CHUNK, n) - 1)
+            own = F.aggregate(order, F.struct(acc["at"].alias("at"), _none().alias("out")), step)
+            return let(own, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+        chunks = F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int"))
+        return F.flatten(F.aggregate(chunks, start, chunk, lambda acc: acc["out"]))
 
     parts = F.struct(
         F.split(text, pattern).alias("gaps"),
@@ -122,10 +133,13 @@ def scan(
     repo_col: str = "doc_id",
     *,
     copied_owners: int = COPIED_OWNERS,
+    copied_repos: int = COPIED_REPOS,
     live_length: int = LIVE_LENGTH,
 ) -> DataFrame:
     """One row per input row: span counts by kind and class, and the spans themselves.
 
+    ``n_repos`` is the most repositories that share one of the row's reported values.
+
     ``base`` and ``spans`` are arrays of (begin, rank, finish, value); ``rank`` indexes ``KINDS``.
     """
     found = cut(candidates(docs, id_col, text_col, owner_col, repo_col))
@@ -134,8 +148,9 @@ def scan(
         "value_hash", F.sha2("span.value", 256)
     )
     value = F.col("span.value")
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)
     live = (
-        (F.col("n_owners") < copied_owners)
+        ~copied
         & (F.length(value) >= live_length)
         & value.rlike("[0-9]")
         & value.rlike("[A-Za-z]")
@@ -144,7 +159,8 @@ def scan(
     classed = spans.join(ownership(spans), "value_hash").select(
         "row",
         "span",
-        (F.col("n_owners") >= copied_owners).alias("copied"),
+        "n_repos",
+        copied.alias("copied"),
         live.alias("live"),
     )
     base = F.col("span.rank") < 3
@@ -152,12 +168,13 @@ def scan(
         F.sort_array(F.collect_list("span")).alias("spans"),
         F.count_if("copied").alias("n_copied"),
         F.count_if("live").alias("n_live"),
+        F.max("n_repos").alias("n_repos"),
     )
     with_spans = some.join(reported, "row", "left").select(
-        "id", "base", F.coalesce("spans", _none()).alias("spans"), "n_copied", "n_live"
+        "id", "base", F.coalesce("spans", _none()).alias("spans"), "n_copied", "n_live", "n_repos"
     )
     without = found.filter((F.size("base") == 0) & (F.size("bare") == 0)).select(
-        "id", "base", _none().alias("spans"), F.lit(None).alias("n_copied"), F.lit(None).alias("n_live")
+        "id", "base", _none().alias("spans"), *[F.lit(None).alias(c) for c in ("n_copied", "n_live", "n_repos")]
     )
     of = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return with_spans.union(without).select(
@@ -167,18 +184,17 @@ def scan(
         of(2).alias("n_hex"),
         "base",
         "spans",
-        F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_copied", "n_live", "n_repos")],
     )
 
 
 def digest(found: DataFrame) -> DataFrame:
     """``scan``'s rows with the spans as text and the base spans as a SHA-256."""
-    keep = [c for c in found.columns if c not in ("base", "spans", "n_copied", "n_live")]
+    last = ("n_copied", "n_live", "n_repos")
+    keep = [c for c in found.columns if c not in ("base", "spans", *last)]
     return found.select(
         *keep,
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
-        "n_copied",
-        "n_live",
+        *last,
     )

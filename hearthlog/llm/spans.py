@@ -8,10 +8,10 @@ under any other are removed.
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?`` (closing quotes and brackets aside), at a
 line break, or after ``MAX_SENTENCE`` words, so text without punctuation has runs too. Hashes ignore white space
-and the case of A to Z. This is the rule of the query's SQL. It finds a repeat without punctuation only where the
-words before it agree modulo ``MAX_SENTENCE``.
+and the case of A to Z. This plain rule finds a repeat without punctuation only where the words before it agree modulo
+``MAX_SENTENCE``.
 
-With ``by_words`` the sentence marks of other scripts count too, and sentences of more than ``MAX_WHOLE`` words
+With ``by_words``, as the query has it, the sentence marks of other scripts count too, and sentences of more than ``MAX_WHOLE`` words
 are cut where their words say so: of every ``WINDOW`` words running the one with the least hash ends a piece.
 Whether a word does follows from the 7 words on either side of it, and pieces have 8 words at most. So a repeated
 passage of 51 words loses at most 15 words at either end and always holds a run of the others, wherever it starts.

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from hearthlog.llm import line_rules, mixing, secrets, shards
 
@@ -88,6 +90,24 @@ def test_secrets_by_ownership(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_in_many_repositories_of_one_owner_are_samples(spark):
+    value, rare = "9f8e7d6c5b4a39281706f5e4", "Zk3" + "aB9x" * 9
+    rows = [(i, f"token={value} {rare if i < 4 else ''}", "o1") for i in range(5)] + [(9, f"token={value[::-1]}", "o1")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    # Five repositories hold the token, four the bare value.
+    assert [(got[i].n_copied, got[i].n_live, got[i].n_repos) for i in (0, 4, 9)] == [(2, 1, 5), (2, 0, 5), (0, 2, 1)]
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    import time
+
+    text = " ".join(f"token={i:08x}" for i in range(20_000))
+    start = time.time()
+    (row,) = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()
+    assert [(s.begin, s.finish) for s in row.spans] == [m.span() for m in re.finditer(r"token=\w+", text)]
+    assert time.time() - start < 60
+
+
 def test_secrets_repeat_rows_and_many_matches(spark):
     text = " ".join(f"token={i:08x}" for i in range(300))
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string").selectExpr(
@@ -171,3 +191,28 @@ def test_shards_are_even_and_gapless(spark, awkward):
     assert order == sorted(order)
     assert {r.size for r in rows if r.doc_id in (1, 2)} == {1}
     assert shards.shard(clashing(awkward).limit(0)).count() == 0
+
+
+def test_shard_files_are_pruned_in_every_dimension(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [
+        (i, f"site-{rng.randrange(20):02}.example", rng.choice(["de", "en", "fr", "zh"]), int(rng.lognormvariate(7, 1)))
+        for i in range(4000)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long").withColumn("text", F.lit("x"))
+    dimensions = ("source", "lang", "n_chars")
+    placed = shards.shard(docs, carry=dimensions)
+    placed.repartition("shard").write.partitionBy("shard").parquet(str(tmp_path / "shards"))
+    stored = spark.read.parquet(str(tmp_path / "shards"))
+    bounds = stored.groupBy("shard").agg(*[f(d).alias(f"{d}_{n}") for d in dimensions for n, f in (("low", F.min), ("high", F.max))]).collect()
+    # Shards out of 16 that a filter on one value must read by their bounds, over all rows.
+    for place, (d, most) in enumerate(zip(dimensions, (11, 11, 11)), start=1):
+        read = [sum(b[f"{d}_low"] <= row[place] <= b[f"{d}_high"] for b in bounds) for row in rows]
+        assert sum(read) / len(read) < most, d
+
+
+def test_text_cells_follow_the_order_of_the_values(spark):
+    values = ["same prefix " + v for v in ("", "a", "ab", "b", "zz", "ä", "漢")] + ["same prefix a"] * 9
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string")
+    got = sorted((r.v.encode(), r.c) for r in df.select("v", shards._cells(df, ["v"], 4)[0].alias("c")).collect() if r.v)
+    assert [c for _, c in got] == sorted(c for _, c in got) and len({c for _, c in got}) >= 4
