@@ -4,8 +4,10 @@ All pages of a host are merged into one tree whose nodes are element paths (tag
 Two entropies say how much a node matters, both with the number m of pages that have it as base:
 
 * presentation: the entropy of its child sequences over the pages; furniture always looks the same;
-* content: for each text that d of the m pages with its path show, 1 - log(d) / log(m); a text on every page has
-  importance 0, a text on one page 1. A node's content importance is passed up from the leaves: the mean over
+* content: for each text that d of the m pages with its path show, 1 - log(d) / log(m + length / PRIOR_CHARS); a text
+  on every one of many pages has importance near 0, a text on one page 1. The length in code points stands for
+  pages not seen that lack the text: menus are short and prose is long, so two pages that share a menu entry tell
+  much against it, and two that share a paragraph, as versions of one article do, tell little. A node's content importance is passed up from the leaves: the mean over
   all texts in and below it, weighted by how often they are shown and how long they are.
 
 A node's composite importance is ``(1 - GAMMA) * presentation + GAMMA * content``. Branches of low importance,
@@ -13,9 +15,9 @@ with all that is below them, and single texts of low content importance are cut
 ``body``, ``main`` and ``article`` are no such branches; and where branches hold most of what would stay of a
 page without them, they are its main text and stay.
 
-Pages whose candidate texts are equal count once, so copies of an article do not turn it into furniture. Two
-such pages are enough: for small m only a text on most or all of them has low importance. A path on one page
-cannot tell and stays. Elements that name themselves furniture (tags, roles, class and id words) are
+Pages whose candidate texts are equal count once, so copies of an article do not turn it into furniture. There is no
+least number of pages: for small m only short texts on all of them have low importance. A path on one page cannot tell
+and stays. Elements that name themselves furniture (tags, roles, class and id words) are
 low-importance branches whatever their statistics, since adverts and menus may differ on every page.
 Where a page marks its article, only that branch counts.
 
@@ -45,6 +47,7 @@ from hearthlog.session import cut
 
 LOW = 0.3
 GAMMA = 0.9
+PRIOR_CHARS = 40
 
 # Element kinds and furniture words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,7 +286,7 @@ def unimportant(feature_rows: DataFrame, low: float = LOW, gamma: float = GAMMA)
     known = shown.filter("kind <> 'in'").join(pages, ["host", "path"]).select(
         "*",
         F.when(many, -share * F.log("d") / F.log("m") + share).otherwise(1.0).alias("entropy_part"),
-        F.when(many, 1 - F.log("d") / F.log("m")).otherwise(1.0).alias("content"),
+        F.when(many, 1 - F.log("d") / F.log(F.col("m") + F.col("n") / PRIOR_CHARS)).otherwise(1.0).alias("content"),
     )
     style, text = F.col("kind") == "style", F.col("kind") == "text"
     weight = F.when(text, F.col("d") * F.col("n"))

@@ -123,6 +123,17 @@ def test_copies_of_an_article_are_not_furniture(spark):
     assert {r.text for r in site_tree.extract(df).collect()} == {"Title\nSame story everywhere."}
 
 
+def test_versions_of_an_article_keep_their_text(spark):
+    first, second, third = (f"{w} paragraph of the story, which is as long as a sentence is." for w in ("The first", "Second", "And a third"))
+    page = lambda *parts: "<body><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article></body>"
+    rows = [
+        (1, "http://a/1", page(first, second)), (2, "http://a/2", page(first, second, third)),
+        (3, "http://b/1", page(first, second)), (4, "http://b/2", page(first, third)),
+    ]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: f"{first}\n{second}", 2: f"{first}\n{second}\n{third}", 3: f"{first}\n{second}", 4: f"{first}\n{third}"}
+
+
 @pytest.mark.parametrize("m", [2, 3, 5, 7])
 def test_furniture_without_a_name_goes_from_small_sites(spark, m):
     page = "<body><ul><li>Start</li><li>About us</li></ul><div class=text><p>{}</p></div><div>All about tea.</div></body>"
