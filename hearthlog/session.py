@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -133,4 +134,19 @@ def cut(df: DataFrame) -> DataFrame:
     else:
         path = f"{area[0]}/staged-{next(area[1])}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def release(spark: SparkSession, *staged: DataFrame) -> None:
+    """Give back the disk of steps that are over: these results of ``cut``, and files of finished exchanges.
+
+    For jobs in rounds. Nothing that is still to be computed may read the tables. Spark deletes the files of an
+    exchange once the driver has collected the plan that made it, which by itself may take half an hour.
+    """
+    for df in staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
