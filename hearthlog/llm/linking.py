@@ -9,7 +9,9 @@ own from then on. Any scheme that puts linked sets into common buckets can use `
   bucket of near copies closes after a few pivots; the number of pivots grows ``GROWTH``-fold from the third round on, so that
   a bucket of unrelated sets, where every pair must be tried, closes after logarithmically many rounds. No link is
   lost to a cap.
-* Buckets rank their members by one hash, so near copies, which share most buckets, meet the same few pivots.
+* Buckets with the same members are one: sets that are alike, linked or not, meet in very many buckets.
+* A bucket's first pivot is the member that meets most others over all of its buckets. The text that copies were made
+  from meets all of them, so one round links copies that differ among themselves by more than the threshold allows.
 * The parities of the number of elements per hash class bound the difference of two sets from below. Pairs that
   these exact bounds turn away never move full sets. While a bucket has one pivot, sketches of two classes an element
   are fetched for the pairs met; once it has many, a bitmap of fixed size is tried inside the bucket join first, so that
@@ -32,12 +34,12 @@ from pyspark.sql import functions as F
 
 from hearthlog.llm.components import smallest_reachable
 from hearthlog.llm.tokens import Hasher, mix, shingles
-from hearthlog.session import cut
+from hearthlog.session import cut, release
 
 FIRST = 4
-WORDS = 16
+WORDS = 32
 GROWTH = 256
-_CLASS_BITS = 10  # of 64 * WORDS classes
+_CLASS_BITS = 11  # of 64 * WORDS classes
 BROADCAST_IDS = 1_000_000
 _BITS = [f"w{k}" for k in range(WORDS)]
 
@@ -138,6 +140,23 @@ def crowded(members: DataFrame) -> DataFrame:
     return members.join(cut(buckets.select("bucket")), "bucket")
 
 
+def _unlike_buckets(members: DataFrame) -> DataFrame:
+    """(bucket, node, weight): one bucket of every list of two members or more, staged.
+
+    A list goes by its length and two independent 64-bit sums. ``weight`` says how often the node meets others
+    over all of its buckets.
+    """
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    lists = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).filter("n > 1")
+    unlike = lists.groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    kept = cut(unlike.select("bucket", (F.col("n") * F.col("times")).alias("met")))
+    left = cut(members.select("bucket", "node").join(kept, "bucket"))
+    weights = left.groupBy("node").agg(F.sum("met").alias("weight"))
+    weighed = cut(left.join(weights, "node").select("bucket", "node", "weight"))
+    release(members.sparkSession, kept, left)
+    return weighed
+
+
 def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """The staged ``pairs`` (a, b, x, y) with sizes m, n and the ``column`` of their sets as p, q.
 
@@ -199,12 +218,14 @@ def set_components(members: DataFrame, sets: DataFrame, threshold: int) -> DataF
     """
     sketches = sets.select("node", "n", *_BITS)
     labels = sets.select("node", F.col("node").alias("label"))
-    members = cut(members.select("bucket", "node", F.lit(False).alias("done"), F.col("node").alias("label")))
+    spark, spent = sets.sparkSession, []
+    members = _unlike_buckets(members).withColumns({"done": F.lit(False), "label": F.col("node")})
     round_ = 0
     while True:
         active = members.filter(F.pmod("bucket", F.lit(FIRST)) == 0) if round_ == 0 else members
         salt = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(GROWTH ** max(round_ - 1, 0)))
-        chosen = F.struct(F.xxhash64("node", F.lit(-round_)).alias("h"), F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+        rank = (-F.col("weight")).alias("w"), F.xxhash64("node").alias("h")
+        chosen = F.struct(*rank, F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
         pivots = active.filter("NOT done").groupBy("bucket", salt.alias("salt")).agg(F.min(chosen).alias("lot"))
         pivots = cut(pivots.select("bucket", "lot.pivot", "lot.pivot_label"))
         cross = F.col("label") != F.col("pivot_label")
@@ -217,21 +238,27 @@ def set_components(members: DataFrame, sets: DataFrame, threshold: int) -> DataF
             of_pivot = sketches.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in bounds])
             met = active.join(sketches, "node").join(pivots.join(of_pivot, "pivot"), "bucket").filter(cross & _may_link(threshold))
         ends = [F.col(c).alias(k) for c, k in (("node", "a"), ("pivot", "b"), ("label", "x"), ("pivot_label", "y"))]
-        pairs = _screened(cut(met.select(*ends).distinct()), sets, threshold)
+        met = cut(met.select(*ends).distinct())
+        pairs = _screened(met, sets, threshold)
         links = _confirmed(pairs, sets, threshold)
+        spent += [pivots, met, pairs, links]
         moved = not links.isEmpty()
         if moved:
             reached = smallest_reachable(links).withColumnRenamed("node", "label")
             new = labels.join(reached, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
             labels = cut(new)
+            spent.append(labels)
         was_pivot = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
         marked = members.join(was_pivot, ["bucket", "node"], "left")
         if moved:
             marked = marked.drop("label").join(labels, "node")
-        marked = marked.select("bucket", "node", F.expr("done OR now IS NOT NULL").alias("done"), "label")
+        marked = marked.select("bucket", "node", "weight", F.expr("done OR now IS NOT NULL").alias("done"), "label")
         # Only pairs of members that were no pivots are uncompared; they matter across components.
         rest = marked.filter("NOT done").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         members = cut(marked.join(rest.filter("lo <> hi").select("bucket"), "bucket"))
+        # What this round has staged is no longer read, save the labels in force and the members left.
+        release(spark, *[df for df in spent if df is not labels])
+        spent = [members, *(df for df in spent if df is labels)]
         if members.isEmpty():
             return labels.withColumnRenamed("label", "component")
         round_ += 1

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.llm.linking import bodies, crowded, document_classes, element_sets, fold, name, set_components, sets_of
 from hearthlog.llm.tokens import Hasher, mix
-from hearthlog.session import bound_batches, cut
+from hearthlog.session import bound_batches, cut, release
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows
 
 
 def bucket_members(nodes: DataFrame, bands: int) -> DataFrame:
-    """(bucket, node) of every node and band, for buckets of two nodes or more."""
+    """(bucket, node) of every node and band, for buckets of two nodes or more; staged."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +92,10 @@ def bucket_members(nodes: DataFrame, bands: int) -> DataFrame:
             own = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands)
             yield pa.record_batch([pa.array(flat), pa.array(own)], names=["bucket", "node"])
 
-    return crowded(cut(nodes.select("node", "bands").mapInArrow(spread, "bucket long, node long")))
+    every = cut(nodes.select("node", "bands").mapInArrow(spread, "bucket long, node long"))
+    members = cut(crowded(every))
+    release(nodes.sparkSession, every)
+    return members
 
 
 def classes(
@@ -109,7 +112,7 @@ def classes(
     bound_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, shingle, rows, bands))
     nodes = fold(prints, "bands")
-    members = cut(bucket_members(nodes, bands))
+    members = bucket_members(nodes, bands)
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     sets = sets_of(wanted, docs, id_col, text_col, shingle)
     found = document_classes(prints, nodes, set_components(members, sets, threshold))

@@ -74,12 +74,28 @@ def test_classes_of_an_empty_table(spark):
     assert near_dup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task_edges", [0, 10**6])
+def test_components_of_chains_and_stars(spark, task_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (500, 400)]
-    got = dict(map(tuple, components.smallest_reachable(spark.createDataFrame(edges, "a long, b long")).collect()))
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = dict(map(tuple, components.smallest_reachable(df, task_edges).collect()))
     assert got == {i: 0 for i in range(1, 41)} | {200 + i: 100 for i in range(30)} | {500: 400}
 
 
+@pytest.mark.parametrize("task_edges", [0, 10**6])
+def test_components_of_random_edges(spark, task_edges):
+    rng = random.Random(9)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)]
+    label = {n: n for e in edges for n in e}
+    for _ in edges:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    got = dict(map(tuple, components.smallest_reachable(df, task_edges).collect()))
+    assert got == {n: c for n, c in label.items() if n != c}
+    assert components.smallest_reachable(df.limit(0), task_edges).count() == 0
+
+
 def test_min_max_estimates_similarity():
     import numpy as np
 
