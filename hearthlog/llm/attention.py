@@ -74,21 +74,26 @@ def bigram_logits(counts: np.ndarray, strength: float = 20.0) -> tuple[np.ndarra
     return np.log(outer).astype(np.float32), np.log(inner).astype(np.float32)
 
 
-def windows(
-    sequence: np.ndarray, borders: np.ndarray, every: int = 1, phase: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
+def windows(sequence: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, text): windows of ``2 * CONTEXT`` inputs and one more id, for texts that follow each other.
 
     ``sequence`` holds END, ids, END for every text; text k is ``sequence[borders[k]:borders[k + 1]]``.
-    Places outside the text are ``PAD``. With ``every`` only each so-manieth window is made, from the one
-    numbered ``phase`` on. A call's texts have fewer than 2**31 ids.
+    Places outside the text are ``PAD``. A call's texts have fewer than 2**31 ids.
+    """
+    return runs(sequence, borders, 1)
+
+
+def runs(sequence: np.ndarray, borders: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, text): like ``windows``, with ``length`` windows of a text that follow each other in a row.
+
+    They overlap, so a row holds their ids once. Windows behind the end of the text score nothing.
     """
     lengths = np.diff(borders)
-    n = -(-(lengths - 1) // CONTEXT)
+    n = -(-(lengths - 1) // (length * CONTEXT))
     text = np.repeat(np.arange(len(lengths)), n)
-    nth = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))[phase::every]
-    text = text[phase::every]
-    place = ((nth - 1) * CONTEXT).astype(np.int32)[:, None] + np.arange(2 * CONTEXT + 1, dtype=np.int32)[None, :]
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    width = (length + 1) * CONTEXT + 1
+    place = ((nth * length - 1) * CONTEXT).astype(np.int32)[:, None] + np.arange(width, dtype=np.int32)[None, :]
     inside = (place >= 0) & (place < lengths[text][:, None])
     place += borders[text].astype(np.int32)[:, None]
     place *= inside
@@ -97,13 +102,24 @@ def windows(
     return rows, text
 
 
+def windows_of(rows: np.ndarray) -> np.ndarray:
+    """The windows of ``runs`` that score an id."""
+    found = np.lib.stride_tricks.sliding_window_view(rows, 2 * CONTEXT + 1, axis=1)[:, ::CONTEXT]
+    return found[found[:, :, CONTEXT + 1] >= 0]
+
+
 _LATER = np.where(_CAUSAL, np.float32(0), np.float32(-1e9))
 _LIMIT = np.float32(60)  # of logits: keeps exp() finite in single precision
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=-1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
+def _softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax at one place of each row; ``logits`` become the softmax."""
+    np.minimum(logits, _LIMIT, out=logits)
+    chosen = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = np.einsum("ij->i", logits)
+    logits /= total[:, None]
+    return chosen - np.log(total)
 
 
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,77 +178,80 @@ class Model:
     def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
         """Natural log-probability of every scored id, 0 where there is none: (windows, ``CONTEXT``)."""
         result = np.zeros((len(rows), CONTEXT), dtype=np.float64)
-        inner_table = self.inner_table.reshape(-1, CLASS_SIZE)
         for at in range(0, len(rows), BATCH):
             part = rows[at : at + BATCH]
             hidden = self._attend(part)[-1]
-            target = part[:, CONTEXT + 1 :]
-            real = np.flatnonzero(target.ravel() >= 0)
-            t = target.ravel()[real]
-            group = (t // CLASS_SIZE).astype(np.uint8)
-            order = np.argsort(group, kind="stable")
-            own = real[order]
-            h = np.take(hidden.reshape(-1, WIDTH), own, axis=0, out=self._array("h", len(own), WIDTH), mode="clip")
-            t, group = t[order].astype(np.int64), group[order].astype(np.int64)
-            previous = part[:, CONTEXT:-1].ravel()[own].astype(np.int64)
-            outer = self._times("outer", h, self.p["class_out"])
-            outer += np.take(
-                self.class_table, previous, axis=0, out=self._array("bias", len(own), CLASSES), mode="clip"
-            )
-            inner = self._array("inner", len(own), CLASS_SIZE)
-            np.take(inner_table, previous * CLASSES + group, axis=0, out=inner, mode="clip")
-            ends = np.cumsum(np.bincount(group, minlength=CLASSES))
-            for c in range(CLASSES):
-                lo = ends[c - 1] if c else 0
-                if ends[c] > lo:
-                    inner[lo : ends[c]] += h[lo : ends[c]] @ self.p["inner_out"][c]
+            own, t, group, _, _, outer, inner = self._by_class(hidden, part)
             value = _log_share(outer, group).astype(np.float64) + _log_share(inner, t % CLASS_SIZE)
             result[at : at + BATCH].ravel()[own] = value
         return result
 
+    def _by_class(self, hidden: np.ndarray, rows: np.ndarray) -> tuple:
+        """Of the scored ids in order of their class: places, ids, classes, ends of the classes, hidden states, logits."""
+        target = rows[:, CONTEXT + 1 :].ravel()
+        real = np.flatnonzero(target >= 0)
+        t = target[real]
+        group = (t // CLASS_SIZE).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        own = real[order]
+        h = np.take(hidden.reshape(-1, WIDTH), own, axis=0, out=self._array("h", len(own), WIDTH), mode="clip")
+        t, group = t[order].astype(np.int64), group[order].astype(np.int64)
+        previous = rows[:, CONTEXT:-1].ravel()[own].astype(np.int64)
+        outer = self._times("outer", h, self.p["class_out"])
+        outer += np.take(self.class_table, previous, axis=0, out=self._array("bias", len(own), CLASSES), mode="clip")
+        inner = self._array("inner", len(own), CLASS_SIZE)
+        inner_table = self.inner_table.reshape(-1, CLASS_SIZE)
+        np.take(inner_table, previous * CLASSES + group, axis=0, out=inner, mode="clip")
+        ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
+        parts = [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends)) if hi > lo]
+        for c, lo, hi in parts:
+            inner[lo:hi] += h[lo:hi] @ self.p["inner_out"][c]
+        return own, t, group, parts, h, outer, inner
+
     def gradient(self, rows: np.ndarray) -> tuple[float, np.ndarray]:
         """(mean loss, gradient) over the scored ids of some windows."""
         p, flat = self.p, np.zeros_like(self.flat)
         g = unpack(flat)
         x, late, q, k, v, weights, mixed, hidden = self._attend(rows)
-        target = rows[:, CONTEXT + 1 :]
-        real = target >= 0
-        h, t, previous = hidden[real], target[real].astype(np.int64), rows[:, CONTEXT:-1][real]
-        n, group = len(t), t // CLASS_SIZE
-        each = np.arange(n)
-        outer = _log_softmax(h @ p["class_out"] + self.class_table[previous])
-        inner_weights = p["inner_out"][group]
-        inner = _log_softmax((h[:, None, :] @ inner_weights)[:, 0] + self.inner_table[previous, group])
-        loss = -float((outer[each, group] + inner[each, t % CLASS_SIZE]).mean())
-        d_outer, d_inner = np.exp(outer), np.exp(inner)
-        d_outer[each, group] -= 1
-        d_inner[each, t % CLASS_SIZE] -= 1
-        d_outer /= n
-        d_inner /= n
+        own, t, group, parts, h, outer, inner = self._by_class(hidden, rows)
+        n, each = len(t), np.arange(len(t))
+        loss = -float((_softmax(outer, group) + _softmax(inner, t % CLASS_SIZE)).mean())
+        d_outer, d_inner = outer, inner
+        for d, at in ((d_outer, group), (d_inner, t % CLASS_SIZE)):
+            d[each, at] -= 1
+            d /= n
+        flat_of = lambda array: array.reshape(-1, WIDTH)
         g["class_out"][:] = h.T @ d_outer
-        for c in np.unique(group):
-            own = group == c
-            g["inner_out"][c] = h[own].T @ d_inner[own]
-        d_hidden = np.zeros_like(hidden)
-        d_hidden[real] = d_outer @ p["class_out"].T + (inner_weights @ d_inner[:, :, None])[:, :, 0]
-        g["out"][:] = np.einsum("bid,bie->de", mixed, d_hidden)
-        d_mixed = d_hidden @ p["out"].T
-        d_weights = d_mixed @ v.transpose(0, 2, 1)
-        d_v = weights.transpose(0, 2, 1) @ d_mixed
-        d_scores = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
-        d_q, d_k = d_scores @ k, d_scores.transpose(0, 2, 1) @ q
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        g["query"][:] = np.einsum("bid,bie->de", late, d_q) * scale
-        g["key"][:] = np.einsum("bjd,bje->de", x, d_k)
-        g["value"][:] = np.einsum("bjd,bje->de", x, d_v)
-        d_x = d_k @ p["key"].T + d_v @ p["value"].T
-        d_x[:, CONTEXT:] += d_hidden + d_q @ p["query"].T * scale
+        d_h = d_outer @ p["class_out"].T
+        for c, lo, hi in parts:
+            np.matmul(h[lo:hi].T, d_inner[lo:hi], out=g["inner_out"][c])
+            d_h[lo:hi] += d_inner[lo:hi] @ p["inner_out"][c].T
+        d_hidden = self._array("d_hidden", len(rows), CONTEXT, WIDTH)
+        d_hidden[:] = 0
+        flat_of(d_hidden)[own] = d_h
+        g["out"][:] = flat_of(mixed).T @ flat_of(d_hidden)
+        d_mixed = self._times("d_mixed", d_hidden, p["out"].T)
+        d_scores = np.matmul(d_mixed, v.transpose(0, 2, 1), out=self._array("d_scores", *weights.shape))
+        d_v = np.matmul(weights.transpose(0, 2, 1), d_mixed, out=self._array("d_v", *v.shape))
+        d_scores -= np.einsum("bij,bij->bi", d_scores, weights)[:, :, None]
+        d_scores *= weights
+        # The scale of the scores is part of q.
+        d_k = np.matmul(d_scores.transpose(0, 2, 1), q, out=self._array("d_k", *k.shape))
+        d_q = np.matmul(d_scores, k, out=self._array("d_q", *q.shape))
+        d_q /= np.float32(np.sqrt(WIDTH))
+        g["query"][:] = flat_of(late).T @ flat_of(d_q)
+        g["key"][:] = flat_of(x).T @ flat_of(d_k)
+        g["value"][:] = flat_of(x).T @ flat_of(d_v)
+        d_x = self._times("d_x", d_k, p["key"].T)
+        d_x += self._times("d_x_v", d_v, p["value"].T)
+        d_hidden += self._times("d_late", d_q, p["query"].T)
+        d_x[:, CONTEXT:] += d_hidden
         inputs = rows[:, :-1]
         d_x[inputs < 0] = 0
         g["place"][:] = d_x.sum(axis=0)
-        which = np.maximum(inputs, 0).ravel()
-        for d, column in enumerate(d_x.reshape(-1, WIDTH).T):
-            g["embed"][:, d] = np.bincount(which, weights=column, minlength=SIZE)
+        which = np.maximum(inputs, 0).ravel().astype(np.int64)
+        cells = (which[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        g["embed"][:] = np.bincount(cells, weights=d_x.ravel(), minlength=SIZE * WIDTH).reshape(SIZE, WIDTH)
         return loss, flat
 
 
@@ -242,9 +261,15 @@ def train(model: Model, batches: Iterator[np.ndarray], rate: float) -> None:
     for step, rows in enumerate(batches, 1):
         _, gradient = model.gradient(rows)
         first += 0.1 * (gradient - first)
-        second += 0.001 * (gradient * gradient - second)
-        scaled = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        model.flat -= (rate * scaled).astype(np.float32)
+        np.square(gradient, out=gradient)
+        gradient -= second
+        gradient *= 0.001
+        second += gradient
+        scaled = np.sqrt(np.divide(second, 1 - 0.999**step, out=gradient), out=gradient)
+        scaled += 1e-8
+        np.divide(first, scaled, out=scaled)
+        scaled *= rate / (1 - 0.9**step)
+        model.flat -= scaled
 
 
 def join_texts(ids: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,9 +9,11 @@ from the others. The job:
    crosses the network once per block, not once per occurrence, and no vocabulary is ever in one place.
 3. *Subwords.* In the same pass all subwords of the training text are counted; the most frequent pieces
    form the vocabulary. A second pass counts id pairs over all training text (the bigram model the
-   network corrects) and cuts all training text into windows.
+   network corrects) and cuts all training text into windows. Windows overlap by half, so ``RUN`` of them that
+   follow each other are stored as one row, which holds their ids once.
 4. *Training.* In ``ROUNDS`` rounds, each over its own part of the windows, every task trains a copy of the
-   network and Spark averages the copies. The number of tasks grows with the corpus.
+   network and Spark averages the copies. The number of tasks grows with the corpus. A task mixes the windows of its
+   rows. The files of a round go before the next one begins, the windows before the scoring.
 5. *Scoring.* Each block meets its words' counts and is scored whole: every word and subword once. A
    word's probability is ``NETWORK_SHARE`` of the network's and the rest of the word's share of the
    training tokens; the end token's likewise.
@@ -39,11 +41,12 @@ from pyspark.sql import functions as F
 from hearthlog.llm import attention
 from hearthlog.llm.subwords import CHOSEN, SIZE, VOCABULARY, Lexicon, Pieces, lexicons, public_pieces, ragged
 from hearthlog.llm.tokens import Hasher
-from hearthlog.session import cut, scratch_dir
+from hearthlog.session import cut, release, scratch_dir
 
 BLOCK_BYTES = 8_000_000
 ROUNDS = 3
 BATCH = 64
+RUN = 16
 WINDOWS_PER_TASK = 20_000
 RATE = 1e-2
 NETWORK_SHARE = 0.75
@@ -65,7 +68,7 @@ def stage_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     mean = rows.agg(F.avg(F.octet_length("body"))).first()[0] or 0
     path = f"{scratch_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
     writer = rows.write.option("maxRecordsPerFile", max(1, int(BLOCK_BYTES / (mean + 1))))
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)
     staged = docs.sparkSession.read.schema(rows.schema).parquet(path)
     return staged.withColumn("block", F.xxhash64(F.col("_metadata.file_name")))
 
@@ -113,7 +116,7 @@ def choose_pieces(counts: DataFrame, vocabulary: str) -> list[bytes]:
 
 
 def pair_rows(staged: DataFrame, pieces: list[bytes]) -> DataFrame:
-    """(pair, n, rows): counts of id pairs over all training text, and training windows (``pair`` null)."""
+    """(pair, n, rows): counts of id pairs over all training text, and runs of n training windows (``pair`` null)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, cutter = Hasher(), Pieces(pieces)
@@ -127,10 +130,11 @@ def pair_rows(staged: DataFrame, pieces: list[bytes]) -> DataFrame:
                 code = sequence[:-1].astype(np.int64) * SIZE + sequence[1:]
                 pairs += np.bincount(code[inside], minlength=SIZE * SIZE)
                 for lo, hi in _stretches(borders, 1 << 16):
-                    rows, _ = attention.windows(sequence[borders[lo] : borders[hi]], borders[lo : hi + 1] - borders[lo])
-                    nothing = pa.nulls(len(rows), pa.int64())
+                    rows, _ = attention.runs(sequence[borders[lo] : borders[hi]], borders[lo : hi + 1] - borders[lo], RUN)
+                    own = (rows[:, attention.CONTEXT + 1 :: attention.CONTEXT] >= 0).sum(axis=1)
                     packed = pa.array([r.tobytes() for r in rows], pa.binary())
-                    yield pa.record_batch([nothing, nothing, packed], names=["pair", "n", "rows"])
+                    columns = [pa.nulls(len(rows), pa.int64()), pa.array(own, pa.int64()), packed]
+                    yield pa.record_batch(columns, names=["pair", "n", "rows"])
         used = np.flatnonzero(pairs)
         columns = [pa.array(used), pa.array(pairs[used]), pa.nulls(len(used), pa.binary())]
         yield pa.record_batch(columns, names=["pair", "n", "rows"])
@@ -152,13 +156,14 @@ def _sequence(lexicon: Lexicon, cutter: Pieces) -> tuple[np.ndarray, np.ndarray,
 def fit(staged: DataFrame, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(id-pair counts, network parameters)."""
     spark = staged.sparkSession
-    found = cut(pair_rows(staged, pieces))
+    found = cut(pair_rows(staged, pieces), compression="zstd")
     pairs = np.zeros(SIZE * SIZE, dtype=np.int64)
     totals = found.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most SIZE**2
     pairs[totals["pair"].to_numpy()] = totals["n"].to_numpy()
     tables = spark.sparkContext.broadcast(attention.bigram_logits(pairs))
-    shuffled = found.filter("rows IS NOT NULL").select("rows", F.pmod(F.xxhash64("rows"), F.lit(ROUNDS)).alias("round"))
-    tasks = max(1, -(-found.filter("rows IS NOT NULL").count() // (WINDOWS_PER_TASK * ROUNDS)))
+    runs = found.filter("rows IS NOT NULL")
+    shuffled = runs.select("rows", F.pmod(F.xxhash64("rows"), F.lit(ROUNDS)).alias("round"))
+    tasks = max(1, -(-(runs.agg(F.sum("n")).first()[0] or 0) // (WINDOWS_PER_TASK * ROUNDS)))
     flat = attention.start()
     for round_ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(flat)
@@ -169,6 +174,8 @@ def fit(staged: DataFrame, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]
         if mean.num_rows:
             flat = np.zeros_like(flat)
             flat[mean["at"].to_numpy()] = mean["x"].to_numpy()
+        release(spark)
+    release(spark, found)
     return pairs, flat
 
 
@@ -183,7 +190,8 @@ def _train_copy(
         nonlocal seen
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column("rows").to_pylist()), dtype=np.int16)
-            rows = rows.reshape(-1, 2 * attention.CONTEXT + 1)
+            rows = attention.windows_of(rows.reshape(batch.num_rows, -1))
+            rows = rows[np.random.default_rng(seen).permutation(len(rows))]
             seen += len(rows)
             for at in range(0, len(rows), BATCH):
                 yield rows[at : at + BATCH]
@@ -214,6 +222,7 @@ def score(
     first = F.row_number().over(per_word.orderBy("block")) == 1
     words = rows.filter("block IS NOT NULL").select("block", "key", F.sum("n").over(per_word).alias("c"), first.alias("first"))
     words = cut(words)
+    release(spark, rows)
     train_docs = staged.filter("NOT held_out").count()
     seen = words.filter("first AND c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total = (seen["n"] or 0) + train_docs

@@ -119,13 +119,13 @@ def discard_staged(spark: SparkSession) -> int:
     return len(folders)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Used where several passes need the same rows: the source is scanned once, every pass sees
     identical rows and reads only the columns it needs, and a lost executor costs a re-read rather
     than a re-computation. Spark also knows the true size of the table from then on, which is what
-    it bases its choice of joins on.
+    it bases its choice of joins on. ``options`` are the writer's.
     """
     spark, area = df.sparkSession, _AREA.get()
     if area is None:
@@ -133,7 +133,7 @@ def cut(df: DataFrame) -> DataFrame:
         _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     else:
         path = f"{area[0]}/staged-{next(area[1])}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged

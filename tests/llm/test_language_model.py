@@ -103,6 +103,29 @@ def test_every_training_id_is_in_a_training_window(spark):
     assert trained >= sum(map(len, own)) + len(own)
 
 
+def test_runs_hold_the_windows_once(small_model, spark):
+    _, sequence, borders = small_model
+    whole, _ = attention.windows(sequence, borders)
+    packed, _ = attention.runs(sequence, borders, lm.RUN)
+    assert attention.windows_of(packed).tolist() == whole.tolist()
+    # Stored windows share the ids in which they overlap.
+    rows = [(i, "abcdefgh " * 300) for i in range(1, 30)]
+    staged = lm.stage_blocks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = lm.pair_rows(staged, []).filter("rows IS NOT NULL").collect()
+    n_windows = sum(len(attention.windows_of(np.frombuffer(r["rows"], dtype=np.int16)[None])) for r in found)
+    ids = sum(i * len("abcdefgh") * 300 + i for i in [sum(1 for k, _ in rows if zlib.crc32(str(k).encode()) % 10)])
+    assert n_windows == sum(r["n"] for r in found) >= ids / attention.CONTEXT
+    assert sum(len(r["rows"]) for r in found) < 0.65 * n_windows * 2 * whole.shape[1]
+
+
+def test_staged_windows_are_released(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(lm, "release", lambda spark, *staged: freed.append([set(s.columns) for s in staged]))
+    rows = [(i, "some words to learn from " * 30) for i in range(1, 20)]
+    lm.score(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert freed == [[]] * lm.ROUNDS + [[{"pair", "n", "rows"}], [{"block", "key", "n"}]]
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(2)
     # Every third id repeats the one three places before: only attention can know it.
