@@ -216,9 +216,11 @@ def _bitmap_of(buckets: DataFrame) -> Broadcast:
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
     )
     whole = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        bits = np.frombuffer(row["bits"], dtype=np.uint8)
-        start = (row["part"] - 1) * len(bits)
+    # One job: an iterator would run one per partition.
+    found = parts.toArrow()
+    for part, raw in zip(found["part"].to_pylist(), found["bits"]):
+        bits = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+        start = (part - 1) * len(bits)
         whole[start : start + len(bits)] = bits
     return buckets.sparkSession.sparkContext.broadcast(whole.tobytes())
 

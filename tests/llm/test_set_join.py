@@ -156,3 +156,24 @@ def test_buckets_with_equal_members_are_one(spark):
     assert lists == {0: {1, 2}, 2: {1, 2, 3}, 4: {1, 3}}
     # Two lists of two met twice each, two of three met twice.
     assert {r.node: r.weight for r in got} == {1: 4 + 6 + 2, 2: 4 + 6, 3: 6 + 2}
+
+
+def test_the_bitmap_is_fetched_in_one_go(spark):
+    """Jobs do not grow with the number of partitions, and every bucket is in the bitmap."""
+    context, settings = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    buckets = [int(b) for b in mix(np.arange(300, dtype=np.uint64)).view(np.int64)]
+    df = spark.createDataFrame([(b,) for b in buckets], "bucket long")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("bitmap", "bitmap")
+    try:
+        bits = np.frombuffer(set_join._bitmap_of(df).value, dtype=np.uint8)
+        jobs = context.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 1 <= len(jobs) < 10
+    places = [b & (set_join.MAP_BITS - 1) for b in buckets]
+    assert all(bits[p >> 3] >> (p & 7) & 1 for p in places) and int(np.bitwise_count(bits).sum()) == len(set(places))
