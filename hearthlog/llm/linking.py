@@ -216,7 +216,7 @@ def set_components(members: DataFrame, sets: DataFrame, threshold: int) -> DataF
     Round 0 tries one pivot in every ``FIRST``-th bucket only. Near copies share many buckets, so this already
     joins most of them, and a pair inside one component is never compared again.
     """
-    # Columns that are never null make code for the bounds below that is short enough to be compiled to machine code.
+    # Columns that are never null spare the bounds below a check per word and pair.
     sketches = sets.select("node", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n", *_BITS)])
     labels = sets.select("node", F.col("node").alias("label"))
     spark, spent = sets.sparkSession, []
